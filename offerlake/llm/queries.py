@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import classifier, decontaminate, packing, quality_rules, simhash, url_filter
+from . import chat, classifier, decontaminate, license_scan, line_dedup, packing, quality_rules, simhash, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules.judge(_table(spark, sf_dir, "documents")).select(*cols)
@@ -46,11 +50,31 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.report(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_url_filter, op5_decontamination, op6_simhash, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_url_filter, op5_decontamination,
+        op6_simhash, op7_chat_rotation, op8_substring_dedup, op9_line_dedup, op10_packing,
+    )
+}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
@@ -99,4 +123,42 @@ m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT ite
 SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN m ON dw.doc_id = m.doc_id""",
+    "op7_chat_rotation": """
+WITH t AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS txt FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+s AS (
+  SELECT t.conv_id, perspective, turn, speaker, txt,
+    CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id)
+SELECT conv_id, perspective, turn, speaker, role,
+  '<|' || CASE WHEN role = 'user' THEN 'user name=' || speaker ELSE role END || '|>' || chr(10) || txt || chr(10) || '<|end|>' || chr(10) AS rendered,
+  (speaker = perspective)::INT AS loss_mask, CASE WHEN speaker = perspective THEN len(txt) ELSE 0 END AS n_target_chars
+FROM s""",
+    "op8_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+t AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY win) > 1),
+c AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM t)),
+n AS (SELECT r, list(p) AS gone FROM c GROUP BY r),
+e AS (SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+k AS (SELECT e.r, string_agg(e.x, ' ' ORDER BY e.p) AS kept FROM e ANTI JOIN c ON e.r = c.r AND e.p = c.p GROUP BY e.r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN k ON d.r = k.r""",
+    "op9_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM d),
+p AS (SELECT r, doc_id, line, line_no, lower(trim(regexp_replace(line, '[ 	-]+', ' ', 'g'))) AS plain FROM l),
+k AS (SELECT plain, min((doc_id, line_no)) AS first, string_split(plain, ' ') AS w FROM p WHERE plain <> '' GROUP BY plain),
+s AS (SELECT plain, first, w, len(w) AS n FROM k WHERE len(w) BETWEEN 5 AND 32),
+v AS (SELECT plain, first, n, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : n]), ' ') AS variant FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM s)),
+x AS (
+  SELECT a.plain FROM v a JOIN v b ON a.n = b.n AND a.i = b.i AND a.variant = b.variant AND b.first < a.first
+  UNION SELECT a.plain FROM v a JOIN s b ON a.variant = b.plain AND b.first < a.first
+  UNION SELECT b.plain FROM v a JOIN s b ON a.variant = b.plain AND a.first < b.first),
+m AS (
+  SELECT p.r, p.line, p.line_no, p.plain <> '' AND (x.plain IS NOT NULL OR k.first <> (p.doc_id, p.line_no)) AS gone
+  FROM p LEFT JOIN k ON p.plain = k.plain LEFT JOIN x ON p.plain = x.plain),
+o AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone) AS kept FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o ON d.r = o.r""",
 }
