@@ -108,7 +108,15 @@ def _register_specs() -> None:
 
 
 _register_specs()
-_KIND = "case " + " ".join(f"when {' or '.join(f'contains(lower(category), {chr(39)}{w}{chr(39)})' for w in words.split('|'))} then '{kind}'" for kind, words in sorted(rules.KINDS.items(), key=lambda x: ["cooler", "motherboard", "ram", "psu", "cabinet", "ssd", "monitor", "gpu", "cpu"].index(x[0]))) + " end"
+_ORDER = ("cooler", "motherboard", "ram", "psu", "cabinet", "ssd", "monitor", "gpu", "cpu")
+_KIND = "case " + " ".join(f"when {' or '.join(f'contains(lower(category), {chr(39)}{w}{chr(39)})' for w in rules.KINDS[k].split('|'))} then '{k}'" for k in _ORDER) + " end"
+_LABELS = {label for *_, parts, other in rules.TITLE_GROUPS for label in [other, *(x for _, x in parts)]} | {c for _, c in rules.CATEGORY_PATTERNS}
+#: The same as a map from label to kind, which names the category once.
+_KIND_OF = {c: k for c in sorted(_LABELS) for k in [next((k for k in _ORDER if any(w in c.lower() for w in rules.KINDS[k].split("|"))), None)] if k}
+
+
+def _kind():
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in _KIND_OF.items() for x in pair]), F.col("category"))
 
 
 @query(f"{_TEXT}, y AS (SELECT id, {rules.duck(rules.category_sql())} AS coded, {rules.duck(rules.title_sql())} AS stored FROM x), z AS (SELECT 'classifier' AS mode, coded AS category FROM y UNION ALL SELECT 'category', stored FROM y) SELECT mode, {_KIND} AS kind, count(*) AS n FROM z GROUP BY ALL")
@@ -119,7 +127,7 @@ def normalize_dispatch(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit("classifier").alias("mode"), rules.column(rules.category_sql()).alias("category")),
         F.struct(F.lit("category").alias("mode"), rules.column(rules.title_sql()).alias("category")),
     )).alias("x")).select("x.*")
-    return both.withColumn("kind", F.expr(_KIND)).groupBy("mode", "kind").agg(F.count("*").alias("n"))
+    return both.withColumn("kind", _kind()).groupBy("mode", "kind").agg(F.count("*").alias("n"))
 
 
 @query(""", a AS (SELECT *, min(page) OVER (PARTITION BY sid, pid) AS f FROM observations),
@@ -203,7 +211,7 @@ items AS (SELECT target_id AS build_id, p.id AS product_id, name, sid, current_p
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """Builds: the products of one target, with the specifications that their titles give."""
-    p = v.products(spark, d).withColumns({"t": F.lower("name"), "c": F.lit("Accessories")}).withColumn("category", rules.column(_GRANULAR)).withColumn("kind", F.expr(_KIND))
+    p = v.products(spark, d).withColumns({"t": F.lower("name"), "c": F.lit("Accessories")}).withColumn("category", rules.column(_GRANULAR)).withColumn("kind", _kind())
     p = p.select("id", "name", "sid", F.col("current_price").alias("price"), "kind", *[F.expr(e.replace("re'", "r'")) for e in _ITEM_COLUMNS])
     return v.product_targets(spark, d).withColumnsRenamed({"target_id": "build_id", "product_id": "id"}).join(p, "id").withColumnRenamed("id", "product_id")
 

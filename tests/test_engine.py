@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,8 +83,8 @@ def test_extraction(spark):
 
 def test_stock_guards_and_repeat(spark):
     schema = "sid long, pid long, price decimal(12,2), mrp decimal(12,2), in_stock boolean, scraped_at timestamp_ntz"
-    state = spark.createDataFrame([(1, 1, 5, 9, True, None)], schema)
-    batch = spark.createDataFrame([(1, 1, 4, None, None, None), (1, 2, 1, None, None, None), (1, 3, 1, None, False, None), (1, 4, 1, None, True, None)], schema)
+    state = spark.createDataFrame([(1, 1, Decimal(5), Decimal(9), True, None)], schema)
+    batch = spark.createDataFrame([(1, k, Decimal(5 - k), None, stock, None) for k, stock in ((1, None), (2, None), (3, False), (4, True))], schema)
     saved = ingest.save_offers(state, batch)
     assert sorted((r.pid, int(r.price), r.mrp and int(r.mrp), r.in_stock) for r in saved.collect()) == [(1, 4, 9, True), (4, 1, None, True)]
     assert sorted((r.pid, r.in_stock) for r in ingest.history_rows(saved, batch).collect()) == [(1, True), (4, True)]
