@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import stored, texts
+from .common import dropped, stored, texts
 
 #: Words of a window, words of an anchor, and k-grams of a window of which the smallest is the anchor.
 WINDOW, GRAM = 35, 8
@@ -166,7 +166,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     of_doc = lambda d, s: d.join(s, d["doc_id"].eqNullSafe(s["_id"]) & (d["text_hash"] == s["_hash"]), "left")
     anchors = stored(_anchors(docs, window, gram), "anchors")
     twice = anchors.groupBy("g").count().filter("count > 1").select("g")
-    places = anchors.join(twice, "g", "left_semi").groupBy(*named).agg(F.collect_set("pos").alias("at"))
+    # Stored, so that the anchors and what they shuffled are gone before the windows are shuffled.
+    places = stored(anchors.join(twice, "g", "left_semi").groupBy(*named).agg(F.collect_set("pos").alias("at")), "anchor-places")
+    dropped(anchors)
     # Not stored: the texts are shuffled once, and both uses of the windows and the last step read that exchange.
     windows = _windows(of_doc(docs, places).filter("at is not null"), window, gram)
     confirmed = windows.groupBy("h").count().filter("count > 1").select("h")
