@@ -1,0 +1,47 @@
+"""What the names of a build's parts say: power drawn, supply, and notices about them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from .builder import sockets
+
+#: Power of a part in watts by words of its name, the first that fits; other parts.
+POWER = (
+    (("rtx 5090", "rtx 4090"), 450),
+    (("rtx 5080", "rtx 4080"), 320),
+    (("rtx 5070", "rtx 4070"), 250),
+    (("cpu", "ryzen", "intel"), 125),
+)
+OTHER, HEADROOM = 30, 100
+#: Words of a power supply's name.
+SUPPLIES = ("power supply", "psu", "80+")
+
+
+def _any(text, words):
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def by_names(items: DataFrame) -> DataFrame:
+    """(build_id, drawn, supply, short): watts by names, the largest named supply (0: none), and whether it is short of room."""
+    t = F.lower("name")
+    watts = F.lit(OTHER)
+    for words, n in reversed(POWER):
+        watts = F.when(_any(t, words), n).otherwise(watts)
+    named = F.filter(F.split(t, r"\s+"), lambda w: w.rlike(r"^\d+w$"))
+    supply = F.when(_any(t, SUPPLIES), F.array_max(F.transform(named, lambda w: F.rtrim(w, F.lit("w")).try_cast("long"))))
+    out = items.groupBy("build_id").agg(F.sum(watts).alias("drawn"), F.coalesce(F.max(supply), F.lit(0)).alias("supply"))
+    return out.withColumn("short", (F.col("supply") > 0) & (F.col("supply") < F.col("drawn") + HEADROOM))
+
+
+def notices(items: DataFrame) -> DataFrame:
+    """(build_id, seq, level, about): errors on mixed sockets (1) and memory (2), a warning on a short supply (3)."""
+    mixed = sockets(items)
+    rows = lambda df, seq, level, about: df.select("build_id", F.lit(seq).alias("seq"), F.lit(level).alias("level"), about.alias("about"))
+    out = rows(mixed.filter(F.contains("sockets", F.lit(","))), 1, "error", F.upper("sockets"))
+    out = out.unionByName(rows(mixed.filter(F.contains("ram_types", F.lit(","))), 2, "error", F.upper("ram_types")))
+    watts = F.concat_ws(" of ", F.col("supply").cast("string"), F.col("drawn").cast("string"))
+    return out.unionByName(rows(by_names(items).filter("short"), 3, "warning", watts))

@@ -23,11 +23,24 @@ def until_stop(batch: DataFrame) -> DataFrame:
     return batch.join(stop, "target_id", "left").filter("stop is null or page < stop").drop("stop")
 
 
+def _merged(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """state and batch by key; what the batch knows replaces what the state knows."""
+    b = batch.select(*KEY, *[F.col(c).alias(f"new_{c}") for c in ("price", "mrp", "in_stock")], F.lit(True).alias("seen"))
+    return state.select(*KEY, "price", "mrp", "in_stock", F.lit(True).alias("known")).join(b, KEY, "full")
+
+
+def _taken(rows: DataFrame) -> DataFrame:
+    return rows.select(*KEY, *[F.coalesce(f"new_{c}", c).alias(c) for c in ("price", "mrp", "in_stock")], F.coalesce("seen", F.lit(False)).alias("touched"))
+
+
 def save_offers(state: DataFrame, batch: DataFrame) -> DataFrame:
     """state after a batch: known keys take what the batch knows, new keys come in only if they are in stock."""
-    b = batch.select(*KEY, *[F.col(c).alias(f"new_{c}") for c in ("price", "mrp", "in_stock")], F.lit(True).alias("seen"))
-    out = state.select(*KEY, "price", "mrp", "in_stock", F.lit(True).alias("known")).join(b, KEY, "full")
-    return out.filter("known or new_in_stock").select(*KEY, *[F.coalesce(f"new_{c}", c).alias(c) for c in ("price", "mrp", "in_stock")], F.coalesce("seen", F.lit(False)).alias("touched"))
+    return _taken(_merged(state, batch).filter("known or new_in_stock"))
+
+
+def save_details(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """state after a batch of product pages: as save_offers, but new keys come in whatever their stock; no history."""
+    return _taken(_merged(state, batch))
 
 
 def history_rows(saved: DataFrame, batch: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Categories that are refined by the title.
+GENERIC = ("Accessories", "CPU", "GPU", "RAM", "SSD", "PSU")
+
 
 def purge(products: DataFrame, dependants: dict[str, DataFrame], doomed: Column) -> dict[str, DataFrame]:
     """products and their dependants (product_id) without the rows of doomed products; null is not doomed."""
@@ -36,3 +39,14 @@ def match_report(scraped: DataFrame, products: DataFrame) -> DataFrame:
     """Scraped keys with the product they meet; matched is false where there is none."""
     p = products.select("sid", "pid", "id")
     return scraped.select("sid", "pid").distinct().join(p, ["sid", "pid"], "left").withColumn("matched", F.col("id").isNotNull())
+
+
+def reclassify(products: DataFrame, category: str, by_title: Column) -> DataFrame:
+    """products with generic categories refined by the title; the others stay."""
+    return products.withColumn(category, F.when(F.col(category).isin(*GENERIC), by_title).otherwise(F.col(category)))
+
+
+def reassign(products: DataFrame, scraped: DataFrame, category: str) -> DataFrame:
+    """products with this category where their key was scraped."""
+    keys = scraped.select("sid", "pid").distinct().withColumn("_hit", F.lit(True))
+    return products.join(keys, ["sid", "pid"], "left").withColumn("category", F.when(F.col("_hit"), category).otherwise(F.col("category"))).drop("_hit")

@@ -25,3 +25,8 @@ def seed_keywords(stores: DataFrame, keywords: DataFrame, present: DataFrame) ->
     """(store_id, target_value) of active shops and keywords that are not there yet; keywords are a short static list."""
     pairs = stores.filter("active").select(F.col("id").alias("store_id")).crossJoin(F.broadcast(keywords))
     return pairs.join(present.select("store_id", "target_value").distinct(), ["store_id", "target_value"], "left_anti")
+
+
+def seed(state: DataFrame, seeds: DataFrame, key: list[str]) -> DataFrame:
+    """state with the seeds: a seed replaces the whole row of its key, the other rows stay."""
+    return state.join(seeds, key, "left_anti").unionByName(seeds.select(*state.columns))

@@ -1,4 +1,4 @@
-"""Registry of the engine's queries: name -> function of (spark, sf_dir), and their SQL."""
+"""The engine's queries, each with its SQL."""
 
 from __future__ import annotations
 
@@ -6,28 +6,16 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from offerlake import source_queries  # noqa: F401  registers its queries
 from offerlake.functions import rules, scalars
-from offerlake.operators import builder, catalog, ingest, maintain, schedule
+from offerlake.operators import builder, catalog, estimates, ingest, maintain, schedule
 from offerlake.plans import views as v
+from offerlake.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from offerlake.sources import extract
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 AS_OF = "timestamp_ntz '1996-06-01 00:00:00'"
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Register a query; sql is its twin, with the domain relations as common table expressions."""
-
-    def add(fn):
-        QUERIES[name or fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[name or fn.__name__] = f"WITH {v.SQL.strip()}{sql}" if sql.startswith(",") else f"WITH {v.SQL.strip()} {sql}"
-        return fn
-
-    return add
-
-
 @query("SELECT count(*) AS total_offers, min(current_price)::DOUBLE AS lowest_price, max(current_price)::DOUBLE AS highest_price, round(sum(current_price)::DOUBLE / count(current_price), 2) AS average_price FROM products WHERE name ILIKE '%rtx 50%'")
 def compare_summary(spark: SparkSession, d: str) -> DataFrame:
     return catalog.compare(v.products(spark, d), "rtx 50")
@@ -359,3 +347,53 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def page_anchors(spark: SparkSession, d: str) -> DataFrame:
     return extract.anchors(v.table(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("href").startswith("/")).alias("relative"))
+
+
+def _power_sql() -> str:
+    has = lambda words: " OR ".join(f"contains(lower(name), '{w}')" for w in words)
+    watts = "CASE " + " ".join(f"WHEN {has(words)} THEN {n}" for words, n in estimates.POWER) + f" ELSE {estimates.OTHER} END"
+    named = r"list_filter(regexp_split_to_array(lower(name), '\s+'), lambda w: regexp_matches(w, '^\d+w$'))"
+    supply = f"CASE WHEN {has(estimates.SUPPLIES)} THEN list_max(list_transform({named}, lambda w: rtrim(w, 'w')::BIGINT)) END"
+    return f"SELECT build_id, sum({watts})::BIGINT AS drawn, coalesce(max({supply}), 0) AS supply FROM items GROUP BY build_id"
+
+
+@query(f"{_ITEMS}, e AS ({_power_sql()}) SELECT *, supply > 0 AND supply < drawn + {estimates.HEADROOM} AS short FROM e")
+def build_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return estimates.by_names(_items(spark, d))
+
+
+@query(f"""{_ITEMS}, e AS ({_power_sql()}), a AS (SELECT DISTINCT build_id, unnest(list_filter({list(builder.SOCKETS)}, lambda s: contains(lower(name), s))) AS s FROM items),
+b AS (SELECT DISTINCT build_id, CASE WHEN contains(lower(name), 'ddr5') THEN 'ddr5' WHEN contains(lower(name), 'ddr4') THEN 'ddr4' END AS s FROM items)
+SELECT build_id, 1 AS seq, 'error' AS level, upper(string_agg(s, ', ' ORDER BY s)) AS about FROM a GROUP BY build_id HAVING count(*) > 1
+UNION ALL SELECT build_id, 2, 'error', upper(string_agg(s, ', ' ORDER BY s)) FROM b WHERE s IS NOT NULL GROUP BY build_id HAVING count(*) > 1
+UNION ALL SELECT build_id, 3, 'warning', supply || ' of ' || drawn FROM e WHERE supply > 0 AND supply < drawn + {estimates.HEADROOM}""")
+def build_notices(spark: SparkSession, d: str) -> DataFrame:
+    return estimates.notices(_items(spark, d))
+
+
+@query(f"{_SAVE} SELECT sid, pid, price::DOUBLE AS price, mrp::DOUBLE AS mrp, in_stock, touched FROM u")
+def save_details(spark: SparkSession, d: str) -> DataFrame:
+    x = ingest.save_details(*_state_and_batch(spark, d))
+    return x.select("sid", "pid", F.col("price").cast("double").alias("price"), F.col("mrp").cast("double").alias("mrp"), "in_stock", "touched")
+
+
+_GENERIC = "('" + "', '".join(maintain.GENERIC) + "')"
+
+
+@query(f", x AS (SELECT id, lower(name) AS t, 'Accessories' AS c FROM products), y AS (SELECT id, t, {rules.duck(rules.category_sql())} AS c FROM x) SELECT id, CASE WHEN c IN {_GENERIC} THEN {rules.duck(rules.title_sql())} ELSE c END AS category FROM y")
+def reclassify(spark: SparkSession, d: str) -> DataFrame:
+    x = _text(spark, d).withColumn("c", rules.column(rules.category_sql()))
+    return maintain.reclassify(x, "c", rules.column(rules.title_sql())).select("id", F.col("c").alias("category"))
+
+
+@query(", s AS (SELECT * FROM stores WHERE id % 2 = 0), n AS (SELECT id, name, 'New ' || name AS display_name, id % 5 > 0 AS active FROM stores WHERE id % 3 = 0) SELECT * FROM n UNION ALL SELECT * FROM s ANTI JOIN (SELECT name AS m FROM n) k ON name = m")
+def seed_stores(spark: SparkSession, d: str) -> DataFrame:
+    s = v.stores(spark, d)
+    new = s.filter("id % 3 = 0").withColumns({"display_name": F.concat(F.lit("New "), "name"), "active": F.col("id") % 5 > 0})
+    return schedule.seed(s.filter("id % 2 = 0"), new, ["name"])
+
+
+@query(", k AS (SELECT DISTINCT sid, pid FROM observations WHERE page = 1) SELECT p.id, CASE WHEN k.pid IS NULL THEN 'Accessories' ELSE 'GPU' END AS category FROM products p LEFT JOIN k ON p.sid = k.sid AND p.pid = k.pid")
+def reassign_category(spark: SparkSession, d: str) -> DataFrame:
+    p = v.products(spark, d).withColumn("category", F.lit("Accessories"))
+    return maintain.reassign(p, v.observations(spark, d).filter("page = 1"), "GPU").select("id", "category")
