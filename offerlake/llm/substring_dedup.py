@@ -56,6 +56,16 @@ def _hash(h: np.ndarray, k: int) -> np.ndarray:
     return g ^ (g >> np.uint64(29))
 
 
+def _leftmost_min(g: np.ndarray, width: int) -> np.ndarray:
+    """Where the smallest of each width values in a row stands, the leftmost of equal ones, by doubling the width."""
+    at, have = np.arange(len(g)), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = at[:-step], at[step:]
+        at, have = np.where(g[right] < g[left], right, left), have + step
+    return at
+
+
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[bytes]]]]:
     """Rows a to b of a batch with their words, about CHUNK bytes of text at a time."""
     rows, a, size = texts(batch), 0, 0
@@ -85,7 +95,7 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     g = _hash(h, gram)
                     whole = np.flatnonzero(np.arange(len(h) - window + 1) + window <= np.repeat(ends, ends - starts)[: len(h) - window + 1])
                     if len(whole):
-                        at = np.unique(whole + np.lib.stride_tricks.sliding_window_view(g, window - gram + 1)[whole].argmin(1))
+                        at = np.unique(_leftmost_min(g, window - gram + 1)[whole])
                         values = g[at]
                 owner = np.searchsorted(ends, at, side="right")
                 take = pa.array(owner + a)
