@@ -147,6 +147,15 @@ def links(prints: DataFrame) -> DataFrame:
     return asked.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a bigint, b bigint")
 
 
+def _found(rows: DataFrame) -> DataFrame:
+    """(bits, component_id) of rows (doc_id, bits): the smallest doc_id that links reach."""
+    prints = rows.groupBy("bits").agg(F.min("doc_id").alias("least"))
+    roots = components(links(prints))
+    member = prints.join(roots, prints["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    member = stored(member, "members")
+    return member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("bits", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that links reach).
 
@@ -155,19 +164,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     an empty table gives no rows; other columns are ignored.
     """
     rows = stored(fingerprints(docs, shingle), "simhash")
-    prints = rows.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints))
-    member = prints.join(roots, prints["bits"] == roots["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
-    member = stored(member, "members")
-    found = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("bits", "component_id")
-    return rows.join(found, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_found(rows), "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (of rows that repeat it, the first by text)."""
-    found = near_duplicates(docs, shingle).filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # Only rows that repeat a doc_id meet here; ids are unique in a sound corpus, so groups are single rows.
-    names = docs.columns
-    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64(F.coalesce("text", F.lit("")))).alias("r"))
+    """One row of each component: that of the smallest doc_id, nulls last (of rows that repeat it, the first by text hash)."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    # Rows are named by id and text, since an id may be null or stand for several texts.
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", text_hash.alias("hash")).alias("doc_id"), "text")
+    found = _found(stored(fingerprints(named, shingle), "simhash")).select("component_id.*").distinct()
+    found = found.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")), "left_semi")
+    # Only rows that repeat both id and text meet here; groups are single rows in a sound corpus.
+    one = kept.groupBy("doc_id", text_hash.alias("_hash")).agg(F.first(F.struct(*docs.columns)).alias("r"))
     return one.select("r.*")

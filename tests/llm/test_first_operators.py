@@ -145,6 +145,18 @@ def test_simhash_brute_force(spark):
     assert kept == {r.component_id for r in got.values()}
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    rng = np.random.default_rng(4)
+    a, b, c, d, e = (" ".join(rng.choice([f"v{i}" for i in range(500)], 120)) for _ in range(5))
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, d), (None, a), (None, None), (9, e), (None, e), (9, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "clash") for i, t in rows], SCHEMA)
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(3, a), (7, b), (9, e), (None, c), (None, d), (None, None)]
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted(want, key=key)
+
+
 def test_links_of_random_and_crowded_fingerprints(spark):
     rng = np.random.default_rng(3)
     bits = set(rng.integers(0, 1 << 63, 300).tolist())
