@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ TEMPLATES = {
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
+#: Words that tell a short notice from that of another license ("Licensed under CC BY-SA 4.0."); without them it isn't found.
+NAMING = {"CC-BY-NC-4.0": "by-nc", "MIT": "mit"}
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c in b"0123456789abcdefghijklmnopqrstuvwxyz.-" or c >= 128 else 32 for c in range(256))
 
 
@@ -76,31 +79,43 @@ def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _best(text: list[bytes], template: list[bytes]) -> tuple[float, int, int]:
-    """Highest coverage of a template and the word span it lies in.
+def _least(need: int, coverage: float) -> int:
+    """Words of a template of need words that must be matched."""
+    return max(1, ceil(coverage * need - 1e-9))
 
-    The template is laid over the stretch about each place of its rarest word, so that a word
+
+def _best(text: list[bytes], template: list[bytes], coverage: float = COVERAGE, naming: bytes | None = None) -> tuple[float, int, int]:
+    """Highest coverage of a template, if it is coverage or more, and the word span it lies in.
+
+    The template is laid over stretches about each place of its rarest words, so that a word
     which the rest of a long text also has does not hide the notice.
     """
-    need, known = len(template), set(template)
-    there = [(i, w) for i, w in enumerate(text) if w in known]
-    counts = Counter(w for _, w in there)
-    if sum(min(n, counts[w]) for w, n in Counter(template).items()) < COVERAGE * need:
+    need, known = len(template), Counter(template)
+    there: dict[bytes, list[int]] = {w: [] for w in known}
+    for i, w in enumerate(text):
+        if w in there:
+            there[w].append(i)
+    least = _least(need, coverage)
+    if sum(min(n, len(there[w])) for w, n in known.items()) < least:
         return 0.0, 0, 0  # no alignment can reach the coverage
-    best, least = (0.0, 0, 0), max(1, int((1 - COVERAGE) * need) + 1)
-    # Any alignment that reaches the coverage has one of the rarest words.
-    rare = set(sorted(known, key=lambda w: (counts[w], w))[:least])
+    best = (0.0, 0, 0)
+    # An alignment that reaches the coverage lacks at most need - least words, so it has one of the rarest.
+    rare = sorted(known, key=lambda w: (len(there[w]), w))[: need - least + 1]
     done = -1
-    for i, w in there:
-        if w not in rare or i < done:
+    for i in sorted(i for w in rare for i in there[w]):
+        if i < done:
             continue
-        a, b = max(0, i - 2 * need), min(len(text), i + 2 * need)
-        pairs = align(text[a:b], template)
-        if pairs and len(pairs) / need > best[0]:
-            best = (len(pairs) / need, a + pairs[0][0], a + pairs[-1][0] + 1)
-            if best[0] == 1:
-                break
-        done = i + need // 2
+        for a, b in [(max(0, i - 2 * need), min(len(text), i + 2 * need))]:
+            pairs = align(text[a:b], template)
+            if len(pairs) < least or naming and all(template[j] != naming for _, j in pairs):
+                continue
+            first, last = a + pairs[0][0], a + pairs[-1][0] + 1
+            if first <= i and last - first <= 2 * need - least:
+                done = max(done, last)  # the other rare words of this copy
+            if len(pairs) / need > best[0]:
+                best = (len(pairs) / need, first, last)
+            if len(pairs) == need:
+                return best
     return best
 
 
@@ -112,7 +127,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     so there is no shuffle.
     """
     known = [(k, words_of(t.encode())) for k, t in sorted((TEMPLATES if templates is None else templates).items())]
-    known = [(k, w) for k, w in known if w]
+    known = [(k, w, NAMING[k].encode() if templates is None and k in NAMING else None) for k, w in known if w]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,12 +135,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             for i, text in enumerate(texts(batch)):
                 words = words_of(text)
                 have = set(words)
-                for name, template in known:
-                    distinct = set(template)
-                    if len(distinct & have) * 2 < len(distinct):
+                for name, template, naming in known:
+                    if len(set(template) - have) > len(template) - _least(len(template), coverage):
                         continue
-                    share, first, last = _best(words, template)
-                    if share >= coverage:
+                    share, first, last = _best(words, template, coverage, naming)
+                    if share:
                         owner.append(i)
                         rows.append((name, share, first, last))
             columns = list(zip(*rows)) or [(), (), (), ()]

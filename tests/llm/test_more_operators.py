@@ -28,6 +28,20 @@ def test_license_scan(spark):
     assert license_scan.scan(documents(spark, texts), {}).count() == 0 == license_scan.scan(documents(spark, ["x"]).limit(0)).count()
 
 
+def found(spark, texts, *args):
+    return {(r.doc_id, r.license): r for r in license_scan.scan(documents(spark, texts), *args).collect()}
+
+
+def test_license_scan_at_the_least_coverage(spark):
+    texts = ["Released under an MIT License", "the x y z " * 30 + "Released under an MIT License", "Released under the BSD License", "Licensed under CC BY-SA 4.0", "Licensed by CC BY-NC 4.0"]
+    got = found(spark, texts)
+    assert set(got) == {(0, "MIT"), (1, "MIT"), (4, "CC-BY-NC-4.0")} and {r.coverage for r in got.values()} == {0.8}
+    template = {"x": "a b c d e f g h i j"}
+    parts = [" ".join("abcdefghij"[:n]) for n in range(11)]
+    for coverage in (0.3, 0.6, 0.7, 0.8, 0.9, 1.0):
+        assert {d for d, _ in found(spark, parts, template, coverage)} == {n for n in range(11) if n >= round(coverage * 10)}
+
+
 def test_alignment_is_ordered_and_equal():
     rng = np.random.default_rng(5)
     for _ in range(200):
