@@ -84,6 +84,25 @@ def _least(need: int, coverage: float) -> int:
     return max(1, ceil(coverage * need - 1e-9))
 
 
+def _stretches(at: list[int], k: int, ends: list[int], need: int, n: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the text about the k-th of the places at of a word, the widest first.
+
+    ends are the word's places in the template. Where notices stand close together the wide
+    stretch holds several, and no word is there once. The narrower ones hold the word as often as
+    the template does, or begin where the template would if nothing were put in or left out.
+    """
+    a, b = max(0, at[k] - 2 * need), min(n, at[k] + 2 * need)
+    yield a, b
+    m = len(ends)
+    for first in range(k - m + 1, k + 1):
+        low = at[first - 1] + 1 if first > 0 else 0
+        high = at[first + m] if first + m < len(at) else n
+        if first >= 0 and (low > a or high < b):
+            yield max(a, low), min(b, high)
+    for end in ends:
+        yield max(0, at[k] - end), min(n, at[k] - end + need)
+
+
 def _best(text: list[bytes], template: list[bytes], coverage: float = COVERAGE, naming: bytes | None = None) -> tuple[float, int, int]:
     """Highest coverage of a template, if it is coverage or more, and the word span it lies in.
 
@@ -101,11 +120,12 @@ def _best(text: list[bytes], template: list[bytes], coverage: float = COVERAGE,
     best = (0.0, 0, 0)
     # An alignment that reaches the coverage lacks at most need - least words, so it has one of the rarest.
     rare = sorted(known, key=lambda w: (len(there[w]), w))[: need - least + 1]
+    ends = {w: [j for j, x in enumerate(template) if x == w] for w in rare}
     done = -1
-    for i in sorted(i for w in rare for i in there[w]):
+    for i, w, k in sorted((i, w, k) for w in rare for k, i in enumerate(there[w])):
         if i < done:
             continue
-        for a, b in [(max(0, i - 2 * need), min(len(text), i + 2 * need))]:
+        for a, b in _stretches(there[w], k, ends[w], need, len(text)):
             pairs = align(text[a:b], template)
             if len(pairs) < least or naming and all(template[j] != naming for _, j in pairs):
                 continue

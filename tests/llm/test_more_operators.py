@@ -32,6 +32,27 @@ def found(spark, texts, *args):
     return {(r.doc_id, r.license): r for r in license_scan.scan(documents(spark, texts), *args).collect()}
 
 
+def test_license_scan_adjacent_copies(spark):
+    noise = [f"w{i}" for i in range(1, 51)]
+    t = license_scan.TEMPLATES
+    short, altered = ["MIT", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0"], {"MIT-text": ("modify, ", "free of charge, "), "GPL-text": ("any later ",), "BSD-text": ("binary ",)}
+    texts, want = [], set()
+    for n in (2, 3, 40):
+        for name in [*short, *altered]:
+            copy = t[name]
+            for gone in altered.get(name, ()):
+                copy = copy.replace(gone, "")
+            want.add((len(texts), name))
+            texts.append(" ".join([*noise, *[copy] * n, *noise]))
+    got = found(spark, texts)
+    assert want <= set(got)
+    for d, name in want:
+        r = got[d, name]
+        whole, words = name in short, len(license_scan.words_of(t[name].encode()))
+        assert (r.coverage == 1 and r.last - r.first == words) if whole else 0.8 < r.coverage < 1
+        assert r.first >= 50
+
+
 def test_license_scan_at_the_least_coverage(spark):
     texts = ["Released under an MIT License", "the x y z " * 30 + "Released under an MIT License", "Released under the BSD License", "Licensed under CC BY-SA 4.0", "Licensed by CC BY-NC 4.0"]
     got = found(spark, texts)
