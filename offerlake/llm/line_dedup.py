@@ -1,18 +1,23 @@
 """Line dedup by a deletion-neighbourhood join, in built-in functions only.
 
 Lines are compared by their words, lower-cased. Two lines are alike if they are equal or, where
-both have FEWEST to MOST words, if one word inserted, deleted or replaced makes them equal (so at
+both have FEWEST words or more, if one word inserted, deleted or replaced makes them equal (so at
 least four words of five agree). A line goes if an earlier one (by doc_id, then line number) is
 like it. Every line emits the hash of itself and of each variant that lacks one word; lines whose
 hashes meet are verified on the words themselves. The hash of a variant is that of its words in any
 order (a sieve only), which makes it the line's hash less one word. Lines that lack the same word place are all
 alike, and a shorter line is like each line that it is a variant of, so that the earliest line of
 a key decides and no pairs within a key are made.
+
+The query op9_line_dedup holds to MOST, as its SQL does. The pipeline's deduplicate() has no upper
+bound: lines of MOST words or more meet by their first or last half, one of which an edit of one
+word leaves as it is, and their variants are 128-bit hashes of words with their places, made in
+one step each, since variants of n words written out would grow with the square of n.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
 
@@ -43,10 +48,13 @@ def _without(i: Column) -> Column:
     return F.concat_ws(" ", F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.size("words")))
 
 
-def distinct_lines(rows: DataFrame) -> DataFrame:
+def _size() -> Column:
+    return F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
+
+
+def distinct_lines(rows: DataFrame, most: int | None = MOST) -> DataFrame:
     """(k1, k2, first, plain): where each different line stands first, and its words if it may have variants."""
-    n = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
-    short = F.when(n.between(FEWEST, MOST), F.col("plain"))
+    short = F.when(_size() >= FEWEST if most is None else _size().between(FEWEST, most), F.col("plain"))
     return rows.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(short).alias("plain"))
 
 
@@ -71,11 +79,51 @@ def repeated(known: DataFrame) -> DataFrame:
     return replaced.unionByName(longer.select(later.alias("x")).select("x.*")).distinct()
 
 
-def marked(docs: DataFrame) -> DataFrame:
+def _xor(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(h))
+
+
+def repeated_long(known: DataFrame) -> DataFrame:
+    """(k1, k2) of the lines of MOST words or more that an earlier, different one of them is like."""
+    long = known.filter(_size() >= MOST).withColumn("words", F.split("plain", " ")).withColumn("n", F.size("words"))
+    # Of two like lines, the longer of m words, the first or the last (m - 1) / 2 words are equal; m is n or n + 1.
+    halves = [F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")]
+    ends = [F.xxhash64(F.lit(side), half, F.slice("words", F.lit(1) if side == 0 else F.col("n") - half + 1, half)) for half in halves for side in (0, 1)]
+    keys = long.select(*_KEY, F.explode(F.array_distinct(F.array(*ends))).alias("key"))
+    met = stored(keys.groupBy("key").count().filter("count > 1").select("key"), "halves-met")
+    some = keys.join(met, "key", "left_semi").select(*_KEY).distinct()
+    some = stored(long.join(some, _KEY, "left_semi").select(*_KEY, "first", "n", "words"), "long-lines-met")
+    # The hash of a line is that of all its (word, place). Without word i, words before it keep their
+    # place and words after it move up: moved ^ (in ^ moved of the words before i) ^ moved of word i.
+    seeds = (0, 1)
+    at_place = lambda seed, word, place: F.xxhash64(F.lit(seed), word, place)
+    of_all = lambda seed, by: _xor(F.transform("words", lambda w, i: at_place(seed, w, i - by)))
+    whole, moved = {f"v{s}": of_all(s, 0) for s in seeds}, {f"m{s}": of_all(s, 1) for s in seeds}
+    each = some.withColumns(moved).select(*_KEY, "first", "n", *moved, F.posexplode("words").alias("at", "word"))
+    before = Window.partitionBy(*_KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    here = each.withColumns({f"h{s}": at_place(s, F.col("word"), F.col("at")) for s in seeds} | {f"g{s}": at_place(s, F.col("word"), F.col("at") - 1) for s in seeds})
+    of_rest = lambda s: F.coalesce(F.bit_xor(F.col(f"h{s}").bitwiseXOR(F.col(f"g{s}"))).over(before), F.lit(0).cast("long"))
+    less = [F.col(f"m{s}").bitwiseXOR(of_rest(s)).bitwiseXOR(F.col(f"g{s}")).alias(f"v{s}") for s in seeds]
+    variants = stored(here.select(*_KEY, "first", "n", "at", *less), "long-variants")
+    same = ["v0", "v1", "n"]
+    one = variants.groupBy(*same, "at").agg(F.min("first").alias("before"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    replaced = variants.join(one, [*same, "at"]).filter("before < first").select(*_KEY)
+    shorter = some.withColumns(whole).select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("first").alias("other"), "v0", "v1", "n")
+    longer = variants.withColumn("n", F.col("n") - 1).join(shorter, same)
+    later = F.when(F.col("other") < F.col("first"), F.struct(*_KEY)).otherwise(F.struct(F.col("s1").alias("k1"), F.col("s2").alias("k2")))
+    return replaced.unionByName(longer.select(later.alias("x")).select("x.*")).distinct()
+
+
+def marked(docs: DataFrame, most: int | None = MOST) -> DataFrame:
     """docs with _lines (null for a null text) and _removed, the numbers of the lines that go."""
     rows = lines(docs)
-    known = stored(distinct_lines(rows), "lines")
-    state = known.select(*_KEY, "first").join(repeated(known).withColumn("near", F.lit(True)), _KEY, "left")
+    known = stored(distinct_lines(rows, most), "lines")
+    if most is None:
+        short = known.withColumn("plain", F.when(_size() <= MOST, F.col("plain")))
+        near = repeated(short).unionByName(repeated_long(known)).distinct()
+    else:
+        near = repeated(known)
+    state = known.select(*_KEY, "first").join(near.withColumn("near", F.lit(True)), _KEY, "left")
     here = F.struct("doc_id", "line_no")
     gone = rows.select("doc_id", "text_hash", "line_no", *_KEY).join(state, _KEY).filter(F.col("near").isNotNull() | ~F.col("first").eqNullSafe(here))
     of_doc = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_removed"))
@@ -89,13 +137,13 @@ def _kept() -> Column:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs, all rows and columns, with the lines that go taken out of text.
+    """docs, all rows and columns, with the lines that go taken out of text; lines have no upper bound of words.
 
     Blank lines stay; a null text stays null; a text of which all lines go becomes empty. Rows
     that repeat a doc_id have the same place in the order: of equal lines at the same place both
     stay. A null doc_id comes first.
     """
-    return marked(docs).withColumn("text", _kept()).select(*docs.columns)
+    return marked(docs, None).withColumn("text", _kept()).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

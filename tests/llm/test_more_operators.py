@@ -9,7 +9,7 @@ import pytest
 
 from offerlake.llm import chat, license_scan, line_dedup, substring_dedup
 
-from .test_first_operators import EDGES, documents
+from .test_first_operators import EDGES, LONG, documents
 
 
 def test_license_scan(spark):
@@ -150,6 +150,42 @@ def test_line_dedup_brute_force(spark):
     assert line_dedup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_long_lines(spark):
+    rng = np.random.default_rng(8)
+    base = [rng.choice(list("abcdefgh"), n).tolist() for n in (4, 5, 30, 31, 32, 33, 34, 60, 61, 400) for _ in range(3)]
+    base += [["x"] * n for n in (31, 32, 33, 34, 50)]
+    made = []
+    for w in base * 5:
+        w = list(w)
+        for _ in range(int(rng.integers(0, 3))):
+            k, kind = int(rng.choice([0, len(w) - 1, rng.integers(len(w))])), int(rng.integers(3))
+            w[k : k + (kind != 1)] = [] if kind == 0 else [str(rng.choice(list("abcdefghz")))]
+        made.append("  ".join(w).upper() if rng.random() < 0.3 else " ".join(w))
+    rng.shuffle(made)
+    texts = ["\n".join(made[i : i + 6]) for i in range(0, len(made), 6)]
+
+    def like(a, b):
+        if a == b:
+            return True
+        head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        tail = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+        return min(len(a), len(b)) >= 5 and abs(len(a) - len(b)) < 2 and head + tail >= max(len(a), len(b)) - 1
+
+    seen, want = [], {}
+    for d, t in enumerate(texts):
+        stay = []
+        for line in t.split("\n"):
+            w = line.lower().split()
+            if not any(like(w, x) for x in seen):
+                stay.append(line)
+            seen.append(w)
+        want[d] = "\n".join(stay)
+    assert {r.doc_id: r.text for r in line_dedup.deduplicate(documents(spark, texts)).collect()} == want
+    words = LONG.split()
+    far = documents(spark, [LONG, " ".join([*words[:-1], "changed"]), " ".join(words[:9] + words[10:]), " ".join(words[2:])])
+    assert [bool(r.text) for r in line_dedup.deduplicate(far).orderBy("doc_id").collect()] == [True, False, False, True]
+
+
 def test_pipeline_on_a_small_table(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     pytest.importorskip("tokenizers")
