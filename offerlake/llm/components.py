@@ -21,14 +21,18 @@ def components(links: DataFrame) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("x"))
         best = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
         moved = stored(best.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["x"].alias("to")), "moved")
-        if roots is None:
+        first = roots is None
+        if first:
             roots = moved.withColumnRenamed("to", "root")
         else:
             onward = moved.select(F.col("node").alias("root"), "to")
-            roots = stored(roots.join(onward, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            before, roots = roots, stored(roots.join(onward, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+            dropped(before)
         a, b = (moved.select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
         left = edges.join(a, "a").join(b, "b").filter("a2 <> b2")
         after = stored(left.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links")
         dropped(edges)
+        if not first:  # the first round's is the table of roots
+            dropped(moved)
         edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if roots is None else roots

@@ -141,8 +141,62 @@ def test_simhash_brute_force(spark):
     prints = [plain_fingerprint(t) for t in texts]
     assert [got[i].fingerprint for i in range(len(texts))] == [f"{p:016x}" for p in prints]
     assert [got[i].component_id for i in range(len(texts))] == plain_components(list(range(len(texts))), prints)
-    kept = {r.doc_id for r in simhash.deduplicate(documents(spark, texts)).collect()}
-    assert kept == {r.component_id for r in got.values()}
+
+
+def shingles(text, k=5):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()
+    return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))}
+
+
+def test_near_dedup_finds_copies_of_similarity_08_and_leaves_others(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"{chr(97 + i % 26)}{'xyz'[i % 3] * (i % 7)}{i}" for i in range(4000)]
+    draw = lambda n: [vocabulary[int(4000 * x**3)] for x in rng.random(n)]
+    groups, texts, owner = [draw(int(n)) for n in rng.integers(80, 1500, 60)], [], []
+    for g, base in enumerate(groups):
+        texts.append(" ".join(base))
+        owner.append(g)
+        for _ in range(3):
+            w = list(base)
+            for k in rng.choice(len(w), max(1, len(w) // 60), replace=False):
+                w[k] = str(rng.choice(vocabulary))
+            if len(shingles(" ".join(w)) & shingles(texts[-1])) and len(shingles(" ".join(w)) & shingles(" ".join(base))) >= 0.8 * len(shingles(" ".join(w)) | shingles(" ".join(base))):
+                texts.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w))
+                owner.append(g)
+    texts += [" ".join(draw(300)) for _ in range(200)]
+    owner += range(60, 260)
+    kept = [r.doc_id for r in simhash.deduplicate(documents(spark, texts)).collect()]
+    assert {owner[d] for d in kept} == set(owner)  # every group has a row left, and all clean texts stay
+    copies = len(texts) - len(set(owner))
+    half = [*(f"p{i}" for i in range(90)), *(f"q{i}" for i in range(10))]
+    below = [" ".join(half), " ".join([*half[:90], *(f"r{i}" for i in range(12))]), " ".join([*half[:94], *(f"s{i}" for i in range(6))])]  # 0.80 and 0.88 to the first
+    assert len(shingles(below[0]) & shingles(below[1])) < 0.8 * len(shingles(below[0]) | shingles(below[1]))
+    assert {r.doc_id for r in simhash.deduplicate(documents(spark, below[:2])).collect()} == {0, 1}
+    assert copies > 80 and (len(texts) - len(kept)) / copies >= 0.9
+
+
+def test_near_dedup_links_are_within_their_budgets(spark):
+    rng = np.random.default_rng(10)
+    rows = [bytes(rng.integers(0, 256, 40, dtype=np.uint8)) for _ in range(20)]
+    for base in list(rows):
+        for _ in range(20):  # more than PAIRS members for a key
+            x = int.from_bytes(base, "little")
+            for at, n, size in ((0, 64, 5), (64, 64, 8), (128, 64, 20), (192, 128, 40)):
+                for b in rng.choice(n, int(rng.integers(0, size)), replace=False):
+                    x ^= 1 << int(at + b)
+            rows.append(x.to_bytes(40, "little"))
+    rows = sorted({r[24:]: r for r in rows}.values())
+    check = simhash.allowed()
+    apart = lambda a, b, at, n: ((int.from_bytes(a, "little") ^ int.from_bytes(b, "little")) >> at & (1 << n) - 1).bit_count()
+    near = lambda a, b: min(apart(a, b, at, 64) for at in (0, 64, 128)) <= 4 and apart(a, b, 192, 128) <= check
+    frame = spark.createDataFrame([(bytearray(r[:24]), bytearray(r[24:])) for r in rows], "words binary, bits binary")
+    of = {r[24:]: r for r in rows}
+    found = {(bytes(r.a), bytes(r.b)) for r in simhash.links(frame, check).collect()}
+    assert found and all(near(of[a], of[b]) for a, b in found)
+    roots = {bytes(r.node): bytes(r.root) for r in simhash.components(simhash.links(frame, check)).collect()}
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            assert not near(a, b) or roots[a[24:]] == roots[b[24:]]
 
 
 def test_simhash_keeps_one_row_of_each_component(spark):
