@@ -52,4 +52,6 @@ def dropped(df: DataFrame) -> None:
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     values = batch.column(column)
+    if pa.types.is_binary(values.type):
+        return values.to_pylist()
     return values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()).to_pylist()

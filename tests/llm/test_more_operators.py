@@ -107,6 +107,48 @@ def test_substring_dedup_brute_force(spark):
     assert substring_dedup.remove_repeats(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def covered(texts, window=35):
+    words, count = [(t or "").split() for t in texts], {}
+    for w in words:
+        for k in range(len(w) - window + 1):
+            count[tuple(w[k : k + window])] = count.get(tuple(w[k : k + window]), 0) + 1
+    return [len({k + j for k in range(len(w) - window + 1) if count[tuple(w[k : k + window])] > 1 for j in range(window)}) for w in words]
+
+
+def test_substring_dedup_in_split_shards(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 60)
+    monkeypatch.setattr(substring_dedup, "STREAM_WORDS", 200)
+    rng = np.random.default_rng(11)
+    make = lambda n: rng.choice([f"v{i}" for i in range(90)], n).tolist()
+    passages, texts = [make(int(n)) for n in rng.integers(30, 120, 12)], []
+    for _ in range(120):
+        parts = make(int(rng.integers(0, 30)))
+        for _ in range(int(rng.integers(0, 4))):
+            p = passages[int(rng.integers(12))]
+            a = int(rng.integers(0, len(p) // 2))
+            parts += p[a : a + int(rng.integers(10, 120))] + make(int(rng.integers(0, 3)))
+        texts.append(" ".join(parts))
+    texts += [texts[0], " ".join(["a", "b"] * 200), " ".join(["a", "b", "c"] * 90)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == covered(texts)
+
+
+def test_substring_dedup_finds_places_by_automata_only(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(60)), "x " + " ".join(f"w{i}" for i in range(10, 60))]
+    assert [r.n_removed for r in substring_dedup.remove_repeats(documents(spark, texts)).orderBy("doc_id").collect()] == [50, 50]
+    a = substring_dedup.Automaton([" ".join(f"w{i}" for i in range(60)).encode()], 35)
+    assert a.spans(b"y w3 " + " ".join(f"w{i}" for i in range(5, 41)).encode() + b" z " + " ".join(f"w{i}" for i in range(20, 54)).encode()) == [(2, 38)]
+    monkeypatch.setattr(substring_dedup, "_located", lambda dealt, window: dealt.selectExpr("doc_id", "text_hash", "first", "first as last").limit(0))
+    assert {r.n_removed for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()} == {0}
+
+
+def test_substring_dedup_of_a_text_with_very_many_words(spark):
+    long = " ".join(map(str, range(1_200_000)))
+    part = " ".join(map(str, range(600_000, 600_050)))
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(documents(spark, [long, part, "short"])).collect()}
+    assert [got[i].n_removed for i in range(3)] == [50, 50, 0] and got[0].n_words == 1_200_000
+
+
 def alike(a, b):
     if a == b:
         return True
