@@ -2,26 +2,30 @@
 
 Lines are compared by their words, lower-cased. Two lines are alike if they are equal or, where
 both have FEWEST words or more, if one word inserted, deleted or replaced makes them equal (so at
-least four words of five agree). A line goes if an earlier one (by doc_id, then line number) is
-like it. Every line emits the hash of itself and of each variant that lacks one word; lines whose
-hashes meet are verified on the words themselves. The hash of a variant is that of its words in any
-order (a sieve only), which makes it the line's hash less one word. Lines that lack the same word place are all
-alike, and a shorter line is like each line that it is a variant of, so that the earliest line of
-a key decides and no pairs within a key are made.
-
-The query op9_line_dedup holds to MOST, as its SQL does. The pipeline's deduplicate() has no upper
-bound: lines of MOST words or more meet by their first or last half, one of which an edit of one
-word leaves as it is, and their variants are 128-bit hashes of words with their places, made in
-one step each, since variants of n words written out would grow with the square of n.
+least four words of five agree); there is no upper bound. A line goes if an earlier one (by doc_id,
+then line number) is like it.
+
+1. Every line emits the hash of its bag of words, whole and less each one word; lines that share
+   none of these are alike to nothing. A line of more than LONG words does so only if it shares
+   its first or last half with another, one of which an edit of one word leaves as it is. That
+   spares a key for each of its words and drops no pair.
+2. Lines that are left emit each variant that lacks one word as a 128-bit hash of words with their
+   places, one step each. Lines that lack the same word place are all alike, and a shorter line is
+   like each line that it is a variant of, so the earliest line of a variant decides and no pairs
+   within a variant are made.
+3. The pairs of a line and its earliest like are verified on the words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored
+from .common import dropped, stored
 
-FEWEST, MOST = 5, 32
+#: Fewest words of lines that an edit may part, and words beyond which lines meet by halves first.
+FEWEST, LONG = 5, 32
+#: Tasks that the copies of one frequent line are dealt to.
+SPREAD = 16
 _KEY = ["k1", "k2"]
 
 
@@ -43,56 +47,50 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.filter("plain <> ''").withColumns({"k1": F.xxhash64("plain"), "k2": F.xxhash64(F.lit(1), "plain")})
 
 
-def _without(i: Column) -> Column:
-    """The line without its i-th word, from 1."""
-    return F.concat_ws(" ", F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.size("words")))
-
-
 def _size() -> Column:
     return F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
 
 
-def distinct_lines(rows: DataFrame, most: int | None = MOST) -> DataFrame:
-    """(k1, k2, first, plain): where each different line stands first, and its words if it may have variants."""
-    short = F.when(_size() >= FEWEST if most is None else _size().between(FEWEST, most), F.col("plain"))
-    return rows.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(short).alias("plain"))
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """(k1, k2, first, copies, plain): where each different line stands first, and its words if it may have variants."""
+    some = F.when(_size() >= FEWEST, F.col("plain"))
+    return rows.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.max(some).alias("plain"))
 
 
-def repeated(known: DataFrame) -> DataFrame:
-    """(k1, k2) of the lines that an earlier, different line is like."""
-    short = known.filter("plain is not null").withColumn("words", F.split("plain", " "))
-    # The hash of a bag of words, so that those of all variants take one step each; words decide below.
-    hashed = short.select(*_KEY, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    hashed = hashed.withColumn("whole", F.aggregate("h", F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(h)))
-    each = F.transform("h", lambda h: F.col("whole").bitwiseXOR(h))
-    keys = hashed.select(*_KEY, F.explode(F.array_distinct(F.concat(F.array("whole"), each))).alias("key"))
+def _xor(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(h))
+
+
+def _that_meet(lines: DataFrame, keys: Column, name: str) -> DataFrame:
+    """(k1, k2) of the lines that share a key with another."""
+    each = lines.select(*_KEY, F.explode(F.array_distinct(keys)).alias("key"))
     # Stored, so that Spark knows its size when it picks the join.
-    met = stored(keys.groupBy("key").count().filter("count > 1").select("key"), "keys-met")
-    some = keys.join(met, "key", "left_semi").select(*_KEY).distinct()
-    some = stored(short.join(some, _KEY, "left_semi"), "lines-met")
-    variants = some.select(*_KEY, "first", F.size("words").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words")), _without)).alias("at", "variant"))
-    one = variants.groupBy("n", "at", "variant").agg(F.min("first").alias("before"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    replaced = variants.join(one, ["n", "at", "variant"]).filter("before < first").select(*_KEY)
-    shorter = some.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("first").alias("other"), F.col("plain").alias("variant"))
-    longer = variants.join(shorter, "variant")
-    later = F.when(F.col("other") < F.col("first"), F.struct(*_KEY)).otherwise(F.struct(F.col("s1").alias("k1"), F.col("s2").alias("k2")))
-    return replaced.unionByName(longer.select(later.alias("x")).select("x.*")).distinct()
+    met = stored(each.groupBy("key").count().filter("count > 1").select("key"), name)
+    return each.join(met, "key", "left_semi").select(*_KEY).distinct()
 
 
-def _xor(hashes: Column) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(h))
+def _mismatch(a: Column, b: Column) -> Column:
+    """How many words two lines have in common before the first that differs."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(at == 0, F.size(a)).otherwise(at - 1)
+
+
+def _one_edit(a: Column, b: Column) -> Column:
+    return _mismatch(a, b) + _mismatch(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def repeated_long(known: DataFrame) -> DataFrame:
-    """(k1, k2) of the lines of MOST words or more that an earlier, different one of them is like."""
-    long = known.filter(_size() >= MOST).withColumn("words", F.split("plain", " ")).withColumn("n", F.size("words"))
+def repeated(known: DataFrame) -> DataFrame:
+    """(k1, k2) of the lines that an earlier, different line is like."""
+    lines = known.filter("plain is not null").withColumn("words", F.split("plain", " ")).withColumn("n", F.size("words")).select(*_KEY, "first", "n", "words")
     # Of two like lines, the longer of m words, the first or the last (m - 1) / 2 words are equal; m is n or n + 1.
     halves = [F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")]
     ends = [F.xxhash64(F.lit(side), half, F.slice("words", F.lit(1) if side == 0 else F.col("n") - half + 1, half)) for half in halves for side in (0, 1)]
-    keys = long.select(*_KEY, F.explode(F.array_distinct(F.array(*ends))).alias("key"))
-    met = stored(keys.groupBy("key").count().filter("count > 1").select("key"), "halves-met")
-    some = keys.join(met, "key", "left_semi").select(*_KEY).distinct()
-    some = stored(long.join(some, _KEY, "left_semi").select(*_KEY, "first", "n", "words"), "long-lines-met")
+    by_halves = _that_meet(lines.filter(F.col("n") >= LONG), F.array(*ends), "halves-met")
+    sieved = lines.filter(F.col("n") <= LONG).unionByName(lines.filter(F.col("n") > LONG).join(by_halves, _KEY, "left_semi"))
+    # The hash of a bag of words is that of its variants after one step each.
+    hashed = sieved.select(*_KEY, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("whole", _xor(F.col("h")))
+    bags = F.concat(F.array("whole"), F.transform("h", lambda h: F.col("whole").bitwiseXOR(h)))
+    some = stored(lines.join(_that_meet(hashed, bags, "bags-met"), _KEY, "left_semi"), "lines-met")
     # The hash of a line is that of all its (word, place). Without word i, words before it keep their
     # place and words after it move up: moved ^ (in ^ moved of the words before i) ^ moved of word i.
     seeds = (0, 1)
@@ -104,54 +102,63 @@ def repeated_long(known: DataFrame) -> DataFrame:
     here = each.withColumns({f"h{s}": at_place(s, F.col("word"), F.col("at")) for s in seeds} | {f"g{s}": at_place(s, F.col("word"), F.col("at") - 1) for s in seeds})
     of_rest = lambda s: F.coalesce(F.bit_xor(F.col(f"h{s}").bitwiseXOR(F.col(f"g{s}"))).over(before), F.lit(0).cast("long"))
     less = [F.col(f"m{s}").bitwiseXOR(of_rest(s)).bitwiseXOR(F.col(f"g{s}")).alias(f"v{s}") for s in seeds]
-    variants = stored(here.select(*_KEY, "first", "n", "at", *less), "long-variants")
+    variants = stored(here.select(*_KEY, "first", "n", "at", *less), "variants")
     same = ["v0", "v1", "n"]
-    one = variants.groupBy(*same, "at").agg(F.min("first").alias("before"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    replaced = variants.join(one, [*same, "at"]).filter("before < first").select(*_KEY)
-    shorter = some.withColumns(whole).select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("first").alias("other"), "v0", "v1", "n")
-    longer = variants.withColumn("n", F.col("n") - 1).join(shorter, same)
-    later = F.when(F.col("other") < F.col("first"), F.struct(*_KEY)).otherwise(F.struct(F.col("s1").alias("k1"), F.col("s2").alias("k2")))
-    return replaced.unionByName(longer.select(later.alias("x")).select("x.*")).distinct()
-
-
-def marked(docs: DataFrame, most: int | None = MOST) -> DataFrame:
-    """docs with _lines (null for a null text) and _removed, the numbers of the lines that go."""
+    line, other = F.struct("first", *_KEY), F.struct("first", F.col("k1").alias("o1"), F.col("k2").alias("o2"))
+    one = variants.groupBy(*same, "at").agg(F.min(other).alias("before"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    replaced = variants.join(one, [*same, "at"]).filter(F.col("before.first") < F.col("first")).select(*_KEY, "before.o1", "before.o2")
+    shorter = some.withColumns(whole).select(line.alias("short"), *same)
+    longer = variants.withColumn("n", F.col("n") - 1).select(line.alias("long"), *same).join(shorter, same)
+    a, b = F.greatest("long", "short"), F.least("long", "short")
+    longer = longer.select(a["k1"].alias("k1"), a["k2"].alias("k2"), b["k1"].alias("o1"), b["k2"].alias("o2"), (a["first"] > b["first"]).alias("later")).filter("later").drop("later")
+    pairs = replaced.unionByName(longer).distinct()
+    words = some.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("words").alias("of_other"))
+    checked = pairs.join(some.select(*_KEY, "words"), _KEY).join(words, ["o1", "o2"]).filter(_one_edit(F.col("words"), F.col("of_other")))
+    near = stored(checked.select(*_KEY).distinct(), "near-lines")
+    dropped(some)
+    dropped(variants)
+    return near
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(row, text, lines, removed) of each row of docs: all its columns, its lines (null for a null text) and the numbers of those that go."""
     rows = lines(docs)
-    known = stored(distinct_lines(rows, most), "lines")
-    if most is None:
-        short = known.withColumn("plain", F.when(_size() <= MOST, F.col("plain")))
-        near = repeated(short).unionByName(repeated_long(known)).distinct()
-    else:
-        near = repeated(known)
-    state = known.select(*_KEY, "first").join(near.withColumn("near", F.lit(True)), _KEY, "left")
+    known = stored(distinct_lines(rows), "lines")
+    near = repeated(known)
+    state = known.select(*_KEY, "first", "copies").join(near.withColumn("near", F.lit(True)), _KEY, "left").filter("near or copies > 1")
+    # Only lines that repeat or are near meet here, and the copies of a frequent one are dealt to SPREAD tasks.
+    state = state.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     here = F.struct("doc_id", "line_no")
-    gone = rows.select("doc_id", "text_hash", "line_no", *_KEY).join(state, _KEY).filter(F.col("near").isNotNull() | ~F.col("first").eqNullSafe(here))
-    of_doc = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_removed"))
-    joined = docs.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (_text_hash() == F.col("_hash")), "left")
-    return joined.withColumn("_lines", F.split("text", "\n"))
+    some = rows.select("doc_id", "text_hash", "line_no", *_KEY, F.pmod(F.xxhash64("doc_id", "text_hash", "line_no"), F.lit(SPREAD)).cast("int").alias("copy"))
+    gone = some.join(state, [*_KEY, "copy"]).filter(F.col("near").isNotNull() | ~F.col("first").eqNullSafe(here))
+    of_doc = gone.groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.collect_set("line_no").alias("removed"))
+    own = docs.select(F.struct("*").alias("row"), "doc_id", _text_hash().alias("text_hash"), "text")
+    joined = own.join(of_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left")
+    return joined.select("row", "text", F.split("text", "\n").alias("lines"), "removed")
 
 
 def _kept() -> Column:
-    at = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
-    return F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(at, lambda i: F.get("_lines", i)), "\n"))
+    at = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    return F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(at, lambda i: F.get("lines", i)), "\n"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs, all rows and columns, with the lines that go taken out of text; lines have no upper bound of words.
+    """docs, all rows and columns, with the lines that go taken out of text.
 
-    Blank lines stay; a null text stays null; a text of which all lines go becomes empty. Rows
-    that repeat a doc_id have the same place in the order: of equal lines at the same place both
-    stay. A null doc_id comes first.
+    Blank lines stay; a null text stays null; a text of which all lines go becomes empty; a very
+    long text is only more lines, and a very long line only more words. Rows that repeat a doc_id
+    have the same place in the order: of equal lines at the same place both stay. A null doc_id
+    comes first. An empty table gives no rows. Extra columns of any name stay as they are.
     """
-    return marked(docs, None).withColumn("text", _kept()).select(*docs.columns)
+    return marked(docs).withColumn("row", F.col("row").withField("text", _kept())).select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and kept (the text that stays) of each document."""
+    """doc_id, n_lines, n_removed and kept (the text that stays) of each document; cases as in deduplicate()."""
     df = marked(docs.select("doc_id", "text"))
     return df.select(
-        "doc_id",
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        "row.doc_id",
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(_kept(), F.lit("")).alias("kept"),
     )

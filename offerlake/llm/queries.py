@@ -144,17 +144,24 @@ e AS (SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS
 k AS (SELECT e.r, string_agg(e.x, ' ' ORDER BY e.p) AS kept FROM e ANTI JOIN c ON e.r = c.r AND e.p = c.p GROUP BY e.r)
 SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN k ON d.r = k.r""",
+    # Like lines of 5 words or more share their first or last half of (m - 1) / 2 words, m being the longer's words.
     "op9_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM d),
-p AS (SELECT r, doc_id, line, line_no, lower(trim(regexp_replace(line, '[ 	-]+', ' ', 'g'))) AS plain FROM l),
+p AS (SELECT r, doc_id, line, line_no, lower(trim(regexp_replace(line, '[ \x09-\x0D]+', ' ', 'g'))) AS plain FROM l),
 k AS (SELECT plain, min((doc_id, line_no)) AS first, string_split(plain, ' ') AS w FROM p WHERE plain <> '' GROUP BY plain),
-s AS (SELECT plain, first, w, len(w) AS n FROM k WHERE len(w) BETWEEN 5 AND 32),
-v AS (SELECT plain, first, n, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : n]), ' ') AS variant FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM s)),
-x AS (
-  SELECT a.plain FROM v a JOIN v b ON a.n = b.n AND a.i = b.i AND a.variant = b.variant AND b.first < a.first
-  UNION SELECT a.plain FROM v a JOIN s b ON a.variant = b.plain AND b.first < a.first
-  UNION SELECT b.plain FROM v a JOIN s b ON a.variant = b.plain AND a.first < b.first),
+s AS (SELECT plain, first, w, len(w) AS n FROM k WHERE len(w) >= 5),
+h AS (
+  SELECT DISTINCT plain, first, w, n, c, side, CASE WHEN side = 0 THEN w[1 : c] ELSE w[n - c + 1 : n] END AS half
+  FROM (SELECT *, unnest([(n - 1) // 2, n // 2]) AS c FROM s), (VALUES (0), (1)) t(side)),
+y AS (
+  SELECT DISTINCT a.plain AS plain, a.w AS aw, b.w AS bw FROM h a JOIN h b
+  ON a.c = b.c AND a.side = b.side AND a.half = b.half AND abs(a.n - b.n) <= 1 AND b.first < a.first),
+z AS (
+  SELECT plain, greatest(len(aw), len(bw)) AS m,
+    coalesce(list_position(list_transform(range(1, least(len(aw), len(bw)) + 1), lambda i: aw[i] <> bw[i]), true) - 1, least(len(aw), len(bw))) AS head,
+    coalesce(list_position(list_transform(range(1, least(len(aw), len(bw)) + 1), lambda i: aw[-i] <> bw[-i]), true) - 1, least(len(aw), len(bw))) AS tail FROM y),
+x AS (SELECT DISTINCT plain FROM z WHERE head + tail >= m - 1),
 m AS (
   SELECT p.r, p.line, p.line_no, p.plain <> '' AND (x.plain IS NOT NULL OR k.first <> (p.doc_id, p.line_no)) AS gone
   FROM p LEFT JOIN k ON p.plain = k.plain LEFT JOIN x ON p.plain = x.plain),

@@ -13,6 +13,10 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
 
 
+#: Extra columns with names that operators might use.
+CLASHES = ["_id", "_hash", "_lines", "_removed", "score", "predicted", "row", "name", "lines", "removed", "text_hash", "line_no", "k1", "copy", "key", "bits", "_words", "_text", "hash"]
+
+
 def documents(spark, texts):
     return spark.createDataFrame([(i, t, "en", "s", 0, "clash") for i, t in enumerate(texts)], SCHEMA)
 
