@@ -14,16 +14,16 @@ from offerlake.llm.common import stored
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of label 1."""
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    return classifier.select(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier line repeats."""
-    return line_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
     return simhash.deduplicate(docs)
 
 

@@ -3,6 +3,9 @@
 The smallest hash of each run of consecutive k-grams is a fingerprint of the run. Runs span
 exactly one window of benchmark words, so a window that occurs in a document gives a fingerprint
 that both have. Fingerprints are joined, and each joined pair is extended word by word.
+
+Before words are put beside a document's fingerprint, it is held against a bit map of the
+benchmark's. The map has the same size for any benchmark; what passes it by chance ends in the join.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from .common import stored, texts
 
 #: Words of a window and of a k-gram. k + run - 1 = WINDOW, where run is the number of k-grams in a window.
 WINDOW, GRAM = 10, 5
-#: Fingerprints of the benchmark that may be sent to all tasks as a filter (8 bytes each). Beyond it, the join does without the filter.
-FILTER_ROWS = 1_000_000
+#: Binary digits of a place in the bit map (2^23 bits, 1 MB), which is the first digits of a fingerprint.
+MAP_DIGITS = 23
 CHUNK, CACHE_WORDS = 2 << 20, 500_000
 _OWN = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c in _OWN or c >= 128 else 32 for c in range(256))
@@ -80,7 +83,8 @@ def _selected(h: np.ndarray, ends: np.ndarray, short: list[int], wanted: np.ndar
             least = starts
         values = g[least]
         if wanted is not None:
-            there = np.isin(values, wanted)
+            at = values >> np.uint64(65 - (64 * len(wanted)).bit_length())
+            there = wanted[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
             least, values = least[there], values[there]
         out.append((least, values, k, need))
     return out
@@ -120,6 +124,16 @@ def _fingerprints(df: DataFrame, key: str, short: list[int], wanted: np.ndarray
     return df.select(key, text_hash().alias("text_hash"), "text").mapInArrow(run, schema)
 
 
+def _map(prints: DataFrame) -> np.ndarray:
+    """The bit map of fingerprints g in 64-bit numbers; the driver receives at most as many rows as it has numbers."""
+    at = F.shiftrightunsigned("g", 64 - MAP_DIGITS)
+    numbers = prints.select(F.shiftright(at, 6).alias("i"), at.bitwiseAND(63).cast("int").alias("b")).groupBy("i").agg(F.expr("bit_or(shiftleft(1L, b))").alias("x"))
+    out = np.zeros(1 << MAP_DIGITS - 6, np.uint64)
+    for r in numbers.collect():
+        out[r.i] = r.x & (1 << 64) - 1
+    return out
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Span of equal words around each joined pair, where it has a whole window."""
     for batch in batches:
@@ -144,13 +158,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
     Rows that repeat a doc_id with another text stay apart by text_hash.
     """
     items = benchmark.filter("item_id is not null")
-    sizes = _fingerprints(items, "item_id", [], np.zeros(0, np.uint64)).select("n_words").filter(F.col("n_words").between(1, WINDOW - 1)).distinct()
+    sizes = _fingerprints(items, "item_id", [], np.zeros(1 << MAP_DIGITS - 6, np.uint64)).select("n_words").filter(F.col("n_words").between(1, WINDOW - 1)).distinct()
     short = sorted(r.n_words for r in sizes.collect())  # below WINDOW values
     prints = stored(_fingerprints(items, "item_id", short, None).select("item_id", "n_words", F.inline("prints")).filter(F.col("need") == F.least("n_words", F.lit(WINDOW))), "items")
-    wanted = None
-    if prints.count() <= FILTER_ROWS:
-        wanted = np.array([r.g for r in prints.select("g").distinct().collect()], np.int64).astype(np.uint64)
-    rows = stored(_fingerprints(docs, "doc_id", short, wanted), "fingerprints")
+    rows = stored(_fingerprints(docs, "doc_id", short, _map(prints)), "fingerprints")
     sides = prints.select("g", "need", "item_id", F.col("left").alias("item_left"), F.col("context").alias("item_context")).distinct()
     pairs = rows.select("doc_id", "text_hash", F.inline("prints")).join(sides, ["g", "need"])
     schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), benchmark.schema["item_id"], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
@@ -162,8 +173,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids, sorted as strings), n_items, contaminated for each document.
 
     A null or empty text has no words and is clean; an item without words, or with a null id, is
-    left out; a shorter item than a window is one window. Repeated rows get equal results; other
-    columns are ignored.
+    left out; a shorter item than a window is one window; of equal hashes in a window the first is
+    its fingerprint; a very long text is taken as a whole. Repeated rows get equal results, a null
+    doc_id stays null, an empty table gives no rows, without items all is clean; other columns are
+    ignored.
     """
     rows, hits = overlaps(docs, benchmark)
     found = hits.groupBy("doc_id", "text_hash").agg(
@@ -180,6 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows."""
-    hits = overlaps(docs, benchmark)[1].select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left_anti")
+    """docs without the contaminated rows; cases as in decontaminate(), and extra columns of any name stay as they are."""
+    hits = overlaps(docs, benchmark)[1].select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", text_hash().alias("text_hash"))
+    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left_anti").select("row.*")

@@ -52,7 +52,7 @@ def _counts(docs: DataFrame) -> DataFrame:
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.when(text.rlike(r"[#*$%&|<>]"), F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).otherwise(0).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_stops": F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))),
+        "_stops": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))),
         "_windows": F.when(
             F.size("_words") >= 3,
             F.slice(F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))), 1, F.size("_words") - 2),
@@ -96,8 +96,10 @@ def passes(rules: tuple[Rule, ...]) -> Column:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, base counts, ratios and verdicts of each whole text.
 
-    A null text has no words and, like any text of fewer than 50 words, fails the base rules.
-    Repeated rows are judged alike, an empty table gives no rows, extra columns are not returned.
+    A null or empty text has no words and, like any text of fewer than 50 words, fails the base
+    rules; a very long text is judged as a whole; a metric at its threshold passes; stop words are
+    found in either case. Repeated rows are judged alike, an empty table gives no rows, extra
+    columns of any name are not returned.
     """
     df = _counts(docs.select("doc_id", "text")).withColumns({m: _ratio(*of) for m, of in METRICS.items()})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

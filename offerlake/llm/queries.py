@@ -92,7 +92,7 @@ m AS (
   SELECT w.doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
     len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-    len(lines) AS n_lines, len(list_filter(words, lambda x: x IN ({_STOPS}))) AS stops
+    len(lines) AS n_lines, len(list_filter(words, lambda x: lower(x) IN ({_STOPS}))) AS stops
   FROM w LEFT JOIN c ON w.doc_id = c.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

@@ -15,9 +15,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import dropped, stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys sampled for each range, and ranges for each shuffle partition.
 SAMPLE, RANGES = 20, 4
+#: Urls that fewer pages share are never split over tasks; beyond it, those are which more than one page in HOT_SHARE has.
+HOT_LEAST, HOT_SHARE = 1_000, 10_000
 _END = "\U0010ffff"
 
 
@@ -72,14 +76,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """page_id, host, path, rule (null where none fits) and verdict of each page.
 
     rules has host, path and verdict (allow or block). The longest rule (host and path together,
-    then the longer host) wins; where one rule has both verdicts, block does. A url without host
-    can only meet rules without host. Repeated rows are judged alike; an empty rule table leaves
-    every page to the default; other columns of pages are ignored.
+    then the longer host) wins; where one rule has both verdicts, block does. A null or empty url
+    or one without host can only meet rules without host; a very long url is one key as any other.
+    Repeated rows are judged alike and a null page_id stays; an empty rule table leaves every page
+    to the default; an empty table gives no rows; other columns of pages are ignored.
     """
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    # Equal keys, of copies or of hosts below one domain, are one row from here on.
-    keys = urls.select(F.explode(_probes(F.col("host"), F.col("path"))).alias("key")).distinct()
+    # Equal urls are one row from here on, and so are equal keys of hosts below one domain.
+    asked = stored(urls.groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
+    probes = asked.select("host", "path", F.explode(_probes(F.col("host"), F.col("path"))).alias("key"))
+    keys = stored(probes.select("key").distinct(), "url-keys")
     ranges = RANGES * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(keys.count(), 1)
     sample = sorted(x.key for x in keys.sample(min(1.0, SAMPLE * ranges / n), seed=11).collect())  # about SAMPLE * ranges keys
@@ -90,9 +97,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     none = F.lit(None).cast("string")
     events = _dealt(known, bounds, True).unionByName(_dealt(keys, bounds, False).withColumns({"rule": none, "verdict": none}))
     found = events.repartition("r").sortWithinPartitions("r", "key", F.col("rule").isNull()).mapInArrow(_sweep, "key string, rule string, verdict string")
-    asked = urls.select("host", "path").distinct().select("host", "path", F.explode(_probes(F.col("host"), F.col("path"))).alias("key"))
     # The key's host has as many characters as the rule's, so the longest key part is the longest host.
-    best = asked.join(found, "key").groupBy("host", "path").agg(
+    best = stored(probes.join(found, "key").groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), F.length(F.substring_index("key", "\n", 1)).alias("h"), "rule", "verdict")).alias("b")
-    )
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+    ), "url-rules")
+    # At most HOT_SHARE urls are that frequent; their pages are dealt to several tasks.
+    least = max(HOT_LEAST, (asked.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(stored(asked.filter(F.col("n") > least).select("host", "path", F.ceil(F.col("n") / least).cast("int").alias("copies")), "hot-urls"))
+    copies = F.coalesce("copies", F.lit(1))
+    best = best.join(hot, ["host", "path"], "left").select("host", "path", "b", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    dealt = urls.join(hot, ["host", "path"], "left").withColumn("copy", F.pmod(F.xxhash64("page_id"), copies).cast("int"))
+    dropped(asked)
+    dropped(keys)
+    return dealt.join(best, ["host", "path", "copy"], "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))

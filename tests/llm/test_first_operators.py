@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from offerlake.llm import classifier, decontaminate, packing, quality_rules, simhash, url_filter
 
@@ -54,12 +55,55 @@ def test_classifier_learns_and_handles_edges(spark):
     assert all(r.predicted == int(r.doc_id < 60) for r in rows if r.doc_id < 120)
     seen = {r.doc_id for r in labels.filter(~classifier.held_out()).collect() if r.doc_id is not None}
     assert seen == {i for i in range(120) if zlib.crc32(str(i).encode()) % 5}
+    more = docs.withColumns({c: F.lit(c) for c in CLASHES})
+    assert {(r.doc_id, *r[6:]) for r in classifier.select(more, model).collect()} == {(r.doc_id, *CLASHES) for r in rows if r.predicted}
     one = classifier.fit(docs, labels.filter("quality = 1"))
     assert all(r.predicted == 1 and abs(r.score - 0.3) < 1e-6 for r in classifier.score(docs, one).collect())
     assert classifier.fit(docs.limit(0), labels).rows == 0
 
 
-def test_url_filter_brute_force(spark):
+def plain_features(text):
+    """The features one by one, from their definitions."""
+    b = (text or "").encode()
+    words, lines = re.split(rb"[ \t\n\r\x0b\x0c]+", b.strip(b" \t\n\r\x0b\x0c")) if b.strip() else [], [x for x in b.split(b"\n") if x.strip()]
+    n, size = max(len(words), 1), max(len(b), 1)
+    out = [sum(1 for c in b if c in kind) / size for kind in classifier.CLASSES]
+    out += [sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / n, 1 - len(set(words)) / n, sum(w.isupper() for w in words) / n, 1 - len(set(lines)) / max(len(lines), 1)]
+    out += [min(sum(map(len, words)) / n / 20, 1), min(max([len(w) for w in words], default=0) / 200, 1)]
+    return [*out, *(x**0.5 for x in out), np.log1p(len(words)), np.log1p(len(lines)), np.log1p(len(words) / max(len(lines), 1))]
+
+
+def test_classifier_against_plain_numpy():
+    for t in EDGES + ["A B b b\nc!? 12\n\nÜ | x", "#x"]:
+        assert np.allclose(classifier.features(t if t is None else t.encode()), plain_features(t)), t
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(200, classifier.SIZE)), np.arange(200) % 2
+    x[y == 1, :3] += 0.7
+    model = classifier.fit_pairs(x, y)
+    z, pick = (x - x.mean(0)) / x.std(0), np.random.default_rng(7)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    pairs = classifier.PAIRS_PER_ROW * 100 + 100
+    d = z[good[pick.permutation(pairs) % 100]] - z[bad[pick.permutation(pairs) % 100]]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + classifier.L2 / 2 * w @ w
+    least = loss(model.weights)
+    assert least < loss(np.zeros(classifier.SIZE))
+    for _ in range(200):  # the loss is convex, so no step may lower it
+        assert loss(model.weights + rng.normal(size=classifier.SIZE) * 10 ** rng.uniform(-4, 0)) >= least - 1e-9
+    raw = z @ model.weights
+    balance = lambda c: (raw[good] >= c).mean() + (raw[bad] < c).mean()
+    assert balance(model.threshold) >= max(map(balance, np.quantile(raw, np.linspace(0.002, 0.998, 499)))) - 1e-9
+    s = model.score(x)
+    assert np.array_equal(s >= classifier.CUT, raw >= model.threshold - 1e-9) and np.array_equal(np.argsort(s, kind="stable"), np.argsort(raw, kind="stable"))
+
+
+def test_classifier_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = classifier.score(docs, classifier.fit(docs, labels)).join(labels, "doc_id").filter(classifier.held_out()).collect()
+    assert len(rows) > 50 and np.mean([r.predicted == r.quality for r in rows]) > 0.95
+
+
+def test_url_filter_brute_force(spark, monkeypatch):
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "", "block"), ("example.net", "/de/8", "block"), ("a.example.net", "/de/8/9", "allow")]
     urls = [None, "", "nohost/en/7", "http://example.com/en/7", "https://A.Example.COM/en/78?x#y", "http://xexample.com/en/71", "http://example.net", "http://b.example.net?q", "http://c.a.example.net/de/8/9/1", "http://exa.net/de/8", "http://network/de/", "x://com/en/", "http://com/en"]
     urls += ["http://hot.example.com/en/7"] * 50
@@ -72,6 +116,9 @@ def test_url_filter_brute_force(spark):
         fit = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
         best = max(fit, key=lambda r: len(r[0] + r[1]), default=None)
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, best and best[0] + best[1], best[2] if best else "allow"), u
+    monkeypatch.setattr(url_filter, "HOT_LEAST", 4)  # the url of 50 pages is split
+    again = {r.page_id: r for r in url_filter.judge(pages, table).collect()}
+    assert again == got
     assert {r.verdict for r in url_filter.judge(pages, table.limit(0)).collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), table).count() == 0
 
@@ -81,7 +128,7 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
 
 
-def test_decontamination_brute_force(spark):
+def test_decontamination_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     vocabulary = [f"v{i}" for i in range(40)] + ["ü", "é9"]
     make = lambda n: " ".join(rng.choice(vocabulary, n))
@@ -104,8 +151,14 @@ def test_decontamination_brute_force(spark):
                     ids.add(str(i))
         r = got[d]
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (len(w), len(hit), sorted(ids), bool(hit)), d
-    kept = {r.doc_id for r in decontaminate.clean(documents(spark, texts), benchmark).collect()}
-    assert kept == {d for d in got if not got[d].contaminated}
+    more = documents(spark, texts).withColumns({c: F.lit(c) for c in CLASHES})
+    kept = decontaminate.clean(more, benchmark).collect()
+    assert {r.doc_id for r in kept} == {d for d in got if not got[d].contaminated} and all(r[c] == c for r in kept for c in CLASHES)
+    monkeypatch.setattr(decontaminate, "MAP_DIGITS", 7)  # a map that lets most fingerprints pass
+    again = {r.doc_id: r for r in decontaminate.decontaminate(documents(spark, texts), benchmark).collect()}
+    assert again == got
+    assert {r.contaminated for r in decontaminate.decontaminate(documents(spark, texts), benchmark.limit(0)).collect()} == {False}
+    assert decontaminate.clean(documents(spark, ["x"]).limit(0), benchmark).count() == 0
 
 
 def plain_fingerprint(text):
@@ -210,6 +263,9 @@ def test_simhash_keeps_one_row_of_each_component(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0, "clash") for i, t in rows], SCHEMA)
     got = simhash.deduplicate(docs)
     assert got.columns == docs.columns
+    more = simhash.deduplicate(docs.withColumns({c: F.lit(c) for c in CLASHES})).collect()
+    assert sorted(map(str, (r[:6] for r in more))) == sorted(map(str, map(tuple, got.collect()))) and {r[6:] for r in more} == {tuple(CLASHES)}
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     want = [(3, a), (7, b), (9, e), (None, c), (None, d), (None, None)]
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted(want, key=key)
