@@ -62,11 +62,13 @@ def _xor(hashes: Column) -> Column:
 
 
 def _that_meet(lines: DataFrame, keys: Column, name: str) -> DataFrame:
-    """(k1, k2) of the lines that share a key with another."""
+    """Stored (k1, k2) of the lines that share a key with another."""
     each = lines.select(*_KEY, F.explode(F.array_distinct(keys)).alias("key"))
-    # Stored, so that Spark knows its size when it picks the join.
+    # Both are stored, so that Spark knows their size when it picks a join, and a few keys don't make all lines move.
     met = stored(each.groupBy("key").count().filter("count > 1").select("key"), name)
-    return each.join(met, "key", "left_semi").select(*_KEY).distinct()
+    out = stored(each.join(met, "key", "left_semi").select(*_KEY).distinct(), name + "-lines")
+    dropped(met)
+    return out
 
 
 def _mismatch(a: Column, b: Column) -> Column:
@@ -90,7 +92,10 @@ def repeated(known: DataFrame) -> DataFrame:
     # The hash of a bag of words is that of its variants after one step each.
     hashed = sieved.select(*_KEY, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("whole", _xor(F.col("h")))
     bags = F.concat(F.array("whole"), F.transform("h", lambda h: F.col("whole").bitwiseXOR(h)))
-    some = stored(lines.join(_that_meet(hashed, bags, "bags-met"), _KEY, "left_semi"), "lines-met")
+    by_bags = _that_meet(hashed, bags, "bags-met")
+    some = stored(lines.join(by_bags, _KEY, "left_semi"), "lines-met")
+    dropped(by_halves)
+    dropped(by_bags)
     # The hash of a line is that of all its (word, place). Without word i, words before it keep their
     # place and words after it move up: moved ^ (in ^ moved of the words before i) ^ moved of word i.
     seeds = (0, 1)
