@@ -31,7 +31,7 @@ from .common import dropped, stored, texts
 WINDOW, GRAM = 35, 8
 CHUNK, CACHE_WORDS = 2 << 20, 500_000
 #: Words of the passages of one automaton, and words of the segments that one task streams through it before they are split.
-SHARD_WORDS, STREAM_WORDS = 500_000, 2_000_000
+SHARD_WORDS, STREAM_WORDS = 500_000, 250_000
 #: Copies of the small plan of shards, so that segments of one large shard are dealt to several tasks.
 SPREAD = 16
 
