@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import dropped, stored
+from .common import bucketed, dropped, stored
 
 #: Fewest words of lines that an edit may part, and words beyond which lines meet by halves first.
 FEWEST, LONG = 5, 32
@@ -52,9 +52,16 @@ def _size() -> Column:
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
-    """(k1, k2, first, copies, plain): where each different line stands first, and its words if it may have variants."""
+    """(k1, k2, first, copies, plain, n, ends): where each different line stands first and, if it may have variants, its words and their number.
+
+    ends, of lines of LONG words or more, are the hashes of their halves: of two like lines, the
+    longer of m words, the first or the last (m - 1) / 2 words are equal; m is n or n + 1.
+    """
     some = F.when(_size() >= FEWEST, F.col("plain"))
-    return rows.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.max(some).alias("plain"))
+    known = rows.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.max(some).alias("plain")).withColumn("n", _size())
+    halves, words = [F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")], F.col("plain")
+    ends = [F.xxhash64(F.lit(side), half, F.call_function("substring_index", words, F.lit(" "), half if side == 0 else -half)) for half in halves for side in (0, 1)]
+    return known.withColumn("ends", F.when(F.col("n") >= LONG, F.array(*ends)))
 
 
 def _xor(hashes: Column) -> Column:
@@ -83,17 +90,15 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def repeated(known: DataFrame) -> DataFrame:
     """(k1, k2) of the lines that an earlier, different line is like."""
-    lines = known.filter("plain is not null").withColumn("words", F.split("plain", " ")).withColumn("n", F.size("words")).select(*_KEY, "first", "n", "words")
-    # Of two like lines, the longer of m words, the first or the last (m - 1) / 2 words are equal; m is n or n + 1.
-    halves = [F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")]
-    ends = [F.xxhash64(F.lit(side), half, F.slice("words", F.lit(1) if side == 0 else F.col("n") - half + 1, half)) for half in halves for side in (0, 1)]
-    by_halves = _that_meet(lines.filter(F.col("n") >= LONG), F.array(*ends), "halves-met")
-    sieved = lines.filter(F.col("n") <= LONG).unionByName(lines.filter(F.col("n") > LONG).join(by_halves, _KEY, "left_semi"))
+    by_halves = _that_meet(known.filter(F.col("n") >= LONG), F.col("ends"), "halves-met")
+    # known lies in buckets by the keys, so these joins move no lines.
+    lines = known.filter("n is not null").select(*_KEY, "first", "n", F.split("plain", " ").alias("words"))
+    sieved = lines.filter(F.col("n") <= LONG).unionByName(lines.filter(F.col("n") > LONG).join(by_halves.hint("shuffle_hash"), _KEY, "left_semi"))
     # The hash of a bag of words is that of its variants after one step each.
     hashed = sieved.select(*_KEY, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("whole", _xor(F.col("h")))
     bags = F.concat(F.array("whole"), F.transform("h", lambda h: F.col("whole").bitwiseXOR(h)))
     by_bags = _that_meet(hashed, bags, "bags-met")
-    some = stored(lines.join(by_bags, _KEY, "left_semi"), "lines-met")
+    some = stored(lines.join(by_bags.hint("shuffle_hash"), _KEY, "left_semi"), "lines-met")
     dropped(by_halves)
     dropped(by_bags)
     # The hash of a line is that of all its (word, place). Without word i, words before it keep their
@@ -128,7 +133,7 @@ def repeated(known: DataFrame) -> DataFrame:
 def marked(docs: DataFrame) -> DataFrame:
     """(row, text, lines, removed) of each row of docs: all its columns, its lines (null for a null text) and the numbers of those that go."""
     rows = lines(docs)
-    known = stored(distinct_lines(rows), "lines")
+    known = bucketed(distinct_lines(rows), "lines", *_KEY)
     near = repeated(known)
     state = known.select(*_KEY, "first", "copies").join(near.withColumn("near", F.lit(True)), _KEY, "left").filter("near or copies > 1")
     # Only lines that repeat or are near meet here, and the copies of a frequent one are dealt to SPREAD tasks.
