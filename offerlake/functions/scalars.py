@@ -1,4 +1,4 @@
-"""Scalar helpers over columns: defaults, prices, slugs and urls."""
+"""Scalar helpers over columns: prices, slugs and urls."""
 
 from __future__ import annotations
 
@@ -6,14 +6,11 @@ from pyspark.sql import Column, functions as F
 
 #: Path segments that name a category rather than a product.
 CATEGORY_SLUGS = (
-    "processor", "motherboard", "graphics-card", "ram", "ssd", "hard-disk", "storage", "power-supply", "smps", "cabinet",
-    "cpu-cooler", "cooler", "monitor", "keyboard", "mouse", "headset", "laptop", "accessories", "memory",
+    "processor", "cpu-cooler", "motherboard", "graphics-card", "desktop-ram", "internal-hdd", "sata-ssd", "gen3-ssd", "gen4-ssd", "gen5-ssd",
+    "monitor", "cabinet", "smps", "external-hdd", "external-ssd", "laptop-ram", "ram", "storage", "hard-drive",
 )
-
-
-def or_default(col: Column, default) -> Column:
-    """default where col is null, zero or empty."""
-    return F.coalesce(F.nullif(col, F.lit(0)), F.lit(default))
+#: Parts of a listing's path that say that its pages are path segments.
+PATH_PAGES = ("buy-online-price-india", "product-category", "/page/")
 
 
 def clean_price(text: Column) -> Column:
@@ -22,38 +19,51 @@ def clean_price(text: Column) -> Column:
 
 
 def slug(url: Column, name: Column, category_slugs: tuple[str, ...] = CATEGORY_SLUGS) -> Column:
-    """Product id of a url: the segment after /product/ that is no category, else the last segment, else the name."""
+    """Product id of a url: the segment after /product/ that is no category, else the last segment, else the name with hyphens for spaces."""
     path = F.rtrim(F.split_part(url, F.lit("?"), F.lit(1)), F.lit("/"))
     last = F.element_at(F.split(path, "/"), -1)
     after = F.filter(F.split(F.split_part(path, F.lit("/product/"), F.lit(2)), "/"), lambda x: x != "")
     first, end = F.get(after, F.lit(0)), F.element_at(after, -1)
-    chosen = (
-        F.when(F.size(after) == 0, last)
-        .when(first.isin(*category_slugs) & (F.size(after) > 1), end)
-        .otherwise(first)
-    )
-    by_name = F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-")
+    chosen = F.when(F.size(after) == 0, last).when(F.lower(first).isin(*category_slugs) & (F.size(after) > 1), end).otherwise(first)
+    by_name = F.replace(F.lower(name), F.lit(" "), F.lit("-"))
     return F.when(F.coalesce(url, F.lit("")) == "", by_name).when(F.contains(path, F.lit("/product/")), chosen).otherwise(last)
 
 
-def search_url(template: Column, query: Column, page: Column) -> Column:
-    """A search url: {query} form-encoded, {page} as number."""
-    return F.replace(F.replace(template, F.lit("{query}"), F.url_encode(query)), F.lit("{page}"), page.cast("string"))
+def search_url(template: Column, query: Column, page: Column, later: Column | None = None) -> Column:
+    """A search url: {query} form-encoded, {page} as number; pages after the first by the template later, if there is one."""
+    chosen = template if later is None else F.when((page > 1) & later.isNotNull(), later).otherwise(template)
+    return F.replace(F.replace(chosen, F.lit("{query}"), F.url_encode(query)), F.lit("{page}"), page.cast("string"))
+
 
+def _under(base: Column, endpoint: Column) -> Column:
+    return F.when(endpoint.startswith("http"), endpoint).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), F.ltrim(endpoint, F.lit("/"))))
 
-def category_url(platform: Column, base: Column, endpoint: Column, page: Column) -> Column:
-    """Page n of a category listing in the dialect of a shop platform."""
-    root, path = F.rtrim(base, F.lit("/")), F.trim(endpoint, F.lit("/"))
-    number, plain = page.cast("string"), F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), F.trim(endpoint, F.lit("/")))
+
+def category_url(dialect: Column, base: Column, endpoint: Column, page: Column) -> Column:
+    """Page n of a category listing: shopify, fleetcart, htmx and next by the shop's dialect, else path or query pages by the endpoint."""
+    n, url = page.cast("string"), _under(base, endpoint)
+    asks = F.contains(url, F.lit("?"))
+    more = lambda text: F.when(asks, F.concat(url, F.lit("&" + text), n)).otherwise(F.concat(url, F.lit("?" + text), n))
+    json = F.when(F.contains(endpoint, F.lit("products.json")), F.when(page > 1, more("page=")).otherwise(url)).otherwise(
+        F.concat(url, F.lit("/products.json?limit=250"), F.when(page > 1, F.concat(F.lit("&page="), n)).otherwise(""))
+    )
+    last = F.element_at(F.split(F.trim(endpoint, F.lit("/")), "/"), -1)
+    stocked = F.when(asks, F.when(page > 1, F.concat(url, F.lit("&page="), n)).otherwise(url)).otherwise(F.concat(url, F.lit("?in_stock=true"), F.when(page > 1, F.concat(F.lit("&page="), n)).otherwise("")))
+    by_path = F.lit(False)
+    for part in PATH_PAGES:
+        by_path = by_path | F.contains(url, F.lit(part))
+    head, tail = F.rtrim(F.split_part(url, F.lit("?"), F.lit(1)), F.lit("/")), F.when(asks, F.concat(F.lit("?"), F.substring_index(url, "?", -1))).otherwise("")
+    paged = F.when(by_path, F.concat(head, F.lit("/page/"), n, F.lit("/"), tail)).otherwise(more("page="))
     return (
-        F.when(platform == "shopify", F.concat(root, F.lit("/"), path, F.lit("/products.json?limit=250&page="), number))
-        .when(platform == "fleetcart", F.concat(plain, F.lit("?perPage=30&page="), number))
-        .when(platform == "woocommerce", F.when(page > 1, F.concat(plain, F.lit("/page/"), number, F.lit("/"))).otherwise(F.concat(plain, F.lit("/"))))
-        .otherwise(F.when(page > 1, F.concat(plain, F.lit("?page="), number)).otherwise(plain))
+        F.when(dialect == "shopify", F.when(endpoint.startswith("http"), endpoint).otherwise(json))
+        .when(dialect == "fleetcart", F.concat(F.rtrim(base, F.lit("/")), F.lit("/products?category="), last, F.lit("&page="), n))
+        .when(dialect == "htmx", F.when(page == 1, url).otherwise(F.concat(more("page="), F.lit("&sort=newest"))))
+        .when(dialect == "next", stocked)
+        .otherwise(F.when(page == 1, url).otherwise(paged))
     )
 
 
 def product_url(base: Column, path: Column, platform: Column) -> Column:
     """Absolute product url; shopify products without a query are read as JSON."""
-    full = F.when(path.startswith("http"), path).otherwise(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), F.ltrim(path, F.lit("/"))))
-    return F.when((platform == "shopify") & ~F.contains(full, F.lit("?")) & ~full.endswith(".json"), F.concat(full, F.lit(".json"))).otherwise(full)
+    full = _under(base, path)
+    return F.when((platform == "shopify") & ~F.contains(full, F.lit("?")) & ~full.endswith(".json"), F.concat(F.rtrim(full, F.lit("/")), F.lit(".json"))).otherwise(full)

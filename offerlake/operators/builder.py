@@ -1,61 +1,169 @@
-"""Build validation for any number of builds at once: items (build_id, product_id, name, sid, price) with specs.
+"""Build validation for any number of builds at once.
 
-Rules compare parts of one build, so their joins are keyed by build_id with the rule as a further
-condition.
+Items are (build_id, product_id, name, sid, price, t, kind) and the specifications of their kind,
+one row for each part of a build. validate() makes one aggregate by build: sums, flags and the list
+of the parts that rules compare, which holds what one build was composed of. Every other answer
+about builds reads its result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-SLOTS = [("cpu", True), ("motherboard", True), ("ram", True), ("gpu", False), ("storage", True), ("psu", True), ("cabinet", True)]
+from offerlake.functions import rules
+
+#: Key, name and whether a build needs it.
+SLOTS = (
+    ("cpu", "Processor (CPU)", True),
+    ("motherboard", "Motherboard", True),
+    ("gpu", "Graphics Card (GPU)", False),
+    ("ram", "Memory (RAM)", True),
+    ("storage", "Storage (SSD/HDD)", True),
+    ("psu", "Power Supply (PSU)", True),
+    ("case", "Cabinet / Case", False),
+)
+#: What the category of a product for a slot holds.
+SLOT_CATEGORIES = {"cpu": "CPU", "gpu": "GPU", "motherboard": "MOTHERBOARD", "ram": "RAM", "storage": "SSD", "psu": "PSU", "case": "CABINET"}
 SOCKETS = ("lga1700", "lga1851", "am5", "am4", "lga1200")
+#: Power of a part in watts by words of its name, the first that fits; other parts; room that a supply needs.
+POWER = (
+    (("rtx 5090", "rtx 4090"), 450),
+    (("rtx 5080", "rtx 4080"), 320),
+    (("rtx 5070", "rtx 4070"), 250),
+    (("cpu", "ryzen", "intel"), 125),
+)
+OTHER, HEADROOM = 30, 100
+#: Words of a power supply's name.
+SUPPLIES = ("power supply", "psu", "80+")
+#: Power of parts of unknown power, of the rest of a build, a card's needs and a supply's capacity where unknown.
+CPU_WATTS, GPU_WATTS, BASE_WATTS, NEEDED_PSU, PSU_WATTS = 120, 250, 50, 650, 600
+#: The wording of notices.
+MESSAGES = {
+    "sockets": "Socket Mismatch Detected: Selected components reference multiple incompatible sockets ({}).",
+    "memory types": "RAM Generation Mismatch: Build mixes incompatible memory standards ({}).",
+    "supply": "Power Supply Capacity Warning: Selected {}W PSU is close to or below recommended head-room for {}W estimated build draw.",
+    "socket": "Socket Mismatch: CPU socket ({}) is incompatible with Motherboard socket ({}).",
+    "memory": "RAM Standard Mismatch: Motherboard supports {}, but selected RAM is {}.",
+    "psu": "PSU Capacity Warning: GPU recommends at least {}W PSU, but selected PSU is {}W.",
+    "length": "GPU Clearance Error: GPU length ({}mm) exceeds Cabinet max clearance ({}mm).",
+    "cooler": "Cooler Mounting Check: Verify cooler mounting kit supports {} socket.",
+}
+#: The order of notices and their level; errors make a build incompatible.
+LEVELS = {"sockets": "error", "memory types": "error", "supply": "warning", "socket": "error", "memory": "error", "psu": "warning", "length": "error", "cooler": "warning"}
+_NOTICE = "array<struct<seq:int,rule:string,level:string,a:bigint,b:bigint,message:string>>"
 
 
-def cost(items: DataFrame) -> DataFrame:
-    """Sum of known prices of each build."""
-    return items.groupBy("build_id").agg(F.sum(F.when(F.coalesce("price", F.lit(0)) != 0, F.col("price"))).cast("double").alias("total_min_cost"), F.count("*").alias("n_items"))
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that later expressions read as they are, instead of taking in the whole expression each time."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def cost_by_store(items: DataFrame, stores: DataFrame) -> DataFrame:
-    """Sum and count of priced items of each active shop, zero where there is none."""
-    sums = items.filter("coalesce(price, 0) <> 0").groupBy("sid").agg(F.sum("price").cast("double").alias("total"), F.count("*").alias("n_items"))
-    return stores.filter("active").select(F.col("id").alias("sid"), "display_name").join(sums, "sid", "left").na.fill(0, ["total", "n_items"])
-
-
-def sockets(items: DataFrame) -> DataFrame:
-    """Sockets and memory types that each build's names show; more than one of either is an error."""
-    t = F.lower("name")
-    found = F.filter(F.array(*[F.when(F.contains(t, F.lit(s)), F.lit(s)) for s in SOCKETS]), lambda x: x.isNotNull())
-    ram = F.when(F.contains(t, F.lit("ddr5")), "ddr5").when(F.contains(t, F.lit("ddr4")), "ddr4")
-    out = items.groupBy("build_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(found)))).alias("s"), F.sort_array(F.collect_set(ram)).alias("r"))
-    return out.select("build_id", F.array_join("s", ", ").alias("sockets"), F.array_join("r", ", ").alias("ram_types"), ((F.size("s") <= 1) & (F.size("r") <= 1)).alias("compatible"))
-
-
-def wattage(items: DataFrame) -> DataFrame:
-    """50 W and the parts' power: processors 120 and graphics 250 where unknown or zero; supplies and needs."""
-    at = lambda kind, c: F.when(F.col("kind") == kind, c)
-    tdp = lambda d: F.coalesce(F.nullif("tdp", F.lit(0)), F.lit(d))
-    return items.groupBy("build_id").agg(
-        (F.coalesce(F.sum(F.when(F.col("kind") == "cpu", tdp(120)).when(F.col("kind") == "gpu", tdp(250))), F.lit(0)) + 50).alias("estimated_wattage"),
-        F.max(at("gpu", F.coalesce(F.nullif("recommended_psu", F.lit(0)), F.lit(650)))).alias("needed_psu"),
-        F.max(at("psu", F.coalesce(F.nullif("wattage", F.lit(0)), F.lit(600)))).alias("psu_capacity"),
-    )
+def specified(products: DataFrame, **known: Column) -> DataFrame:
+    """products (name, specifications, ...) with t, kind and the specifications that builds compare; known adds or replaces columns."""
+    df = staged(products, t=F.lower("name"), c=F.lit(rules.OTHER))
+    df = staged(df, granular=rules.column(rules.title_sql())).drop("t", "c")
+    df = staged(df, kind=rules.kind_of(F.col("granular"), granular=True), t=F.lower(F.concat_ws(" ", "name", F.coalesce("specifications", F.lit("{}")))))
+
+    def of(column: str) -> Column:
+        out = None
+        for kind, specs in rules.SPECS.items():
+            if column in specs:
+                hit = rules.column(specs[column])
+                out = F.when(F.col("kind") == kind, hit) if out is None else out.when(F.col("kind") == kind, hit)
+        return out
+
+    return staged(df, **{c: of(c) for c in ("socket", "memory_type", "tdp", "recommended_psu", "wattage")}, **known)
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def _worded(rule: str, *values: Column) -> Column:
+    parts = MESSAGES[rule].split("{}")
+    return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:]) for x in (v.cast("string"), F.lit(p))])
+
+
+def _notice(rule: str, message: Column, a: Column | None = None, b: Column | None = None) -> Column:
+    none = F.lit(None).cast("bigint")
+    seq = F.lit(list(LEVELS).index(rule) + 1)
+    return F.struct(seq.alias("seq"), F.lit(rule).alias("rule"), F.lit(LEVELS[rule]).alias("level"), (none if a is None else a).alias("a"), (none if b is None else b).alias("b"), message.alias("message"))
+
 
+def validate(items: DataFrame) -> DataFrame:
+    """One row for each build: compatible, notices (in order), watts, cost and what the parts' names say.
 
-def conflicts(items: DataFrame) -> DataFrame:
-    """(build_id, seq, rule, a, b): pairs of parts that do not fit."""
-    side = lambda kind, p: items.filter(F.col("kind") == kind).select(F.col("build_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("product_id", "socket", "memory_type", "length_mm", "max_gpu_length_mm", "supported_sockets")])
-    differ = lambda c: (F.upper(f"a_{c}") != F.upper(f"b_{c}")) & (F.col(f"a_{c}") != "") & (F.col(f"b_{c}") != "")
-    rules = [
-        (1, "socket", "cpu", "motherboard", differ("socket")),
-        (2, "memory", "motherboard", "ram", differ("memory_type")),
-        (4, "length", "gpu", "cabinet", (F.col("a_length_mm") > F.col("b_max_gpu_length_mm")) & (F.col("b_max_gpu_length_mm") > 0)),
-        (5, "cooler", "cooler", "cpu", ~F.contains(F.upper("a_supported_sockets"), F.upper("b_socket")) & (F.col("b_socket") != "")),
+    Unknown specifications meet no rule, unknown or zero watts are the fixed ones, an unknown or
+    zero price costs nothing.
+    """
+    name, known = F.lower("name"), F.coalesce("price", F.lit(0)) != 0
+    drawn = F.lit(OTHER)
+    for words, n in reversed(POWER):
+        drawn = F.when(_any(name, words), n).otherwise(drawn)
+    words = F.filter(F.split(name, r"\s+"), lambda w: w.rlike(r"^\d+w$"))
+    supply = F.when(_any(name, SUPPLIES), F.array_max(F.transform(words, lambda w: F.rtrim(w, F.lit("w")).try_cast("long"))))
+    known_or = lambda c, n: F.coalesce(F.nullif(c, F.lit(0)), F.lit(n))
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    ddr5 = F.contains("t", F.lit("ddr5"))
+    part = F.struct("product_id", "kind", "socket", "memory_type", "length_mm", "max_gpu_length_mm", "supported_sockets")
+    compared = F.col("kind").isin("cpu", "motherboard", "ram", "gpu", "cabinet", "cooler")
+    b = items.groupBy("build_id").agg(
+        F.count("*").alias("n_items"), F.sum(F.when(known, F.col("price"))).cast("double").alias("total_min_cost"),
+        *[F.max(F.contains("t", F.lit(s))).alias(f"has_{s}") for s in SOCKETS], F.max(ddr5).alias("has_ddr5"), F.max(~ddr5 & F.contains("t", F.lit("ddr4"))).alias("has_ddr4"),
+        F.sum(drawn).alias("drawn"), F.coalesce(F.max(supply), F.lit(0)).alias("supply"),
+        (F.coalesce(F.sum(of("cpu", known_or("tdp", CPU_WATTS))), F.lit(0)) + F.coalesce(F.sum(of("gpu", known_or("tdp", GPU_WATTS))), F.lit(0)) + BASE_WATTS).alias("estimated_wattage"),
+        F.max(of("gpu", known_or("recommended_psu", NEEDED_PSU))).alias("needed_psu"), F.max(of("psu", known_or("wattage", PSU_WATTS))).alias("psu_capacity"),
+        F.sort_array(F.collect_list(F.when(compared, part))).alias("parts"),
+    )
+    seen = lambda names: F.filter(F.array(*[F.when(F.col(f"has_{s}"), F.lit(s.upper())) for s in sorted(names)]), lambda x: x.isNotNull())
+    b = staged(b, sockets=seen(SOCKETS), ram_types=seen(("ddr4", "ddr5")), short=(F.col("supply") > 0) & (F.col("supply") < F.col("drawn") + HEADROOM))
+    listed = lambda c: F.array_join(c, ", ")
+    one = lambda cond, notice: F.when(cond, F.array(notice))
+
+    def pairs(rule: str, left: str, right: str, clash, values) -> Column:
+        side = lambda kind: F.filter("parts", lambda p: p["kind"] == kind)
+        each = lambda x: F.transform(F.filter(side(right), lambda y: clash(x, y)), lambda y: _notice(rule, _worded(rule, *values(x, y)), x["product_id"], y["product_id"]))
+        return F.flatten(F.transform(side(left), each))
+
+    differ = lambda c: lambda x, y: (x[c] != "") & (y[c] != "") & (F.upper(x[c]) != F.upper(y[c]))
+    notices = [
+        one(F.size("sockets") > 1, _notice("sockets", _worded("sockets", listed("sockets")))),
+        one(F.size("ram_types") > 1, _notice("memory types", _worded("memory types", listed("ram_types")))),
+        one(F.col("short"), _notice("supply", _worded("supply", F.col("supply"), F.col("drawn")))),
+        pairs("socket", "cpu", "motherboard", differ("socket"), lambda x, y: (x["socket"], y["socket"])),
+        pairs("memory", "motherboard", "ram", differ("memory_type"), lambda x, y: (x["memory_type"], y["memory_type"])),
+        one(F.col("psu_capacity") < F.col("needed_psu"), _notice("psu", _worded("psu", F.col("needed_psu"), F.col("psu_capacity")))),
+        pairs("length", "gpu", "cabinet", lambda x, y: (y["max_gpu_length_mm"] > 0) & (x["length_mm"] > y["max_gpu_length_mm"]), lambda x, y: (x["length_mm"], y["max_gpu_length_mm"])),
+        pairs("cooler", "cooler", "cpu", lambda x, y: (y["socket"] != "") & ~F.contains(F.upper(x["supported_sockets"]), F.upper(y["socket"])), lambda x, y: (y["socket"],)),
     ]
-    out = None
-    for seq, rule, a, b, cond in rules:
-        found = side(a, "a").join(side(b, "b"), "build_id").filter(cond).select("build_id", F.lit(seq).alias("seq"), F.lit(rule).alias("rule"), F.col("a_product_id").alias("a"), F.col("b_product_id").alias("b"))
-        out = found if out is None else out.unionByName(found)
-    w = wattage(items).filter("psu_capacity < needed_psu").select("build_id", F.lit(3).alias("seq"), F.lit("psu").alias("rule"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
-    return out.unionByName(w)
+    empty = F.array().cast(_NOTICE)
+    b = b.withColumn("notices", F.concat(*[F.coalesce(n, empty) for n in notices]))
+    return b.withColumn("compatible", ~F.exists("notices", lambda n: n["level"] == "error")).select(
+        "build_id", "compatible", "notices", "estimated_wattage", "total_min_cost", "n_items", "sockets", "ram_types", "drawn", "supply", "short", "needed_psu", "psu_capacity"
+    )
+
+
+def notices(validated: DataFrame) -> DataFrame:
+    """(build_id, seq, rule, level, a, b, message): the notices of validated builds as rows; a and b are the parts, if there are two."""
+    return validated.select("build_id", F.inline("notices"))
+
+
+def cost_by_store(items: DataFrame, stores: DataFrame) -> DataFrame:
+    """(build_id, sid, display_name, total, n_items): priced parts of each build by the active shops that sell some."""
+    sums = items.filter("coalesce(price, 0) <> 0").groupBy("build_id", "sid").agg(F.sum("price").cast("double").alias("total"), F.count("*").alias("n_items"))
+    return sums.join(stores.filter("active").select(F.col("id").alias("sid"), "display_name"), "sid")
+
+
+def store_breakdown(items: DataFrame, stores: DataFrame) -> DataFrame:
+    """(sid, display_name, total, n_items) of one build's items: every active shop, with zeros where it sells none of them."""
+    own = cost_by_store(items, stores).groupBy("sid").agg(F.sum("total").alias("total"), F.sum("n_items").alias("n_items"))
+    return stores.filter("active").select(F.col("id").alias("sid"), "display_name").join(own, "sid", "left").na.fill(0, ["total", "n_items"])
+
+
+def for_slot(products: DataFrame, slot: str) -> DataFrame:
+    """Products whose category fits a slot; all of them where the slot is unknown."""
+    word = SLOT_CATEGORIES.get(slot)
+    return products.filter(F.contains(F.upper(F.coalesce("category", F.lit(""))), F.lit(word))) if word else products

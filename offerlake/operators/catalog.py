@@ -48,16 +48,65 @@ def offers(products: DataFrame, stores: DataFrame, q: str) -> DataFrame:
     named = stores.select(F.col("id").alias("sid"), "display_name")
     return search(products, q).join(named, "sid", "left").select(
         "id", "sid", F.coalesce("display_name", F.concat(F.lit("Store #"), F.col("sid").cast("string"))).alias("store_name"),
-        F.coalesce("current_price", F.lit(0)).cast("double").alias("price"), F.col("current_mrp").cast("double").alias("mrp"), F.coalesce("in_stock", F.lit(True)).alias("in_stock"),
+        F.coalesce("current_price", F.lit(0)).cast("double").alias("price"), F.col("current_mrp").cast("double").alias("mrp"), F.coalesce("in_stock", F.lit(True)).alias("in_stock"), F.col("product_url").alias("url"),
     )
 
 
+def comparison(products: DataFrame, stores: DataFrame, q: str) -> DataFrame:
+    """One answer: the query, the summary of its offers and the offers as a list, by price and id.
+
+    The list is of one search, as the answer to it is; offers() has the same as rows.
+    """
+    found = offers(products, stores, q)
+    listed = found.agg(F.sort_array(F.collect_list(F.struct("price", "id", "sid", "store_name", "mrp", "in_stock", "url"))).alias("offers"))
+    return compare(products, q).select(F.lit(q).alias("query"), "*").join(listed)
+
+
+def by_name(stores: DataFrame, name: str) -> DataFrame:
+    """The shop of this name; no row where there is none."""
+    return stores.filter(F.col("name") == name)
+
+
+def in_category(products: DataFrame, category: str) -> DataFrame:
+    """Products of a category, whatever the case of its letters; all where it is empty. It goes before the page, so that pages are full."""
+    return products.filter(F.upper(F.coalesce("category", F.lit(""))) == category.upper()) if category else products
+
+
+def listing(products: DataFrame, links: DataFrame, targets: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
+    """One page of products (already searched) with the lists of their targets, the total of all pages, page and size.
+
+    The page is a top-k, so lists are made for its rows only. A page beyond the last gives no rows.
+    """
+    rows = page(products, number, size)
+    few = F.broadcast(rows.select(F.col("id").alias("product_id")))  # at most size rows
+    of_page = with_targets(rows, links.join(few, "product_id", "left_semi"), targets)
+    total = products.agg(F.count("*").alias("total"))
+    return of_page.join(F.broadcast(total)).withColumns({"page": F.lit(number), "size": F.lit(size)})
+
+
+def detail(products: DataFrame, links: DataFrame, targets: DataFrame, product_id: int) -> DataFrame:
+    """One product with the lists of its targets; no row where there is none, which a front end reports as not found."""
+    one = products.filter(F.col("id") == product_id)
+    return with_targets(one, links.filter(F.col("product_id") == product_id), targets)
+
+
+def history(observations: DataFrame, product_id: int) -> DataFrame:
+    """The snapshots of one product, oldest first; unknown stock counts as in stock and snapshots without a price are none."""
+    rows = observations.filter((F.col("product_id") == product_id) & F.col("price").isNotNull())
+    return rows.select("product_id", "price", "mrp", F.coalesce("in_stock", F.lit(True)).alias("in_stock"), "scraped_at", "target_id").orderBy("scraped_at", "target_id", "price")
+
+
+def answer(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON text, nulls included."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def compare(products: DataFrame, q: str) -> DataFrame:
     """One row: offers, and lowest, highest and average of the prices that are known."""
     p = F.col("current_price")
     return search(products, q).agg(
         F.count("*").alias("total_offers"), F.min(p).cast("double").alias("lowest_price"), F.max(p).cast("double").alias("highest_price"),
-        F.round(F.sum(p).cast("double") / F.count(p), 2).alias("average_price"),
+        (F.sum(p).cast("double") / F.count(p)).alias("average_price"),
     )
 
 

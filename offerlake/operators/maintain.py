@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .schedule import reset
+
 #: Categories that are refined by the title.
 GENERIC = ("Accessories", "CPU", "GPU", "RAM", "SSD", "PSU")
 
@@ -30,6 +32,23 @@ def merge_keys(products: DataFrame, new_pid: Column) -> DataFrame:
     return keyed.join(owner, ["sid", "new"]).select("id", F.col("new").alias("pid"), "master")
 
 
+def merge(products: DataFrame, history: DataFrame, links: DataFrame, new_pid: Column) -> dict[str, DataFrame]:
+    """products, history and links after the keys are re-derived: merged rows go, and what hung on them hangs on the row that stays.
+
+    Links that the row which stays has already are not made twice.
+    """
+    owner = merge_keys(products, new_pid)
+    stay = products.join(owner.filter("id = master").select("id", F.col("pid").alias("_pid")), "id").withColumn("pid", F.col("_pid")).drop("_pid")
+    moved = owner.select(F.col("id").alias("product_id"), "master")
+    to = lambda df: df.join(moved, "product_id").withColumn("product_id", F.col("master")).drop("master").select(*df.columns)
+    return {"products": stay, "history": to(history), "links": to(links).distinct()}
+
+
+def purge_store(products: DataFrame, dependants: dict[str, DataFrame], targets: DataFrame, store_id: int, as_of: Column) -> dict[str, DataFrame]:
+    """Everything without the products of one shop, and its targets reset to run at once."""
+    return {**purge(products, dependants, F.col("sid") == store_id), "targets": reset(targets, store_id, as_of)}
+
+
 def orphans(child: DataFrame, parent: DataFrame) -> DataFrame:
     """Rows of child (product_id) whose product is not there."""
     return child.join(parent.select(F.col("id").alias("product_id")), "product_id", "left_anti")

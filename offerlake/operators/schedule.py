@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 MANUAL, DAILY, HOURLY = 0, 1, 2
+#: Keywords that every shop is seeded with, at most.
+KEYWORDS = 10_000
 
 
 def due(targets: DataFrame, stores: DataFrame, as_of: Column, n: int = 10) -> DataFrame:
@@ -18,12 +20,39 @@ def mark_scraped(targets: DataFrame, done: DataFrame, as_of: Column) -> DataFram
     hit = targets.join(done.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
     wait = F.when(F.col("schedule_type") == HOURLY, F.expr("interval 1 hour")).otherwise(F.expr("interval 24 hour"))
     after = F.when(F.col("hit"), as_of + wait).otherwise(F.col("next_scrape_at"))
-    return hit.withColumn("next_scrape_at", after).withColumn("last_scraped_at", F.when(F.col("hit"), as_of)).drop("hit")
+    return hit.withColumn("next_scrape_at", after).withColumn("last_scraped_at", F.when(F.col("hit"), as_of).otherwise(F.col("last_scraped_at"))).drop("hit")
+
+
+#: Kinds of targets, as their definition has them; the original job compares with CODED.
+SEARCH, CATEGORY, CODED = 0, 1, 2
+#: Fixed value: pages of a target that asks for no number.
+PAGES = 2
+
+
+def plan(due_targets: DataFrame, pages: int = PAGES, as_coded: bool = False) -> DataFrame:
+    """Due targets with is_category, max_pages and hard_category, which schedule_config (JSON) may set; searches keep the common number of pages.
+
+    as_coded takes the number that the original job compares with, by which category targets
+    without "catalog/" in their value run as searches. A config that is no JSON sets nothing.
+    """
+    asked = F.get_json_object("schedule_config", "$.max_pages").try_cast("int")
+    category = (F.col("target_type") == (CODED if as_coded else CATEGORY)) | F.contains("target_value", F.lit("catalog/"))
+    out = due_targets.withColumn("is_category", F.coalesce(category, F.lit(False)))
+    return out.withColumn("max_pages", F.when(F.col("is_category"), F.coalesce(asked, F.lit(pages))).otherwise(pages)).withColumn("hard_category", F.get_json_object("schedule_config", "$.category"))
+
+
+def reset(targets: DataFrame, store_id: int, as_of: Column) -> DataFrame:
+    """targets with those of one shop due now and never scraped."""
+    own = F.col("store_id") == store_id
+    return targets.withColumns({"next_scrape_at": F.when(own, as_of).otherwise(F.col("next_scrape_at")), "last_scraped_at": F.when(~own, F.col("last_scraped_at"))})
 
 
 def seed_keywords(stores: DataFrame, keywords: DataFrame, present: DataFrame) -> DataFrame:
-    """(store_id, target_value) of active shops and keywords that are not there yet; keywords are a short static list."""
-    pairs = stores.filter("active").select(F.col("id").alias("store_id")).crossJoin(F.broadcast(keywords))
+    """(store_id, target_value) of active shops and keywords that are not there yet; every shop gets the whole list of at most KEYWORDS."""
+    words = [r.target_value for r in keywords.select("target_value").distinct().limit(KEYWORDS + 1).collect()]
+    if len(words) > KEYWORDS:
+        raise ValueError(f"more than {KEYWORDS} keywords")
+    pairs = stores.filter("active").select(F.col("id").alias("store_id"), F.explode(F.lit(words) if words else F.array().cast("array<string>")).alias("target_value"))
     return pairs.join(present.select("store_id", "target_value").distinct(), ["store_id", "target_value"], "left_anti")
 
 

@@ -6,22 +6,23 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from offerlake import source_queries  # noqa: F401  registers its queries
+from offerlake import rule_sql, source_queries  # noqa: F401  the latter registers its queries
 from offerlake.functions import rules, scalars
-from offerlake.operators import builder, catalog, estimates, ingest, maintain, schedule
+from offerlake.operators import builder, catalog, ingest, maintain, normalize, schedule
 from offerlake.plans import views as v
 from offerlake.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from offerlake.sources import extract
+from offerlake.streaming import cycle
 
 AS_OF = "timestamp_ntz '1996-06-01 00:00:00'"
 
 
-@query("SELECT count(*) AS total_offers, min(current_price)::DOUBLE AS lowest_price, max(current_price)::DOUBLE AS highest_price, round(sum(current_price)::DOUBLE / count(current_price), 2) AS average_price FROM products WHERE name ILIKE '%rtx 50%'")
+@query("SELECT count(*) AS total_offers, min(current_price)::DOUBLE AS lowest_price, max(current_price)::DOUBLE AS highest_price, sum(current_price)::DOUBLE / count(current_price) AS average_price FROM products WHERE name ILIKE '%rtx 50%'")
 def compare_summary(spark: SparkSession, d: str) -> DataFrame:
     return catalog.compare(v.products(spark, d), "rtx 50")
 
 
-@query("SELECT p.id, sid, coalesce(display_name, 'Store #' || sid) AS store_name, coalesce(current_price, 0)::DOUBLE AS price, current_mrp::DOUBLE AS mrp, coalesce(in_stock, true) AS in_stock FROM products p LEFT JOIN stores s ON p.sid = s.id WHERE p.name ILIKE '%rtx 50%'")
+@query("SELECT p.id, sid, coalesce(display_name, 'Store #' || sid) AS store_name, coalesce(current_price, 0)::DOUBLE AS price, current_mrp::DOUBLE AS mrp, coalesce(in_stock, true) AS in_stock, product_url AS url FROM products p LEFT JOIN stores s ON p.sid = s.id WHERE p.name ILIKE '%rtx 50%'")
 def compare_offers(spark: SparkSession, d: str) -> DataFrame:
     return catalog.offers(v.products(spark, d), v.stores(spark, d), "rtx 50")
 
@@ -48,16 +49,79 @@ def product_total(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d).agg(F.count("*").alias("n"))
 
 
-@query("SELECT id, sid, pid, name, current_price::DOUBLE AS price, in_stock FROM products WHERE id = (SELECT min(product_id) FROM observations)")
+_LISTS = """, l AS (SELECT product_id, string_agg(target_id::VARCHAR, ',' ORDER BY target_id) AS ids, string_agg(target_value, ',' ORDER BY target_value) AS words FROM product_targets JOIN scrape_targets t ON target_id = t.id GROUP BY product_id)"""
+
+
+def _with_lists(df: DataFrame, *columns: str) -> DataFrame:
+    price = F.col("current_price").cast("double").alias("price")
+    return df.select("id", "sid", "pid", "name", price, "in_stock", F.array_join(F.col("target_ids").cast("array<string>"), ",").alias("target_ids"), F.array_join("keywords", ",").alias("keywords"), *columns)
+
+
+def _relations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return v.product_targets(spark, d), v.scrape_targets(spark, d)
+
+
+@query(f"{_LISTS}, f AS (SELECT * {_FOUND}) SELECT f.id, sid, pid, name, current_price::DOUBLE AS price, in_stock, coalesce(ids, '') AS target_ids, coalesce(words, '') AS keywords, (SELECT count(*) FROM f) AS total, 2 AS page, 20 AS size FROM (SELECT * FROM f ORDER BY updated_at DESC, id LIMIT 20 OFFSET 20) f LEFT JOIN l ON f.id = l.product_id")
+def product_list(spark: SparkSession, d: str) -> DataFrame:
+    """One page of a search with target lists and the total of all pages."""
+    return _with_lists(catalog.listing(_found(spark, d), *_relations(spark, d), 2, 20), "total", "page", "size")
+
+
+def _least_id(spark: SparkSession, d: str) -> int:
+    return v.observations(spark, d).agg(F.min("product_id")).first()[0] or 0
+
+
+@query(f"{_LISTS} SELECT id, sid, pid, name, current_price::DOUBLE AS price, in_stock, coalesce(ids, '') AS target_ids, coalesce(words, '') AS keywords FROM products p LEFT JOIN l ON p.id = l.product_id WHERE id = (SELECT min(product_id) FROM observations)")
 def product_detail(spark: SparkSession, d: str) -> DataFrame:
-    least = v.observations(spark, d).agg(F.min("product_id").alias("id"))
-    return v.products(spark, d).join(F.broadcast(least), "id", "left_semi").select("id", "sid", "pid", "name", F.col("current_price").cast("double").alias("price"), "in_stock")
+    return _with_lists(catalog.detail(v.products(spark, d), *_relations(spark, d), _least_id(spark, d)))
 
 
-@query("SELECT product_id, price::DOUBLE AS price, mrp::DOUBLE AS mrp, coalesce(in_stock, true) AS in_stock, scraped_at FROM observations WHERE sid = 3 AND price IS NOT NULL")
+@query("SELECT product_id, price::DOUBLE AS price, mrp::DOUBLE AS mrp, coalesce(in_stock, true) AS in_stock, scraped_at FROM observations WHERE product_id = (SELECT min(product_id) FROM observations) AND price IS NOT NULL")
 def price_history(spark: SparkSession, d: str) -> DataFrame:
-    o = v.observations(spark, d).filter("sid = 3 and price is not null")
-    return o.select("product_id", F.col("price").cast("double").alias("price"), F.col("mrp").cast("double").alias("mrp"), F.coalesce("in_stock", F.lit(True)).alias("in_stock"), "scraped_at")
+    o = catalog.history(v.observations(spark, d), _least_id(spark, d))
+    return o.select("product_id", F.col("price").cast("double").alias("price"), F.col("mrp").cast("double").alias("mrp"), "in_stock", "scraped_at")
+
+
+@query("SELECT product_id, count(*) AS n, min(price)::DOUBLE AS lowest, max(price)::DOUBLE AS highest FROM observations WHERE price IS NOT NULL GROUP BY product_id")
+def price_ranges(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("price")
+    return v.observations(spark, d).filter("price is not null").groupBy("product_id").agg(F.count("*").alias("n"), F.min(p).cast("double").alias("lowest"), F.max(p).cast("double").alias("highest"))
+
+
+@query(""", o AS (SELECT p.id, coalesce(current_price, 0)::DOUBLE AS price FROM products p WHERE p.name ILIKE '%rtx 50%')
+SELECT 'rtx 50' AS query, count(*) AS total_offers, min(current_price)::DOUBLE AS lowest_price, max(current_price)::DOUBLE AS highest_price, sum(current_price)::DOUBLE / count(current_price) AS average_price,
+(SELECT md5(string_agg(id::VARCHAR, ',' ORDER BY price, id)) FROM o) AS offers FROM products WHERE name ILIKE '%rtx 50%'""")
+def compare_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The whole comparison as one answer; the list of offers as a digest of its ids in order."""
+    x = catalog.comparison(v.products(spark, d), v.stores(spark, d), "rtx 50")
+    return x.withColumn("offers", F.md5(F.array_join(F.transform("offers", lambda o: o["id"].cast("string")), ",")))
+
+
+@query("SELECT id, name, base_url FROM stores WHERE name = (SELECT min(name) FROM stores)")
+def store_by_name(spark: SparkSession, d: str) -> DataFrame:
+    s = v.stores(spark, d)
+    return catalog.by_name(s, s.agg(F.min("name")).first()[0] or "").select("id", "name", "base_url")
+
+
+@query("SELECT id, name FROM products WHERE sid = 3")
+def products_of_store(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.search(v.products(spark, d), sid=3).select("id", "name")
+
+
+@query("SELECT id, category FROM products WHERE upper(category) = 'GAMING KEYBOARD'")
+def products_of_category(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.in_category(v.products(spark, d), "gaming Keyboard").select("id", "category")
+
+
+@query(f"{rule_sql.X} SELECT id, {rule_sql.CATEGORY} AS category FROM x WHERE upper({rule_sql.CATEGORY}) LIKE '%CPU%'")
+def products_for_slot(spark: SparkSession, d: str) -> DataFrame:
+    p = normalize.classified(v.products(spark, d)).withColumn("category", F.col("coded"))
+    return builder.for_slot(p, "cpu").select("id", "category")
+
+
+@query("""SELECT '{"id":' || id || ',"name":"' || name || '","active":' || active || '}' AS json FROM stores""")
+def stores_json(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.answer(v.stores(spark, d).select("id", "name", "active"))
 
 
 @query(""", l AS (SELECT product_id, string_agg(target_id::VARCHAR, ',' ORDER BY target_id) AS ids, string_agg(target_value, ',' ORDER BY target_value) AS words FROM product_targets JOIN scrape_targets t ON target_id = t.id GROUP BY product_id)
@@ -67,55 +131,63 @@ def product_target_lists(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", F.array_join(F.col("target_ids").cast("array<string>"), ",").alias("target_ids"), F.array_join("keywords", ",").alias("keywords"))
 
 
-def _text(spark: SparkSession, d: str) -> DataFrame:
-    return v.products(spark, d).select("id", F.lower("name").alias("t"), F.lit("Accessories").alias("c"))
-
-
-_TEXT = ", x AS (SELECT id, lower(name) AS t, 'Accessories' AS c FROM products)"
-
-
-@query(f"{_TEXT} SELECT id, {rules.duck(rules.category_sql())} AS category FROM x")
+@query(f"{rule_sql.X} SELECT id, {rule_sql.CATEGORY} AS category FROM x")
 def classify_category(spark: SparkSession, d: str) -> DataFrame:
-    return _text(spark, d).select("id", rules.column(rules.category_sql()).alias("category"))
+    return normalize.classified(v.products(spark, d)).select("id", F.col("coded").alias("category"))
 
 
-@query(f"{_TEXT} SELECT id, {rules.duck(rules.title_sql())} AS category FROM x")
+@query(f"{rule_sql.X} SELECT id, {rule_sql.TITLE} AS category FROM x")
 def classify_title(spark: SparkSession, d: str) -> DataFrame:
-    return _text(spark, d).select("id", rules.column(rules.title_sql()).alias("category"))
+    return normalize.classified(v.products(spark, d)).select("id", F.col("granular").alias("category"))
 
 
 def _register_specs() -> None:
-    cast = lambda c: f"cast({c} as double)" if "decimal" in c else c
+    number = lambda c: f"cast({c} as double)" if "decimal" in c else c
     for kind, columns in rules.SPECS.items():
-        parts = [f"{cast(e)} AS {c}" for c, e in columns.items()]
 
         def run(spark: SparkSession, d: str, columns=columns) -> DataFrame:
-            return _text(spark, d).select("id", *[rules.column(cast(e)).alias(c) for c, e in columns.items()])
+            p = v.products(spark, d).withColumn("t", normalize.spec_text())
+            return p.select("id", *[rules.column(number(e)).alias(c) for c, e in columns.items()])
 
-        query(f"{_TEXT} SELECT id, {', '.join(map(rules.duck, parts))} FROM x", f"normalize_{kind}")(run)
+        query(f"{rule_sql.X} SELECT id, {', '.join(f'{e} AS {c}' for c, e in rule_sql.SPECS[kind].items())} FROM x", f"normalize_{kind}")(run)
 
 
 _register_specs()
-_ORDER = ("cooler", "motherboard", "ram", "psu", "cabinet", "ssd", "monitor", "gpu", "cpu")
-_KIND = "case " + " ".join(f"when {' or '.join(f'contains(lower(category), {chr(39)}{w}{chr(39)})' for w in rules.KINDS[k].split('|'))} then '{k}'" for k in _ORDER) + " end"
-_LABELS = {label for *_, parts, other in rules.TITLE_GROUPS for label in [other, *(x for _, x in parts)]} | {c for _, c in rules.CATEGORY_PATTERNS}
-#: The same as a map from label to kind, which names the category once.
-_KIND_OF = {c: k for c in sorted(_LABELS) for k in [next((k for k in _ORDER if any(w in c.lower() for w in rules.KINDS[k].split("|"))), None)] if k}
+_DISPATCHED = f"{rule_sql.X}, y AS (SELECT id, t, name, {rule_sql.CATEGORY} AS coded, {rule_sql.TITLE} AS granular FROM x), z AS (SELECT *, {rule_sql.KIND.format('coded')} AS coded_kind, {rule_sql.GRANULAR_KIND.format('granular')} AS granular_kind FROM y)"
 
 
-def _kind():
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in _KIND_OF.items() for x in pair]), F.col("category"))
-
-
-@query(f"{_TEXT}, y AS (SELECT id, {rules.duck(rules.category_sql())} AS coded, {rules.duck(rules.title_sql())} AS stored FROM x), z AS (SELECT 'classifier' AS mode, coded AS category FROM y UNION ALL SELECT 'category', stored FROM y) SELECT mode, {_KIND} AS kind, count(*) AS n FROM z GROUP BY ALL")
+@query(f"{_DISPATCHED}, w AS (SELECT 'classifier' AS mode, coded_kind AS kind FROM z UNION ALL SELECT 'category', granular_kind FROM z) SELECT mode, kind, count(*) AS n FROM w GROUP BY ALL")
 def normalize_dispatch(spark: SparkSession, d: str) -> DataFrame:
     """Products for each normalizer, by the coarse classifier (as coded) and by the granular category (as meant)."""
-    t = _text(spark, d)
+    t = normalize.classified(v.products(spark, d))
     both = t.select(F.explode(F.array(
-        F.struct(F.lit("classifier").alias("mode"), rules.column(rules.category_sql()).alias("category")),
-        F.struct(F.lit("category").alias("mode"), rules.column(rules.title_sql()).alias("category")),
+        F.struct(F.lit("classifier").alias("mode"), rules.kind_of(F.col("coded")).alias("kind")),
+        F.struct(F.lit("category").alias("mode"), rules.kind_of(F.col("granular"), granular=True).alias("kind")),
     )).alias("x")).select("x.*")
-    return both.withColumn("kind", _kind()).groupBy("mode", "kind").agg(F.count("*").alias("n"))
+    return both.groupBy("mode", "kind").agg(F.count("*").alias("n"))
+
+
+def _shared(of_kind) -> str:
+    """A column that several normalizers have, by kind."""
+    return lambda column: "CASE " + of_kind + " " + " ".join(f"WHEN '{k}' THEN {specs[column]}" for k, specs in rule_sql.SPECS.items() if column in specs) + " END AS " + column
+
+
+_TYPED = ("socket", "memory_type", "capacity_gb", "form_factor", "wattage", "chipset", "cooler_type", "resolution", "interface")
+
+
+def _normalize(granular: bool):
+    kind, category = ("granular_kind", "granular") if granular else ("coded_kind", "coded")
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        x = normalize.normalized(v.products(spark, d), granular)
+        of = lambda c: F.coalesce(*[F.col(f"{k}.{c}") for k, specs in rules.SPECS.items() if c in specs]).alias(c)
+        return x.select("id", "category", "kind", *map(of, _TYPED))
+
+    query(f"{_DISPATCHED} SELECT id, {category} AS category, {kind} AS kind, {', '.join(map(_shared(kind), _TYPED))} FROM z", "normalize_catalog" + ("" if granular else "_as_coded"))(run)
+
+
+_normalize(True)
+_normalize(False)
 
 
 @query(""", a AS (SELECT *, min(page) OVER (PARTITION BY sid, pid) AS f FROM observations),
@@ -127,22 +199,33 @@ def dedupe_batch(spark: SparkSession, d: str) -> DataFrame:
     return x.select("sid", "pid", "page", F.col("price").cast("double").alias("price"), "scraped_at")
 
 
-@query(""", s AS (SELECT DISTINCT target_id, page FROM observations), n AS (SELECT target_id, page FROM (SELECT target_id, sid, pid, min(page) AS page FROM observations GROUP BY ALL) GROUP BY ALL),
-f AS (SELECT s.target_id, min(s.page) AS stop FROM s ANTI JOIN n ON s.target_id = n.target_id AND s.page = n.page GROUP BY s.target_id)
-SELECT o.target_id, count(*) AS n FROM observations o LEFT JOIN f ON o.target_id = f.target_id WHERE stop IS NULL OR page < stop GROUP BY o.target_id""")
+@query(""", n AS (SELECT target_id, sid, pid, min(page) AS page FROM observations GROUP BY ALL), k AS (SELECT target_id, page, row_number() OVER (PARTITION BY target_id ORDER BY page) AS place FROM (SELECT DISTINCT target_id, page FROM n)),
+f AS (SELECT n.* FROM n JOIN k ON n.target_id = k.target_id AND n.page = k.page WHERE k.page = place)
+SELECT o.target_id, count(*) AS n FROM observations o SEMI JOIN f ON o.target_id = f.target_id AND o.page = f.page AND o.sid = f.sid AND o.pid = f.pid GROUP BY o.target_id""")
 def paged_scan(spark: SparkSession, d: str) -> DataFrame:
     return ingest.until_stop(v.observations(spark, d)).groupBy("target_id").agg(F.count("*").alias("n"))
 
 
+_ORDER = ["scraped_at", "target_id", "page", "tie", "p"]
+
+
 def _state_and_batch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = v.products(spark, d).withColumnsRenamed({"current_price": "price", "current_mrp": "mrp"})
-    batch = p.filter("pid % 3 <> 0").withColumns({"price": (F.col("price") + 1).cast("decimal(12,2)"), "scraped_at": F.col("updated_at")})
-    return p.filter("pid % 2 = 0"), batch
+    o = v.observations(spark, d).withColumn("p", F.coalesce("price", F.lit(-1)))
+
+    def last(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in ingest.KEY]
+        return rows.groupBy(*ingest.KEY).agg(F.max_by(F.struct(*rest), F.struct(*_ORDER)).alias("x")).select(*ingest.KEY, "x.*")
+
+    before = F.col("scraped_at") < F.expr(_SPLIT.replace("timestamp", "timestamp_ntz"))
+    return last(o.filter(before)), last(o.filter(~before))
 
 
-_SAVE = """, s AS (SELECT * FROM products WHERE pid % 2 = 0), b AS (SELECT *, (current_price + 1)::DECIMAL(12,2) AS price FROM products WHERE pid % 3 <> 0),
-u AS (SELECT coalesce(s.sid, b.sid) AS sid, coalesce(s.pid, b.pid) AS pid, coalesce(b.price, s.current_price) AS price, coalesce(b.current_mrp, s.current_mrp) AS mrp,
-  coalesce(b.in_stock, s.in_stock) AS in_stock, b.id IS NOT NULL AS touched, s.id IS NOT NULL AS known, b.in_stock AS fresh
+#: Offers as they were last seen before a time, and since.
+_SPLIT = "timestamp '1995-06-17'"
+_LAST = "SELECT * FROM observations WHERE scraped_at {} " + _SPLIT + " QUALIFY row_number() OVER (PARTITION BY sid, pid ORDER BY scraped_at DESC, target_id DESC, page DESC, tie DESC, coalesce(price, -1) DESC) = 1"
+_SAVE = f""", s AS ({_LAST.format('<')}), b AS ({_LAST.format('>=')}),
+u AS (SELECT coalesce(s.sid, b.sid) AS sid, coalesce(s.pid, b.pid) AS pid, coalesce(b.price, s.price) AS price, coalesce(b.mrp, s.mrp) AS mrp,
+  coalesce(b.in_stock, s.in_stock) AS in_stock, b.pid IS NOT NULL AS touched, s.pid IS NOT NULL AS known, b.in_stock AS fresh
   FROM s FULL JOIN b ON s.sid = b.sid AND s.pid = b.pid), w AS (SELECT * FROM u WHERE known OR fresh)"""
 
 
@@ -152,7 +235,7 @@ def upsert_products(spark: SparkSession, d: str) -> DataFrame:
     return x.select("sid", "pid", F.col("price").cast("double").alias("price"), F.col("mrp").cast("double").alias("mrp"), "in_stock", "touched")
 
 
-@query(f"{_SAVE} SELECT b.sid, b.pid, b.price::DOUBLE AS price, coalesce(b.in_stock, true) AS in_stock, updated_at AS scraped_at FROM b SEMI JOIN w ON b.sid = w.sid AND b.pid = w.pid WHERE b.price IS NOT NULL")
+@query(f"{_SAVE} SELECT b.sid, b.pid, b.price::DOUBLE AS price, coalesce(b.in_stock, true) AS in_stock, scraped_at FROM b SEMI JOIN w ON b.sid = w.sid AND b.pid = w.pid WHERE b.price IS NOT NULL")
 def append_history(spark: SparkSession, d: str) -> DataFrame:
     state, batch = _state_and_batch(spark, d)
     x = ingest.history_rows(ingest.save_offers(state, batch), batch)
@@ -165,15 +248,24 @@ def link_targets(spark: SparkSession, d: str) -> DataFrame:
     return ingest.link(o.filter("page <= 2").select("product_id", "target_id"), o.filter("page > 2"))
 
 
-@query(""", s AS (SELECT id, 6 AS cores, CASE WHEN id % 2 = 0 THEN 'AM4' END AS socket FROM products WHERE pid % 2 = 0), b AS (SELECT id, CASE WHEN pid % 5 > 0 THEN pid END AS cores, CASE WHEN pid % 7 = 0 THEN 'AM5' END AS socket FROM products WHERE pid % 3 = 0)
-SELECT coalesce(s.id, b.id) AS product_id, coalesce(b.cores, s.cores) AS cores, coalesce(b.socket, s.socket) AS socket FROM s FULL JOIN (SELECT * FROM b WHERE cores IS NOT NULL OR socket IS NOT NULL) b ON s.id = b.id""")
+@query(f""", s AS (SELECT product_id, sid % 4 + 4 AS cores, CASE WHEN in_stock THEN 'AM4' END AS socket FROM ({_LAST.format('<')})), b AS (SELECT product_id, CASE WHEN price > 0 THEN pid END AS cores, CASE WHEN in_stock THEN 'AM5' END AS socket FROM ({_LAST.format('>=')}))
+SELECT coalesce(s.product_id, b.product_id) AS product_id, coalesce(b.cores, s.cores) AS cores, coalesce(b.socket, s.socket) AS socket FROM s FULL JOIN (SELECT * FROM b WHERE cores IS NOT NULL OR socket IS NOT NULL) b ON s.product_id = b.product_id""")
 def upsert_specs(spark: SparkSession, d: str) -> DataFrame:
-    p = v.products(spark, d).withColumnRenamed("id", "product_id")
-    state = p.filter("pid % 2 = 0").select("product_id", F.lit(6).cast("long").alias("cores"), F.when(F.col("product_id") % 2 == 0, "AM4").alias("socket"))
-    batch = p.filter("pid % 3 = 0").select("product_id", F.when(F.col("pid") % 5 > 0, F.col("pid")).alias("cores"), F.when(F.col("pid") % 7 == 0, "AM5").alias("socket"))
-    both = batch.withColumn("k", F.coalesce(F.col("cores").cast("string"), "socket")).filter("k is not null").drop("k")
-    joined = state.withColumnsRenamed({"cores": "c", "socket": "s"}).join(both, "product_id", "full")
-    return joined.select("product_id", F.coalesce("cores", "c").alias("cores"), F.coalesce("socket", "s").alias("socket"))
+    state, batch = _state_and_batch(spark, d)
+    old = state.select("product_id", (F.col("sid") % 4 + 4).alias("cores"), F.when(F.col("in_stock"), "AM4").alias("socket"))
+    new = batch.select("product_id", F.when(F.col("price") > 0, F.col("pid")).alias("cores"), F.when(F.col("in_stock"), "AM5").alias("socket"))
+    return ingest.upsert_specs(old, new, ["cores", "socket"])
+
+
+@query(f"{_SAVE} SELECT 'products' AS relation, count(*) AS n, count(*) FILTER (category = 'GPU') AS g FROM (SELECT CASE WHEN touched THEN 'GPU' END AS category FROM w) UNION ALL SELECT 'history', count(*), 0 FROM b SEMI JOIN w ON b.sid = w.sid AND b.pid = w.pid WHERE b.price IS NOT NULL UNION ALL SELECT 'links', count(*), 0 FROM b SEMI JOIN w ON b.sid = w.sid AND b.pid = w.pid")
+def save_batch(spark: SparkSession, d: str) -> DataFrame:
+    """One save with a hard category: sizes of the relations that it leaves."""
+    o = v.observations(spark, d).withColumn("p", F.coalesce("price", F.lit(-1)))
+    state, _ = _state_and_batch(spark, d)
+    saved = ingest.save_batch(state, o.filter(F.col("scraped_at") >= F.expr(_SPLIT.replace("timestamp", "timestamp_ntz"))), _ORDER, "GPU")
+    size = lambda k, g: saved[k].agg(F.lit(k).alias("relation"), F.count("*").alias("n"), g.alias("g"))
+    zero = F.lit(0).cast("long")
+    return size("products", F.count_if(F.col("category") == "GPU")).unionByName(size("history", zero)).unionByName(size("links", zero))
 
 
 @query("SELECT sid, pid, row_number() OVER (ORDER BY sid, pid) + 1000 AS id FROM products")
@@ -181,80 +273,122 @@ def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
     return ingest.with_ids(v.products(spark, d).select("sid", "pid"), 1000).select("sid", "pid", F.col("id").cast("long").alias("id"))
 
 
-_SPEC_COLUMNS = {
-    "socket": ("cpu", "motherboard"), "memory_type": ("motherboard", "ram"), "tdp": ("cpu",), "recommended_psu": ("gpu",), "wattage": ("psu",),
-}
+_SPEC_COLUMNS = ("socket", "memory_type", "tdp", "recommended_psu", "wattage")
+_FITS = {"length_mm": "CASE WHEN kind = 'gpu' THEN 250 + sid % 120 END", "max_gpu_length_mm": "CASE WHEN kind = 'cabinet' THEN sid % 5 * 90 END", "supported_sockets": "CASE WHEN kind = 'cooler' THEN 'AM4,AM5' END"}
+_ITEMS = f"""{_DISPATCHED}, q AS (SELECT id, t, granular_kind AS kind, {', '.join(map(_shared('granular_kind'), _SPEC_COLUMNS))} FROM z),
+items AS (SELECT target_id AS build_id, p.id AS product_id, p.name, sid, current_price AS price, q.* EXCLUDE (id), {', '.join(f'{e} AS {c}' for c, e in _FITS.items())}
+  FROM product_targets l JOIN products p ON l.product_id = p.id JOIN q ON q.id = p.id)"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Builds: the products of one target, with the specifications that their titles give."""
+    p = builder.specified(v.products(spark, d))
+    p = builder.staged(p, **{c: F.expr(e) for c, e in _FITS.items()}).select("id", "name", "t", "sid", F.col("current_price").alias("price"), "kind", *_SPEC_COLUMNS, *_FITS)
+    return v.product_targets(spark, d).withColumnsRenamed({"target_id": "build_id", "product_id": "id"}).join(p, "id").withColumnRenamed("id", "product_id")
 
 
-def _spec_sql(column: str) -> str:
-    return "case kind " + " ".join(f"when '{k}' then {rules.SPECS[k][column]}" for k in _SPEC_COLUMNS[column]) + " end"
+def _validated(spark: SparkSession, d: str) -> DataFrame:
+    return builder.validate(_items(spark, d))
 
 
-_GRANULAR = rules.title_sql()
-_ITEM_COLUMNS = [f"{_spec_sql(c)} AS {c}" for c in _SPEC_COLUMNS] + ["CASE WHEN kind = 'gpu' THEN 250 + sid % 120 END AS length_mm", "CASE WHEN kind = 'cabinet' THEN sid % 5 * 90 END AS max_gpu_length_mm", "CASE WHEN kind = 'cooler' THEN 'AM4,AM5' END AS supported_sockets"]
-_ITEMS = f"""{_TEXT}, g AS (SELECT id, t, {rules.duck(_GRANULAR)} AS category FROM x), k AS (SELECT id, t, {_KIND} AS kind FROM g),
-items AS (SELECT target_id AS build_id, p.id AS product_id, name, sid, current_price AS price, kind, {', '.join(map(rules.duck, _ITEM_COLUMNS))}
-  FROM product_targets l JOIN products p ON l.product_id = p.id JOIN k ON k.id = p.id)"""
+def _message_sql(rule: str, *values: str) -> str:
+    parts = [f"'{x}'" for x in builder.MESSAGES[rule].split("{}")]
+    return " || ".join([parts[0], *(x for value, part in zip(values, parts[1:]) for x in (value, part))])
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Builds: the products of one target, with the specifications that their titles give."""
-    p = v.products(spark, d).withColumns({"t": F.lower("name"), "c": F.lit("Accessories")}).withColumn("category", rules.column(_GRANULAR)).withColumn("kind", _kind())
-    p = p.select("id", "name", "sid", F.col("current_price").alias("price"), "kind", *[F.expr(e.replace("re'", "r'")) for e in _ITEM_COLUMNS])
-    return v.product_targets(spark, d).withColumnsRenamed({"target_id": "build_id", "product_id": "id"}).join(p, "id").withColumnRenamed("id", "product_id")
+def _pair_sql(seq: int, rule: str, level: str, a: str, b: str, cond: str, *values: str) -> str:
+    return f"SELECT a.build_id, {seq} AS seq, '{rule}' AS rule, '{level}' AS level, a.product_id AS a, b.product_id AS b, {_message_sql(rule, *values)} AS message FROM items a JOIN items b ON a.build_id = b.build_id AND a.kind = '{a}' AND b.kind = '{b}' WHERE {cond}"
 
 
-@query(f"{_ITEMS} SELECT build_id, sum(nullif(price, 0))::DOUBLE AS total_min_cost, count(*) AS n_items FROM items GROUP BY build_id")
+_HAS = lambda words: "regexp_matches(lower(name), '" + "|".join(words) + "')"
+_TOKENS = r"list_filter(regexp_split_to_array(lower(name), '\s+'), lambda w: regexp_matches(w, '^\d+w$'))"
+_BUILDS = f"""{_ITEMS},
+socks AS (SELECT DISTINCT build_id, upper(unnest(regexp_extract_all(t, 'lga1700|lga1851|am5|am4|lga1200'))) AS x FROM items),
+rams AS (SELECT DISTINCT build_id, CASE WHEN t LIKE '%ddr5%' THEN 'DDR5' WHEN t LIKE '%ddr4%' THEN 'DDR4' END AS x FROM items),
+sock AS (SELECT build_id, count(*) AS n, string_agg(x, ', ' ORDER BY x) AS x FROM socks GROUP BY build_id), ram AS (SELECT build_id, count(*) AS n, string_agg(x, ', ' ORDER BY x) AS x FROM rams WHERE x IS NOT NULL GROUP BY build_id),
+sums AS (
+  SELECT build_id, count(*) AS n_items, sum(CASE WHEN price <> 0 THEN price END)::DOUBLE AS total_min_cost,
+    sum(CASE WHEN {_HAS(['rtx [54]090'])} THEN 450 WHEN {_HAS(['rtx [54]080'])} THEN 320 WHEN {_HAS(['rtx [54]070'])} THEN 250 WHEN {_HAS(['cpu', 'ryzen', 'intel'])} THEN 125 ELSE 30 END)::BIGINT AS drawn,
+    coalesce(max(CASE WHEN {_HAS(['power supply', 'psu', '80[+]'])} THEN list_max(list_transform({_TOKENS}, lambda w: rtrim(w, 'w')::BIGINT)) END), 0) AS supply,
+    (coalesce(sum(CASE kind WHEN 'cpu' THEN CASE WHEN coalesce(tdp, 0) = 0 THEN 120 ELSE tdp END WHEN 'gpu' THEN 250 END), 0) + 50)::BIGINT AS estimated_wattage,
+    max(CASE WHEN kind = 'gpu' THEN coalesce(recommended_psu, 650) END) AS needed_psu, max(CASE WHEN kind = 'psu' THEN CASE WHEN coalesce(wattage, 0) = 0 THEN 600 ELSE wattage END END) AS psu_capacity
+  FROM items GROUP BY build_id),
+found AS (
+  SELECT build_id, 1 AS seq, 'sockets' AS rule, 'error' AS level, NULL::BIGINT AS a, NULL::BIGINT AS b, {_message_sql('sockets', 'x')} AS message FROM sock WHERE n > 1
+  UNION ALL SELECT build_id, 2, 'memory types', 'error', NULL, NULL, {_message_sql('memory types', 'x')} FROM ram WHERE n > 1
+  UNION ALL SELECT build_id, 3, 'supply', 'warning', NULL, NULL, {_message_sql('supply', 'supply', 'drawn')} FROM sums WHERE supply > 0 AND supply < drawn + 100
+  UNION ALL {_pair_sql(4, 'socket', 'error', 'cpu', 'motherboard', 'a.socket <> b.socket', 'a.socket', 'b.socket')}
+  UNION ALL {_pair_sql(5, 'memory', 'error', 'motherboard', 'ram', 'a.memory_type <> b.memory_type', 'a.memory_type', 'b.memory_type')}
+  UNION ALL SELECT build_id, 6, 'psu', 'warning', NULL, NULL, {_message_sql('psu', 'needed_psu', 'psu_capacity')} FROM sums WHERE psu_capacity < needed_psu
+  UNION ALL {_pair_sql(7, 'length', 'error', 'gpu', 'cabinet', 'b.max_gpu_length_mm > 0 AND a.length_mm > b.max_gpu_length_mm', 'a.length_mm', 'b.max_gpu_length_mm')}
+  UNION ALL {_pair_sql(8, 'cooler', 'warning', 'cooler', 'cpu', "b.socket NOT IN ('AM4', 'AM5')", 'b.socket')}),
+notes AS (SELECT build_id, count(*) AS n_notices, count(*) FILTER (level = 'error') AS n_errors, count(*) FILTER (seq > 3) AS n_conflicts, string_agg(message, chr(10) ORDER BY seq, a, b) AS messages FROM found GROUP BY build_id)"""
+
+
+@query(f"{_BUILDS} SELECT s.build_id, coalesce(n_errors, 0) = 0 AS compatible, coalesce(n_notices, 0) AS n_notices, md5(coalesce(messages, '')) AS messages, estimated_wattage, total_min_cost, n_items FROM sums s LEFT JOIN notes n ON s.build_id = n.build_id")
+def validate_builds(spark: SparkSession, d: str) -> DataFrame:
+    """Whole validation of every build; the notices' texts, in order, as a digest."""
+    b = _validated(spark, d)
+    said = F.array_join(F.transform(F.array_sort("notices"), lambda n: n["message"]), "\n")
+    return b.select("build_id", "compatible", F.size("notices").cast("long").alias("n_notices"), F.md5(said).alias("messages"), "estimated_wattage", "total_min_cost", "n_items")
+
+
+@query(f"{_BUILDS} SELECT build_id, total_min_cost, n_items FROM sums")
 def build_cost(spark: SparkSession, d: str) -> DataFrame:
-    return builder.cost(_items(spark, d))
+    return _validated(spark, d).select("build_id", "total_min_cost", "n_items")
 
 
-@query(f"{_ITEMS} SELECT s.id AS sid, display_name, coalesce(sum(price), 0)::DOUBLE AS total, count(price) AS n_items FROM stores s LEFT JOIN (SELECT sid, price FROM items WHERE price <> 0) i ON s.id = i.sid WHERE active GROUP BY ALL")
+@query(f"{_ITEMS} SELECT build_id, sid, display_name, sum(price)::DOUBLE AS total, count(*) AS n_items FROM items JOIN stores s ON sid = s.id WHERE price <> 0 AND active GROUP BY ALL")
 def build_cost_by_store(spark: SparkSession, d: str) -> DataFrame:
     return builder.cost_by_store(_items(spark, d), v.stores(spark, d))
 
 
-@query(f"""{_ITEMS}, a AS (SELECT build_id, unnest(list_filter({list(builder.SOCKETS)}, lambda s: contains(lower(name), s))) AS s FROM items),
-b AS (SELECT build_id, CASE WHEN contains(lower(name), 'ddr5') THEN 'ddr5' WHEN contains(lower(name), 'ddr4') THEN 'ddr4' END AS r FROM items)
-SELECT b.build_id, coalesce(any_value(q.s), '') AS sockets, coalesce(string_agg(DISTINCT r, ', ' ORDER BY r), '') AS ram_types, coalesce(any_value(q.n), 0) <= 1 AND count(DISTINCT r) <= 1 AS compatible
-FROM b LEFT JOIN (SELECT build_id, string_agg(DISTINCT s, ', ' ORDER BY s) AS s, count(DISTINCT s) AS n FROM a GROUP BY build_id) q ON b.build_id = q.build_id GROUP BY b.build_id""")
-def build_sockets(spark: SparkSession, d: str) -> DataFrame:
-    return builder.sockets(_items(spark, d))
+_ONE = "(SELECT min(target_id) FROM observations)"
 
 
-@query(f"""{_ITEMS} SELECT build_id, coalesce(sum(CASE kind WHEN 'cpu' THEN coalesce(nullif(tdp, 0), 120) WHEN 'gpu' THEN coalesce(nullif(tdp, 0), 250) END), 0)::BIGINT + 50 AS estimated_wattage,
-max(CASE WHEN kind = 'gpu' THEN coalesce(nullif(recommended_psu, 0), 650) END) AS needed_psu, max(CASE WHEN kind = 'psu' THEN coalesce(nullif(wattage, 0), 600) END) AS psu_capacity FROM items GROUP BY build_id""")
-def build_wattage(spark: SparkSession, d: str) -> DataFrame:
-    return builder.wattage(_items(spark, d))
+@query(f"{_ITEMS} SELECT s.id AS sid, display_name, coalesce(sum(price), 0)::DOUBLE AS total, count(price) AS n_items FROM stores s LEFT JOIN (SELECT sid, price FROM items WHERE price <> 0 AND build_id = {_ONE}) i ON s.id = i.sid WHERE active GROUP BY ALL")
+def build_store_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """All active shops of one build."""
+    one = v.observations(spark, d).agg(F.min("target_id")).first()[0]
+    return builder.store_breakdown(_items(spark, d).filter(F.col("build_id") == one), v.stores(spark, d))
 
 
-def _pair_sql(seq: int, rule: str, a: str, b: str, cond: str) -> str:
-    return f"SELECT a.build_id, {seq} AS seq, '{rule}' AS rule, a.product_id AS a, b.product_id AS b FROM items a JOIN items b ON a.build_id = b.build_id AND a.kind = '{a}' AND b.kind = '{b}' WHERE {cond}"
+@query(f"{_BUILDS} SELECT s.build_id, coalesce(sock.x, '') AS sockets, coalesce(ram.x, '') AS ram_types, coalesce(sock.n, 0) <= 1 AND coalesce(ram.n, 0) <= 1 AS alike FROM sums s LEFT JOIN sock ON s.build_id = sock.build_id LEFT JOIN ram ON s.build_id = ram.build_id")
+def build_sockets(spark: SparkSession, d: str) -> DataFrame:
+    alike = (F.size("sockets") <= 1) & (F.size("ram_types") <= 1)
+    return _validated(spark, d).select("build_id", F.array_join("sockets", ", ").alias("sockets"), F.array_join("ram_types", ", ").alias("ram_types"), alike.alias("alike"))
 
 
-_CONFLICTS = " UNION ALL ".join([
-    _pair_sql(1, "socket", "cpu", "motherboard", "upper(a.socket) <> upper(b.socket)"), _pair_sql(2, "memory", "motherboard", "ram", "upper(a.memory_type) <> upper(b.memory_type)"),
-    _pair_sql(4, "length", "gpu", "cabinet", "a.length_mm > b.max_gpu_length_mm AND b.max_gpu_length_mm > 0"), _pair_sql(5, "cooler", "cooler", "cpu", "NOT contains(upper(a.supported_sockets), upper(b.socket))"),
-    "SELECT build_id, 3, 'psu', NULL, NULL FROM items GROUP BY build_id HAVING max(CASE WHEN kind = 'psu' THEN coalesce(nullif(wattage, 0), 600) END) < max(CASE WHEN kind = 'gpu' THEN coalesce(nullif(recommended_psu, 0), 650) END)",
-])
+@query(f"{_BUILDS} SELECT build_id, estimated_wattage, needed_psu, psu_capacity FROM sums")
+def build_wattage(spark: SparkSession, d: str) -> DataFrame:
+    return _validated(spark, d).select("build_id", "estimated_wattage", "needed_psu", "psu_capacity")
 
 
-@query(f"{_ITEMS} {_CONFLICTS}")
+@query(f"{_BUILDS} SELECT build_id, rule, a, b FROM found WHERE seq > 3")
 def build_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return builder.conflicts(_items(spark, d))
+    return builder.notices(_validated(spark, d)).filter("seq > 3").select("build_id", "rule", "a", "b")
 
 
-@query(f"{_ITEMS}, c AS ({_CONFLICTS}) SELECT i.build_id, n_items, total::DOUBLE AS total_min_cost, coalesce(n, 0) AS n_conflicts, coalesce(hard, 0) = 0 AS compatible FROM (SELECT build_id, count(*) AS n_items, sum(nullif(price, 0)) AS total FROM items GROUP BY build_id) i LEFT JOIN (SELECT build_id, count(*) AS n, count(*) FILTER (seq IN (1, 2, 4)) AS hard FROM c GROUP BY build_id) s ON i.build_id = s.build_id")
+@query(f"{_BUILDS} SELECT s.build_id, n_items, total_min_cost, coalesce(n_conflicts, 0) AS n_conflicts, coalesce(n_errors, 0) = 0 AS compatible FROM sums s LEFT JOIN notes n ON s.build_id = n.build_id")
 def build_summary(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    found = builder.conflicts(items).groupBy("build_id").agg(F.count("*").alias("n_conflicts"), F.count_if(F.col("seq").isin(1, 2, 4)).alias("hard"))
-    x = builder.cost(items).join(found, "build_id", "left").na.fill(0, ["n_conflicts", "hard"])
-    return x.select("build_id", "n_items", "total_min_cost", "n_conflicts", (F.col("hard") == 0).alias("compatible"))
+    found = F.size(F.filter("notices", lambda n: n["seq"] > 3)).cast("long").alias("n_conflicts")
+    return _validated(spark, d).select("build_id", "n_items", "total_min_cost", found, "compatible")
+
+
+@query(f"{_BUILDS} SELECT build_id, drawn, supply, supply > 0 AND supply < drawn + 100 AS short FROM sums")
+def build_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return _validated(spark, d).select("build_id", "drawn", "supply", "short")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({k}, {chr(39)}{s}{chr(39)}, {str(r).lower()})' for k, (s, r) in enumerate(builder.SLOTS))}) t(position, slot, required)")
+@query(f"{_BUILDS} SELECT build_id, seq, level, message FROM found WHERE seq <= 3")
+def build_notices(spark: SparkSession, d: str) -> DataFrame:
+    return builder.notices(_validated(spark, d)).filter("seq <= 3").select("build_id", "seq", "level", "message")
+
+
+@query("""SELECT * FROM (VALUES (0, 'cpu', 'Processor (CPU)', true), (1, 'motherboard', 'Motherboard', true), (2, 'gpu', 'Graphics Card (GPU)', false), (3, 'ram', 'Memory (RAM)', true),
+(4, 'storage', 'Storage (SSD/HDD)', true), (5, 'psu', 'Power Supply (PSU)', true), (6, 'case', 'Cabinet / Case', false)) t(position, slot, name, required)""")
 def builder_slots(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k, s, r) for k, (s, r) in enumerate(builder.SLOTS)], "position int, slot string, required boolean")
+    return spark.createDataFrame([(k, *slot) for k, slot in enumerate(builder.SLOTS)], "position int, slot string, name string, required boolean")
 
 
 _DUE = "FROM scrape_targets t SEMI JOIN (SELECT id AS s FROM stores WHERE active) a ON t.store_id = a.s WHERE enabled AND next_scrape_at <= timestamp '1996-06-01' ORDER BY priority DESC, next_scrape_at, id LIMIT 10"
@@ -265,7 +399,7 @@ def due_targets(spark: SparkSession, d: str) -> DataFrame:
     return schedule.due(v.scrape_targets(spark, d), v.stores(spark, d), F.expr(AS_OF)).select("id", "store_id", "priority", "next_scrape_at")
 
 
-@query(f", g AS (SELECT id {_DUE}) SELECT t.id, CASE WHEN g.id IS NULL THEN next_scrape_at WHEN schedule_type = 2 THEN timestamp '1996-06-01 01:00:00' ELSE timestamp '1996-06-02' END AS next_scrape_at, CASE WHEN g.id IS NOT NULL THEN timestamp '1996-06-01' END AS last_scraped_at FROM scrape_targets t LEFT JOIN g ON t.id = g.id")
+@query(f", g AS (SELECT id {_DUE}) SELECT t.id, CASE WHEN g.id IS NULL THEN next_scrape_at WHEN schedule_type = 2 THEN timestamp '1996-06-01 01:00:00' ELSE timestamp '1996-06-02' END AS next_scrape_at, CASE WHEN g.id IS NOT NULL THEN timestamp '1996-06-01' ELSE last_scraped_at END AS last_scraped_at FROM scrape_targets t LEFT JOIN g ON t.id = g.id")
 def mark_scraped(spark: SparkSession, d: str) -> DataFrame:
     t = v.scrape_targets(spark, d)
     return schedule.mark_scraped(t, schedule.due(t, v.stores(spark, d), F.expr(AS_OF)), F.expr(AS_OF)).select("id", "next_scrape_at", "last_scraped_at")
@@ -283,17 +417,23 @@ def purge_out_of_stock(spark: SparkSession, d: str) -> DataFrame:
     return left["products"].agg(F.lit("products").alias("relation"), F.count("*").alias("n")).unionByName(left["links"].agg(F.lit("links").alias("relation"), F.count("*").alias("n")))
 
 
-@query("SELECT count(*) AS n FROM products WHERE sid <> 2")
+@query("""SELECT 'products' AS relation, count(*) AS n FROM products WHERE sid <> 2 UNION ALL SELECT 'links', count(*) FROM product_targets ANTI JOIN (SELECT id FROM products WHERE sid = 2) p ON product_id = p.id
+UNION ALL SELECT 'history', count(*) FROM observations WHERE sid <> 2 UNION ALL SELECT 'targets', count(*) FROM (SELECT CASE WHEN store_id = 2 THEN timestamp '1996-06-01' ELSE next_scrape_at END AS n, CASE WHEN store_id <> 2 THEN last_scraped_at END AS l FROM scrape_targets) WHERE n = timestamp '1996-06-01' AND l IS NULL""")
 def purge_store(spark: SparkSession, d: str) -> DataFrame:
-    return maintain.purge(v.products(spark, d), {}, F.col("sid") == 2)["products"].agg(F.count("*").alias("n"))
+    """What a purge of one shop leaves, and how many targets are due at once."""
+    hanging = {"links": v.product_targets(spark, d), "history": v.observations(spark, d)}
+    left = maintain.purge_store(v.products(spark, d), hanging, v.scrape_targets(spark, d), 2, F.expr(AS_OF))
+    left["targets"] = left["targets"].filter((F.col("next_scrape_at") == F.expr(AS_OF)) & F.col("last_scraped_at").isNull())
+    out = [df.agg(F.lit(k).alias("relation"), F.count("*").alias("n")) for k, df in left.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-_ENFORCED = f"""{_TEXT}, o AS (SELECT id, {rules.duck(rules.category_sql())} AS category FROM x), m AS (SELECT product_id, max_by(category, target_id) AS c FROM product_targets JOIN scrape_targets t ON target_id = t.id WHERE category IS NOT NULL GROUP BY product_id),
+_ENFORCED = f"""{rule_sql.X}, o AS (SELECT id, {rule_sql.CATEGORY} AS category FROM x), m AS (SELECT product_id, max_by(category, target_id) AS c FROM product_targets JOIN scrape_targets t ON target_id = t.id WHERE category IS NOT NULL GROUP BY product_id),
 e AS (SELECT o.id, coalesce(m.c, o.category) AS category FROM o LEFT JOIN m ON o.id = m.product_id)"""
 
 
 def _enforced(spark: SparkSession, d: str) -> DataFrame:
-    p = v.products(spark, d).withColumn("t", F.lower("name")).withColumn("category", rules.column(rules.category_sql()))
+    p = normalize.classified(v.products(spark, d)).withColumn("category", F.col("coded"))
     return maintain.category_of_targets(p, v.product_targets(spark, d), v.scrape_targets(spark, d))
 
 
@@ -302,7 +442,7 @@ def enforce_category(spark: SparkSession, d: str) -> DataFrame:
     return _enforced(spark, d).select("id", "category")
 
 
-@query(f"{_ENFORCED} SELECT category, count(*) FILTER (in_stock) AS n_in, count(*) FILTER (NOT in_stock) AS n_out, count(*) AS n FROM e JOIN products p ON e.id = p.id GROUP BY ROLLUP (category)")
+@query(f"{_ENFORCED} SELECT e.category, count(*) FILTER (in_stock) AS n_in, count(*) FILTER (NOT in_stock) AS n_out, count(*) AS n FROM e JOIN products p ON e.id = p.id GROUP BY ROLLUP (e.category)")
 def stock_counts(spark: SparkSession, d: str) -> DataFrame:
     return catalog.stock_counts(_enforced(spark, d))
 
@@ -322,9 +462,20 @@ def match_report(spark: SparkSession, d: str) -> DataFrame:
     return maintain.match_report(v.observations(spark, d).filter("page = 1"), v.products(spark, d).filter("in_stock"))
 
 
-@query("SELECT id, pid FROM products WHERE current_mrp IS NULL OR in_stock IS NULL ORDER BY id LIMIT 10")
+@query(""", o AS (SELECT id AS product_id, min(id) OVER (PARTITION BY sid, pid // 3) AS any_id, min(CASE WHEN pid = pid // 3 THEN id END) OVER (PARTITION BY sid, pid // 3) AS own FROM products),
+m AS (SELECT product_id, coalesce(own, any_id) AS master FROM o), h AS (SELECT master AS id, count(*) AS n_history FROM observations JOIN m ON observations.product_id = m.product_id GROUP BY master),
+l AS (SELECT master AS id, count(DISTINCT target_id) AS n_links FROM product_targets t JOIN m ON t.product_id = m.product_id GROUP BY master)
+SELECT p.id, p.pid // 3 AS pid, n_history, n_links FROM products p JOIN h ON p.id = h.id JOIN l ON p.id = l.id""")
+def reclean_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that stay after keys are re-derived, with the history and links that they now have."""
+    left = maintain.merge(v.products(spark, d), v.observations(spark, d).select("product_id", "scraped_at"), v.product_targets(spark, d), F.expr("pid div 3"))
+    n = lambda k: left[k].groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias(f"n_{k}"))
+    return left["products"].select("id", "pid").join(n("history"), "id").join(n("links"), "id")
+
+
+@query("SELECT id, pid FROM products WHERE description IS NULL OR specifications IS NULL ORDER BY id LIMIT 10")
 def unenriched(spark: SparkSession, d: str) -> DataFrame:
-    return v.products(spark, d).filter("current_mrp is null or in_stock is null").orderBy("id").limit(10).select("id", "pid")
+    return cycle.unenriched(v.products(spark, d)).select("id", "pid")
 
 
 @query(r"SELECT page_id, list_last(string_split(rtrim(split_part(url, '?', 1), '/'), '/')) AS slug FROM pages")
@@ -332,10 +483,12 @@ def url_slugs(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "pages").select("page_id", scalars.slug(F.col("url"), F.lit("")).alias("slug"))
 
 
-@query("SELECT id, n AS page, 'https://shop.example/search?q=' || replace(target_value, ' ', '+') || '&page=' || n AS url FROM scrape_targets, range(1, 4) r(n)")
+@query("SELECT id, n AS page, 'https://shop.example/' || CASE WHEN n > 1 AND id % 2 = 0 THEN 'page/' || n || '?q=' ELSE 'search?q=' END || replace(target_value, ' ', '+') AS url FROM scrape_targets, range(1, 4) r(n)")
 def search_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages of each search; every other shop has an address for later pages."""
     t = v.scrape_targets(spark, d).select("id", "target_value", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("page"))
-    return t.select("id", "page", scalars.search_url(F.lit("https://shop.example/search?q={query}&page={page}"), F.col("target_value"), F.col("page")).alias("url"))
+    later = F.when(F.col("id") % 2 == 0, "https://shop.example/page/{page}?q={query}")
+    return t.select("id", "page", scalars.search_url(F.lit("https://shop.example/search?q={query}"), F.col("target_value"), F.col("page"), later).alias("url"))
 
 
 @query("SELECT event_type, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type")
@@ -349,28 +502,6 @@ def page_anchors(spark: SparkSession, d: str) -> DataFrame:
     return extract.anchors(v.table(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("href").startswith("/")).alias("relative"))
 
 
-def _power_sql() -> str:
-    has = lambda words: " OR ".join(f"contains(lower(name), '{w}')" for w in words)
-    watts = "CASE " + " ".join(f"WHEN {has(words)} THEN {n}" for words, n in estimates.POWER) + f" ELSE {estimates.OTHER} END"
-    named = r"list_filter(regexp_split_to_array(lower(name), '\s+'), lambda w: regexp_matches(w, '^\d+w$'))"
-    supply = f"CASE WHEN {has(estimates.SUPPLIES)} THEN list_max(list_transform({named}, lambda w: rtrim(w, 'w')::BIGINT)) END"
-    return f"SELECT build_id, sum({watts})::BIGINT AS drawn, coalesce(max({supply}), 0) AS supply FROM items GROUP BY build_id"
-
-
-@query(f"{_ITEMS}, e AS ({_power_sql()}) SELECT *, supply > 0 AND supply < drawn + {estimates.HEADROOM} AS short FROM e")
-def build_estimates(spark: SparkSession, d: str) -> DataFrame:
-    return estimates.by_names(_items(spark, d))
-
-
-@query(f"""{_ITEMS}, e AS ({_power_sql()}), a AS (SELECT DISTINCT build_id, unnest(list_filter({list(builder.SOCKETS)}, lambda s: contains(lower(name), s))) AS s FROM items),
-b AS (SELECT DISTINCT build_id, CASE WHEN contains(lower(name), 'ddr5') THEN 'ddr5' WHEN contains(lower(name), 'ddr4') THEN 'ddr4' END AS s FROM items)
-SELECT build_id, 1 AS seq, 'error' AS level, upper(string_agg(s, ', ' ORDER BY s)) AS about FROM a GROUP BY build_id HAVING count(*) > 1
-UNION ALL SELECT build_id, 2, 'error', upper(string_agg(s, ', ' ORDER BY s)) FROM b WHERE s IS NOT NULL GROUP BY build_id HAVING count(*) > 1
-UNION ALL SELECT build_id, 3, 'warning', supply || ' of ' || drawn FROM e WHERE supply > 0 AND supply < drawn + {estimates.HEADROOM}""")
-def build_notices(spark: SparkSession, d: str) -> DataFrame:
-    return estimates.notices(_items(spark, d))
-
-
 @query(f"{_SAVE} SELECT sid, pid, price::DOUBLE AS price, mrp::DOUBLE AS mrp, in_stock, touched FROM u")
 def save_details(spark: SparkSession, d: str) -> DataFrame:
     x = ingest.save_details(*_state_and_batch(spark, d))
@@ -380,17 +511,51 @@ def save_details(spark: SparkSession, d: str) -> DataFrame:
 _GENERIC = "('" + "', '".join(maintain.GENERIC) + "')"
 
 
-@query(f", x AS (SELECT id, lower(name) AS t, 'Accessories' AS c FROM products), y AS (SELECT id, t, {rules.duck(rules.category_sql())} AS c FROM x) SELECT id, CASE WHEN c IN {_GENERIC} THEN {rules.duck(rules.title_sql())} ELSE c END AS category FROM y")
+@query(f"{_DISPATCHED} SELECT id, CASE WHEN coded IN {_GENERIC} THEN granular ELSE coded END AS category FROM z")
 def reclassify(spark: SparkSession, d: str) -> DataFrame:
-    x = _text(spark, d).withColumn("c", rules.column(rules.category_sql()))
-    return maintain.reclassify(x, "c", rules.column(rules.title_sql())).select("id", F.col("c").alias("category"))
+    x = normalize.classified(v.products(spark, d))
+    return maintain.reclassify(x, "coded", F.col("granular")).select("id", F.col("coded").alias("category"))
 
 
-@query(", s AS (SELECT * FROM stores WHERE id % 2 = 0), n AS (SELECT id, name, 'New ' || name AS display_name, id % 5 > 0 AS active FROM stores WHERE id % 3 = 0) SELECT * FROM n UNION ALL SELECT * FROM s ANTI JOIN (SELECT name AS m FROM n) k ON name = m")
+@query("SELECT id, name, 'New ' || display_name AS display_name, NOT active AS active FROM stores WHERE active UNION ALL SELECT id, name, display_name, active FROM stores WHERE NOT active")
 def seed_stores(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds for all shops that are open; the others stay as they are."""
     s = v.stores(spark, d)
-    new = s.filter("id % 3 = 0").withColumns({"display_name": F.concat(F.lit("New "), "name"), "active": F.col("id") % 5 > 0})
-    return schedule.seed(s.filter("id % 2 = 0"), new, ["name"])
+    new = s.filter("active").withColumns({"display_name": F.concat(F.lit("New "), "display_name"), "active": ~F.col("active")})
+    return schedule.seed(s, new, ["name"]).select("id", "name", "display_name", "active")
+
+
+_PLANNED = """SELECT id, coalesce(target_type = {0} OR contains(target_value, 'catalog/'), false) AS is_category,
+CASE WHEN target_type = {0} THEN coalesce(TRY_CAST(schedule_config->>'max_pages' AS INT), 2) ELSE 2 END AS max_pages, schedule_config->>'category' AS hard_category FROM scrape_targets"""
+
+
+@query(_PLANNED.format(1))
+def plan_targets(spark: SparkSession, d: str) -> DataFrame:
+    return schedule.plan(v.scrape_targets(spark, d)).select("id", "is_category", "max_pages", "hard_category")
+
+
+@query(_PLANNED.format(2))
+def plan_targets_as_coded(spark: SparkSession, d: str) -> DataFrame:
+    return schedule.plan(v.scrape_targets(spark, d), as_coded=True).select("id", "is_category", "max_pages", "hard_category")
+
+
+@query(f""", due AS (SELECT t.* {_DUE}), plan AS (SELECT id, CASE WHEN target_type = 1 THEN coalesce(TRY_CAST(schedule_config->>'max_pages' AS INT), 2) ELSE 2 END AS max_pages, schedule_config->>'category' AS hard FROM due WHERE id % 4 <> 3),
+o AS (SELECT o.*, hard FROM observations o JOIN plan ON target_id = plan.id WHERE page <= max_pages), n AS (SELECT target_id, sid, pid, min(page) AS page FROM o GROUP BY ALL),
+k AS (SELECT target_id, page, row_number() OVER (PARTITION BY target_id ORDER BY page) AS place FROM (SELECT DISTINCT target_id, page FROM n)),
+b AS (SELECT o.* FROM o JOIN n ON o.target_id = n.target_id AND o.sid = n.sid AND o.pid = n.pid AND o.page = n.page JOIN k ON o.target_id = k.target_id AND o.page = k.page WHERE place = k.page
+  QUALIFY row_number() OVER (PARTITION BY o.sid, o.pid ORDER BY scraped_at DESC, o.target_id DESC, o.page DESC, tie DESC, coalesce(price, -1) DESC) = 1)
+SELECT 'targets' AS relation, count(*) AS n, NULL AS about FROM plan UNION ALL SELECT 'history', count(*), sum(price)::DOUBLE FROM b WHERE price IS NOT NULL UNION ALL SELECT 'links', count(*), sum(target_id)::DOUBLE FROM b
+UNION ALL SELECT 'products', count(*), count(*) FILTER (hard = 'GPU')::DOUBLE FROM products p LEFT JOIN (SELECT sid AS s, pid AS i, hard FROM b) ON sid = s AND pid = i""")
+def scheduled_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """One cycle over all captured results, in which the targets of one residue fail: what it leaves, in numbers."""
+    p = v.products(spark, d).withColumnsRenamed({"current_price": "price", "current_mrp": "mrp"}).withColumn("category", F.lit(None).cast("string"))
+    o = v.observations(spark, d).withColumn("p", F.coalesce("price", F.lit(-1)))
+    t = v.scrape_targets(spark, d)
+    c = cycle.run_due(t, v.stores(spark, d), p, o, t.filter("id % 4 = 3").select(F.col("id").alias("target_id")), F.expr(AS_OF), _ORDER)
+    marked = c.targets.filter(F.col("last_scraped_at") == F.expr(AS_OF))
+    of = lambda df, k, about: df.agg(F.lit(k).alias("relation"), F.count("*").alias("n"), about.cast("double").alias("about"))
+    out = of(c.products, "products", F.count_if(F.col("category") == "GPU")).unionByName(of(c.history, "history", F.sum("price"))).unionByName(of(c.links, "links", F.sum("target_id")))
+    return out.unionByName(of(marked, "targets", F.lit(None)))
 
 
 @query(", k AS (SELECT DISTINCT sid, pid FROM observations WHERE page = 1) SELECT p.id, CASE WHEN k.pid IS NULL THEN 'Accessories' ELSE 'GPU' END AS category FROM products p LEFT JOIN k ON p.sid = k.sid AND p.pid = k.pid")

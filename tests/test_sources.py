@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from offerlake.sources import cards, dump, product
 
@@ -27,7 +28,7 @@ def test_cards_by_selectors(spark):
     a, b = sorted(cards.by_selectors(pages(spark, CARDS, None, "", "<li"), selectors(spark)).collect(), key=lambda r: r.name)
     assert (a.pid, a.name, a.url, a.image) == ("kit-a", "Kit & A", "https://s.in/product/ram/kit-a/?v=1", "https://cdn/a.png")
     assert (float(a.price), float(a.mrp), a.in_stock) == (1500.5, 2000, True)
-    assert (b.pid, b.url, float(b.price), float(b.mrp), b.in_stock) == ("item-b", "https://s.in/shop/item-b", 0, 0, False)
+    assert (b.pid, b.url, float(b.price), b.mrp, b.in_stock) == ("item-b", "https://s.in/shop/item-b", 0, None, False)
     assert cards.by_selectors(pages(spark, CARDS), selectors(spark, 8)).count() == 0
 
 
@@ -36,6 +37,12 @@ def test_selectors(css, found):
     assert len(cards.tree(CARDS).select(cards.compiled(css))) == found
 
 
+def test_joined_urls(spark):
+    links = {"../a/b": "https://s.in/a/b", "./c?x=../y": "https://s.in/shop/c?x=../y", "d/../e/": "https://s.in/shop/e/", "../../../f": "https://s.in/f", "/g": "https://s.in/g", "//cdn/h": "https://cdn/h", "https://o.in/i": "https://o.in/i", "j": "https://s.in/shop/j"}
+    got = spark.createDataFrame(list(links.items()), "l string, want string").select("l", "want", cards.joined_url(F.lit("https://s.in/shop/"), F.col("l")).alias("u")).collect()
+    assert {r.l: r.u for r in got} == links
+
+
 def test_cards_by_text(spark):
     card = "<div><p>{0}</p><h2><a href='/product/x/{1}/'>{2}</a></h2></div>"
     html = "".join(card.format(*c) for c in [
