@@ -64,6 +64,9 @@ def dropped(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        table = folder.rsplit("/", 1)[-1]
+        if "-" not in table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import bucketed, dropped, stored
 
 #: Fewest words of lines that an edit may part, and words beyond which lines meet by halves first.
-FEWEST, LONG = 5, 32
+FEWEST, LONG = 5, 12
 #: Tasks that the copies of one frequent line are dealt to.
 SPREAD = 16
 _KEY = ["k1", "k2"]
@@ -92,13 +92,14 @@ def repeated(known: DataFrame) -> DataFrame:
     """(k1, k2) of the lines that an earlier, different line is like."""
     by_halves = _that_meet(known.filter(F.col("n") >= LONG), F.col("ends"), "halves-met")
     # known lies in buckets by the keys, so these joins move no lines.
-    lines = known.filter("n is not null").select(*_KEY, "first", "n", F.split("plain", " ").alias("words"))
+    lines = known.filter("n is not null").select(*_KEY, "first", "n", "plain")
+    words = F.split("plain", " ").alias("words")  # only of lines that are left
     sieved = lines.filter(F.col("n") <= LONG).unionByName(lines.filter(F.col("n") > LONG).join(by_halves.hint("shuffle_hash"), _KEY, "left_semi"))
     # The hash of a bag of words is that of its variants after one step each.
-    hashed = sieved.select(*_KEY, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).withColumn("whole", _xor(F.col("h")))
+    hashed = sieved.select(*_KEY, F.transform(words, lambda w: F.xxhash64(w)).alias("h")).withColumn("whole", _xor(F.col("h")))
     bags = F.concat(F.array("whole"), F.transform("h", lambda h: F.col("whole").bitwiseXOR(h)))
     by_bags = _that_meet(hashed, bags, "bags-met")
-    some = stored(lines.join(by_bags.hint("shuffle_hash"), _KEY, "left_semi"), "lines-met")
+    some = stored(lines.join(by_bags.hint("shuffle_hash"), _KEY, "left_semi").select(*_KEY, "first", "n", words), "lines-met")
     dropped(by_halves)
     dropped(by_bags)
     # The hash of a line is that of all its (word, place). Without word i, words before it keep their
@@ -122,8 +123,8 @@ def repeated(known: DataFrame) -> DataFrame:
     a, b = F.greatest("long", "short"), F.least("long", "short")
     longer = longer.select(a["k1"].alias("k1"), a["k2"].alias("k2"), b["k1"].alias("o1"), b["k2"].alias("o2"), (a["first"] > b["first"]).alias("later")).filter("later").drop("later")
     pairs = replaced.unionByName(longer).distinct()
-    words = some.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("words").alias("of_other"))
-    checked = pairs.join(some.select(*_KEY, "words"), _KEY).join(words, ["o1", "o2"]).filter(_one_edit(F.col("words"), F.col("of_other")))
+    others = some.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("words").alias("of_other"))
+    checked = pairs.join(some.select(*_KEY, "words"), _KEY).join(others, ["o1", "o2"]).filter(_one_edit(F.col("words"), F.col("of_other")))
     near = stored(checked.select(*_KEY).distinct(), "near-lines")
     dropped(some)
     dropped(variants)
@@ -136,6 +137,9 @@ def marked(docs: DataFrame) -> DataFrame:
     known = bucketed(distinct_lines(rows), "lines", *_KEY)
     near = repeated(known)
     state = known.select(*_KEY, "first", "copies").join(near.withColumn("near", F.lit(True)), _KEY, "left").filter("near or copies > 1")
+    state = stored(state, "line-state")
+    dropped(known)
+    dropped(near)
     # Only lines that repeat or are near meet here, and the copies of a frequent one are dealt to SPREAD tasks.
     state = state.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     here = F.struct("doc_id", "line_no")
