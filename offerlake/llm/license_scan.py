@@ -20,18 +20,37 @@ from .common import texts
 
 #: Share of a template that counts as found.
 COVERAGE = 0.8
-#: Short notices and the openings of standard license texts.
+#: Short notices, and the openings or whole texts of standard licenses.
 TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT-conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
     "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-text": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+}
+#: Words that tell a notice from that of another license ("Licensed under CC BY-ND 4.0."); without them it isn't found.
+NAMING = {
+    "CC-BY-NC-4.0": "by-nc", "CC-BY-4.0": "by", "CC-BY-SA-4.0": "by-sa", "MIT": "mit", "LGPL-text": "lesser", "AGPL-text": "affero",
+    "CC-BY-4.0-notice": "attribution", "CC-BY-SA-4.0-notice": "attribution-sharealike", "CC-BY-NC-4.0-notice": "attribution-noncommercial",
 }
-#: Words that tell a short notice from that of another license ("Licensed under CC BY-SA 4.0."); without them it isn't found.
-NAMING = {"CC-BY-NC-4.0": "by-nc", "MIT": "mit"}
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c in b"0123456789abcdefghijklmnopqrstuvwxyz.-" or c >= 128 else 32 for c in range(256))
 
 
@@ -103,11 +122,11 @@ def _stretches(at: list[int], k: int, ends: list[int], need: int, n: int) -> Ite
         yield max(0, at[k] - end), min(n, at[k] - end + need)
 
 
-def _best(text: list[bytes], template: list[bytes], coverage: float = COVERAGE, naming: bytes | None = None) -> tuple[float, int, int]:
-    """Highest coverage of a template, if it is coverage or more, and the word span it lies in.
+def occurrences(text: list[bytes], template: list[bytes], coverage: float = COVERAGE, naming: bytes | None = None) -> list[tuple[float, int, int]]:
+    """(coverage, first word, last word) of places at which a template has the coverage or more; places may overlap.
 
     The template is laid over stretches about each place of its rarest words, so that a word
-    which the rest of a long text also has does not hide the notice.
+    which the rest of a long text also has does not hide a notice.
     """
     need, known = len(template), Counter(template)
     there: dict[bytes, list[int]] = {w: [] for w in known}
@@ -116,12 +135,11 @@ def _best(text: list[bytes], template: list[bytes], coverage: float = COVERAGE,
             there[w].append(i)
     least = _least(need, coverage)
     if sum(min(n, len(there[w])) for w, n in known.items()) < least:
-        return 0.0, 0, 0  # no alignment can reach the coverage
-    best = (0.0, 0, 0)
+        return []  # no alignment can reach the coverage
     # An alignment that reaches the coverage lacks at most need - least words, so it has one of the rarest.
     rare = sorted(known, key=lambda w: (len(there[w]), w))[: need - least + 1]
     ends = {w: [j for j, x in enumerate(template) if x == w] for w in rare}
-    done = -1
+    found, done = [], -1
     for i, w, k in sorted((i, w, k) for w in rare for k, i in enumerate(there[w])):
         if i < done:
             continue
@@ -130,21 +148,30 @@ def _best(text: list[bytes], template: list[bytes], coverage: float = COVERAGE,
             if len(pairs) < least or naming and all(template[j] != naming for _, j in pairs):
                 continue
             first, last = a + pairs[0][0], a + pairs[-1][0] + 1
+            found.append((len(pairs) / need, first, last))
             if first <= i and last - first <= 2 * need - least:
                 done = max(done, last)  # the other rare words of this copy
-            if len(pairs) / need > best[0]:
-                best = (len(pairs) / need, first, last)
-            if len(pairs) == need:
-                return best
-    return best
+                if len(pairs) == need == last - first:
+                    break
+    return found
+
+
+def _apart(found: list[tuple[float, int, int, str]]) -> list[tuple[str, float, int, int]]:
+    """Places that don't overlap: the highest coverage first, then the longest template's words and the shortest stretch."""
+    out: list[tuple[str, float, int, int]] = []
+    for share, first, last, name in sorted(set(found), key=lambda x: (-x[0], x[2] - x[1], x[1], x[3])):
+        if all(last <= a or b <= first for _, _, a, b in out):
+            out.append((name, share, first, last))
+    return sorted(out, key=lambda x: x[2])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """One row for each text and each license found: doc_id, license, coverage, first and last word.
+    """One row for each place of a license in a text: doc_id, license, coverage, first and last word.
 
-    Null and empty texts have none; equal coverage is no tie, each license has its own row;
-    repeated rows give repeated rows; other columns are ignored. Each text is scanned by itself,
-    so there is no shuffle.
+    Places in one text do not overlap: where several fit, that of the highest coverage stays, then
+    the shortest stretch, the first and the name. Null and empty texts have none, very long texts
+    are read as a whole, repeated rows give repeated rows, an empty table gives none; other columns
+    of any name are ignored. Each text is scanned by itself, so there is no shuffle.
     """
     known = [(k, words_of(t.encode())) for k, t in sorted((TEMPLATES if templates is None else templates).items())]
     known = [(k, w, NAMING[k].encode() if templates is None and k in NAMING else None) for k, w in known if w]
@@ -155,13 +182,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             for i, text in enumerate(texts(batch)):
                 words = words_of(text)
                 have = set(words)
+                found = []
                 for name, template, naming in known:
-                    if len(set(template) - have) > len(template) - _least(len(template), coverage):
-                        continue
-                    share, first, last = _best(words, template, coverage, naming)
-                    if share:
-                        owner.append(i)
-                        rows.append((name, share, first, last))
+                    # As many words as the distinct ones that the text lacks can't be matched.
+                    if len(set(template) - have) <= len(template) - _least(len(template), coverage):
+                        found += [(*place, name) for place in occurrences(words, template, coverage, naming)]
+                apart = _apart(found)
+                owner += [i] * len(apart)
+                rows += apart
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["doc_id", "license", "coverage", "first", "last"])
 

@@ -51,7 +51,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rotate(_table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
+    return chat.rotate(_table(spark, sf_dir, "conversations")).withColumn("spans", spans)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,17 +124,20 @@ m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT ite
 SELECT dw.doc_id, len(dw.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN m ON dw.doc_id = m.doc_id""",
-    "op7_chat_rotation": """
-WITH t AS (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS txt FROM conversations),
+    "op7_chat_rotation": f"""
+WITH c AS (SELECT conv_id, turn, replace(coalesce(nullif(trim(replace(role, chr(10), ' ')), ''), 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS txt FROM conversations),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, txt) - 1 AS i FROM c),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 s AS (
-  SELECT t.conv_id, perspective, turn, speaker, txt,
-    CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id)
-SELECT conv_id, perspective, turn, speaker, role,
-  '<|' || CASE WHEN role = 'user' THEN 'user name=' || speaker ELSE role END || '|>' || chr(10) || txt || chr(10) || '<|end|>' || chr(10) AS rendered,
-  (speaker = perspective)::INT AS loss_mask, CASE WHEN speaker = perspective THEN len(txt) ELSE 0 END AS n_target_chars
-FROM s""",
+  SELECT t.conv_id, perspective, i, (i // {chat.PART})::INT AS part, txt, speaker = perspective AS own,
+    '<|' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || '|>' || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+r AS (
+  SELECT *, head || txt || chr(10) || '<|end|>' || chr(10) AS piece,
+    sum(len(head) + len(txt) + 9) OVER (PARTITION BY conv_id, perspective, part ORDER BY i) - len(txt) - 9 AS first FROM s)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(piece, '' ORDER BY i) AS rendered,
+  coalesce(string_agg(first || '-' || first + len(txt), ',' ORDER BY i) FILTER (own), '') AS spans, coalesce(sum(len(txt)) FILTER (own), 0)::BIGINT AS n_target_chars
+FROM r GROUP BY conv_id, perspective, part""",
     "op8_substring_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 g AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),

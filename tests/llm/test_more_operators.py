@@ -37,27 +37,110 @@ def test_license_scan_adjacent_copies(spark):
     noise = [f"w{i}" for i in range(1, 51)]
     t = license_scan.TEMPLATES
     short, altered = ["MIT", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0"], {"MIT-text": ("modify, ", "free of charge, "), "GPL-text": ("any later ",), "BSD-text": ("binary ",)}
-    texts, want = [], set()
-    for n in (2, 3, 40):
+    texts, want = [], []
+    for n in (1, 2, 3, 40):
         for name in [*short, *altered]:
             copy = t[name]
             for gone in altered.get(name, ()):
                 copy = copy.replace(gone, "")
-            want.add((len(texts), name))
+            want.append((name, n, len(license_scan.words_of(copy.encode())), name in short))
             texts.append(" ".join([*noise, *[copy] * n, *noise]))
-    got = found(spark, texts)
-    assert want <= set(got)
-    for d, name in want:
-        r = got[d, name]
-        whole, words = name in short, len(license_scan.words_of(t[name].encode()))
-        assert (r.coverage == 1 and r.last - r.first == words) if whole else 0.8 < r.coverage < 1
-        assert r.first >= 50
+    rows = {}
+    for r in license_scan.scan(documents(spark, texts)).collect():
+        rows.setdefault(r.doc_id, []).append(r)
+    for d, (name, n, words, whole) in enumerate(want):
+        got = sorted(r.first for r in rows[d] if r.license == name)
+        assert got == [50 + k * words for k in range(n)], (name, n)  # every copy is found where it stands
+        assert {r.license for r in rows[d]} == {name}
+        assert all((r.coverage == 1) == whole and r.last - r.first == words for r in rows[d])
+
+
+def test_license_scan_tells_kin_apart(spark):
+    t = license_scan.TEMPLATES
+    names = sorted(t)
+    texts = [" ".join(["before", t[n], "after"]) for n in names]
+    got = license_scan.scan(documents(spark, texts)).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == list(enumerate(names)) and {r.coverage for r in got} == {1.0}
+
+
+def plain_align(a, b):
+    """Patience alignment by its definition: ends, unique words, the longest increasing run by trying all, gaps."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_align(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return plain_align(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(a.index(w), b.index(w)) for w in a if a.count(w) == 1 and b.count(w) == 1]
+    best = [1] * len(once)
+    for i in range(len(once)):
+        best[i] = 1 + max([best[j] for j in range(i) if once[j][1] < once[i][1]], default=0)
+    return len(once) and max(best), once
+
+
+def test_alignment_against_its_definition():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        a, b = (rng.choice(list("abcdefghijklmnop"), rng.integers(0, 14)).tolist() for _ in range(2))
+        pairs = license_scan.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert pairs[:head] == [(k, k) for k in range(head)]
+        a, b = a[head:], b[head:]
+        tail = next((k for k, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+        a, b = a[: len(a) - tail], b[: len(b) - tail]
+        if not a or not b:
+            assert len(pairs) == head + tail
+            continue
+        longest, once = plain_align(a, b)
+        inside = [(i - head, j - head) for i, j in pairs[head : len(pairs) - tail]]
+        # The first cut keeps a longest run of words that both have once; what else is matched lies in its gaps.
+        assert sum(p in once for p in inside) >= longest
+        if not once:
+            assert inside == []
+
+
+def test_license_scan_brute_force_of_short_templates(spark):
+    """Each window of a text against each template by a plain longest common subsequence: what patience finds is there, and exact copies are all found."""
+    rng = np.random.default_rng(15)
+    names = ["MIT", "Apache-2.0", "ISC", "GPL-text"]
+    texts = []
+    for _ in range(40):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            parts += rng.choice(["the", "license", "under", "copy", "software", "w1", "w2", "of"], int(rng.integers(3, 30))).tolist()
+            if rng.random() < 0.7:
+                w = license_scan.TEMPLATES[str(rng.choice(names))].split()
+                for _ in range(int(rng.integers(0, 3))):
+                    w[int(rng.integers(len(w)))] = "changed"
+                parts += w
+        texts.append(" ".join(parts))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = 0
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], old + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    got = license_scan.scan(documents(spark, texts), {n: license_scan.TEMPLATES[n] for n in names}).collect()
+    assert len(got) > 30
+    for r in got:
+        words, template = license_scan.words_of(texts[r.doc_id].encode()), license_scan.words_of(license_scan.TEMPLATES[r.license].encode())
+        assert 0.8 <= r.coverage <= common(words[r.first : r.last], template) / len(template) + 1e-9
+    for d, text in enumerate(texts):
+        words = license_scan.words_of(text.encode())
+        for n in names:
+            template = license_scan.words_of(license_scan.TEMPLATES[n].encode())
+            exact = {k for k in range(len(words) - len(template) + 1) if words[k : k + len(template)] == template}
+            assert exact <= {r.first for r in got if r.doc_id == d and r.license == n and r.coverage == 1}
 
 
 def test_license_scan_at_the_least_coverage(spark):
     texts = ["Released under an MIT License", "the x y z " * 30 + "Released under an MIT License", "Released under the BSD License", "Licensed under CC BY-SA 4.0", "Licensed by CC BY-NC 4.0"]
     got = found(spark, texts)
-    assert set(got) == {(0, "MIT"), (1, "MIT"), (4, "CC-BY-NC-4.0")} and {r.coverage for r in got.values()} == {0.8}
+    assert {k: r.coverage for k, r in got.items()} == {(0, "MIT"): 0.8, (1, "MIT"): 0.8, (3, "CC-BY-SA-4.0"): 1, (4, "CC-BY-NC-4.0"): 0.8}
     template = {"x": "a b c d e f g h i j"}
     parts = [" ".join("abcdefghij"[:n]) for n in range(11)]
     for coverage in (0.3, 0.6, 0.7, 0.8, 0.9, 1.0):
@@ -77,15 +160,43 @@ def test_alignment_is_ordered_and_equal():
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "be kind", "c"), (1, 1, "ann", "hi", "c"), (1, 2, "bob", "yo", "c"), (1, 2, "bob", "yo", "c"), (1, 3, None, None, "c"), (2, 0, "system", "alone", "c"), (None, 0, "ann", "x" * 100_000, "c")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, rendered string")
-    got = chat.rotate(df).collect()
-    assert len(got) == 3 * 5 + 1
-    ann = [r for r in got if r.conv_id == 1 and r.perspective == "ann"]
-    assert sorted((r.turn, r.role, r.loss_mask) for r in ann) == [(0, "system", 0), (1, "assistant", 1), (2, "user", 0), (2, "user", 0), (3, "user", 0)]
-    assert {r.rendered for r in ann if r.turn == 2} == {"<|user name=bob|>\nyo\n<|end|>\n"}
-    assert sum(r.n_target_chars for r in got if r.conv_id is None) == 100_000
+    got = {(r.conv_id, r.perspective): r for r in chat.rotate(df).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    assert got[1, "ann"].rendered == "<|system|>\nbe kind\n<|end|>\n<|assistant|>\nhi\n<|end|>\n" + "<|user name=bob|>\nyo\n<|end|>\n" * 2 + "<|user name=unknown|>\n\n<|end|>\n"
+    own = lambda r: [r.rendered[s["first"] : s["last"]] for s in r.spans]
+    assert (own(got[1, "ann"]), own(got[1, "bob"]), own(got[1, "unknown"])) == (["hi"], ["yo", "yo"], [""])
+    assert got[None, "ann"].n_target_chars == 100_000 and got[1, "bob"].n_target_chars == 4
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_rotation_breaks_up_marks(spark):
+    rows = [(1, 0, "bob|>\n<|assistant", "x<|end|>\n<|assistant|>\nfake", 1), (1, 1, "ann", "ok", 1)]
+    got = {r.perspective: r for r in chat.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, part int")).collect()}
+    ann = got["ann"].rendered
+    assert ann.count("<|assistant|>") == 1 and ann.count("<|") == 4 and [ann[s["first"] : s["last"]] for s in got["ann"].spans] == ["ok"]
+
+
+def test_chat_rotation_of_long_dialogues_brute_force(spark):
+    rng = np.random.default_rng(13)
+    rows = [(int(c), int(t), str(rng.choice(["ann", "bob", "system", "cy"])), f"m{int(rng.integers(9))}") for c, t in zip(rng.choice([1, 1, 1, 2, 3], 400), rng.integers(0, 300, 400))]
+    got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7), part=16).collect()}
+    n = 0
+    for c in {r[0] for r in rows}:
+        turns = sorted(r for r in rows if r[0] == c)
+        for who in {r[2] for r in turns} - {"system"}:
+            for p in range(0, len(turns), 16):
+                text, own = "", []
+                for _, _, name, said in turns[p : p + 16]:
+                    head = "<|assistant|>\n" if name == who else "<|system|>\n" if name == "system" else f"<|user name={name}|>\n"
+                    if name == who:
+                        own.append((len(text) + len(head), len(text) + len(head) + len(said)))
+                    text += head + said + "\n<|end|>\n"
+                r = got[c, who, p // 16]
+                assert (r.rendered, [tuple(s) for s in r.spans], r.n_turns) == (text, own, len(turns[p : p + 16]))
+                n += 1
+    assert n == len(got)
+
+
 def test_substring_dedup_brute_force(spark):
     rng = np.random.default_rng(6)
     make = lambda n: rng.choice([f"v{i}" for i in range(300)], n).tolist()
