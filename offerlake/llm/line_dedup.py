@@ -68,14 +68,13 @@ def _xor(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda x, h: x.bitwiseXOR(h))
 
 
-def _that_meet(lines: DataFrame, keys: Column, name: str) -> DataFrame:
-    """Stored (k1, k2) of the lines that share a key with another."""
+def _that_meet(lines: DataFrame, keys: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """Stored (k1, k2) of the lines that share a key with another, and those keys (key)."""
     each = lines.select(*_KEY, F.explode(F.array_distinct(keys)).alias("key"))
     # Both are stored, so that Spark knows their size when it picks a join, and a few keys don't make all lines move.
     met = stored(each.groupBy("key").count().filter("count > 1").select("key"), name)
     out = stored(each.join(met, "key", "left_semi").select(*_KEY).distinct(), name + "-lines")
-    dropped(met)
-    return out
+    return out, met
 
 
 def _mismatch(a: Column, b: Column) -> Column:
@@ -90,7 +89,7 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def repeated(known: DataFrame) -> DataFrame:
     """(k1, k2) of the lines that an earlier, different line is like."""
-    by_halves = _that_meet(known.filter(F.col("n") >= LONG), F.col("ends"), "halves-met")
+    by_halves, halves = _that_meet(known.filter(F.col("n") >= LONG), F.col("ends"), "halves-met")
     # known lies in buckets by the keys, so these joins move no lines.
     lines = known.filter("n is not null").select(*_KEY, "first", "n", "plain")
     words = F.split("plain", " ").alias("words")  # only of lines that are left
@@ -98,22 +97,26 @@ def repeated(known: DataFrame) -> DataFrame:
     # The hash of a bag of words is that of its variants after one step each.
     hashed = sieved.select(*_KEY, F.transform(words, lambda w: F.xxhash64(w)).alias("h")).withColumn("whole", _xor(F.col("h")))
     bags = F.concat(F.array("whole"), F.transform("h", lambda h: F.col("whole").bitwiseXOR(h)))
-    by_bags = _that_meet(hashed, bags, "bags-met")
+    by_bags, met = _that_meet(hashed, bags, "bags-met")
     some = stored(lines.join(by_bags.hint("shuffle_hash"), _KEY, "left_semi").select(*_KEY, "first", "n", words), "lines-met")
     dropped(by_halves)
+    dropped(halves)
     dropped(by_bags)
     # The hash of a line is that of all its (word, place). Without word i, words before it keep their
     # place and words after it move up: moved ^ (in ^ moved of the words before i) ^ moved of word i.
     seeds = (0, 1)
     at_place = lambda seed, word, place: F.xxhash64(F.lit(seed), word, place)
     of_all = lambda seed, by: _xor(F.transform("words", lambda w, i: at_place(seed, w, i - by)))
-    whole, moved = {f"v{s}": of_all(s, 0) for s in seeds}, {f"m{s}": of_all(s, 1) for s in seeds}
+    whole, moved = {f"v{s}": of_all(s, 0) for s in seeds}, {f"m{s}": of_all(s, 1) for s in seeds} | {"bag": _xor(F.transform("words", lambda w: F.xxhash64(w)))}
     each = some.withColumns(moved).select(*_KEY, "first", "n", *moved, F.posexplode("words").alias("at", "word"))
     before = Window.partitionBy(*_KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     here = each.withColumns({f"h{s}": at_place(s, F.col("word"), F.col("at")) for s in seeds} | {f"g{s}": at_place(s, F.col("word"), F.col("at") - 1) for s in seeds})
     of_rest = lambda s: F.coalesce(F.bit_xor(F.col(f"h{s}").bitwiseXOR(F.col(f"g{s}"))).over(before), F.lit(0).cast("long"))
     less = [F.col(f"m{s}").bitwiseXOR(of_rest(s)).bitwiseXOR(F.col(f"g{s}")).alias(f"v{s}") for s in seeds]
-    variants = stored(here.select(*_KEY, "first", "n", "at", *less), "variants")
+    # A variant whose bag of words no other line shares is like nothing.
+    here = here.withColumn("key", F.col("bag").bitwiseXOR(F.xxhash64("word"))).select(*_KEY, "first", "n", "at", "key", *less)
+    variants = stored(here.join(met, "key", "left_semi").drop("key"), "variants")
+    dropped(met)
     same = ["v0", "v1", "n"]
     line, other = F.struct("first", *_KEY), F.struct("first", F.col("k1").alias("o1"), F.col("k2").alias("o2"))
     one = variants.groupBy(*same, "at").agg(F.min(other).alias("before"), F.count("*").alias("c")).filter("c > 1").drop("c")
