@@ -47,6 +47,32 @@ def reset(targets: DataFrame, store_id: int, as_of: Column) -> DataFrame:
     return targets.withColumns({"next_scrape_at": F.when(own, as_of).otherwise(F.col("next_scrape_at")), "last_scraped_at": F.when(~own, F.col("last_scraped_at"))})
 
 
+#: Searches that every shop starts with.
+SEED_KEYWORDS = (
+    "ryzen 9000", "ryzen 7000", "intel core ultra", "intel core i9", "intel core i7", "intel core i5",
+    "rtx 5090", "rtx 5080", "rtx 5070 ti", "rtx 5070", "rtx 5060 ti", "rtx 5060", "rx 9070 xt", "rx 9070",
+    "b850 motherboard", "x870 motherboard", "b650 motherboard", "z890 motherboard",
+    "ddr5 ram", "ddr4 ram", "32gb ddr5", "64gb ddr5", "6000mhz ram", "nvme ssd", "1tb ssd", "2tb ssd", "gen5 ssd",
+    "650w psu", "750w psu", "850w psu", "1000w psu", "air cooler", "aio cooler", "240mm aio", "360mm aio", "atx cabinet", "matx cabinet",
+    "1440p monitor", "4k monitor", "oled monitor",
+)
+
+
+def seed_targets(stores: DataFrame, present: DataFrame, as_of: Column, keywords: tuple[str, ...] = SEED_KEYWORDS) -> DataFrame:
+    """New search targets of active shops: daily, of priority 1, enabled and due now. Those that are there as searches stay out."""
+    words = stores.sparkSession.createDataFrame([(w,) for w in keywords], "target_value string")
+    searches = present.filter(F.col("target_type") == SEARCH)
+    return seed_keywords(stores, words, searches).select(
+        "store_id", F.lit(SEARCH).alias("target_type"), "target_value", F.lit(DAILY).alias("schedule_type"), F.lit("{}").alias("schedule_config"),
+        F.lit(1).alias("priority"), F.lit(True).alias("enabled"), as_of.alias("next_scrape_at"),
+    )
+
+
+def with_category(targets: DataFrame) -> DataFrame:
+    """Targets whose schedule_config (JSON) names a category."""
+    return targets.filter(F.get_json_object("schedule_config", "$.category").isNotNull())
+
+
 def seed_keywords(stores: DataFrame, keywords: DataFrame, present: DataFrame) -> DataFrame:
     """(store_id, target_value) of active shops and keywords that are not there yet; every shop gets the whole list of at most KEYWORDS."""
     words = [r.target_value for r in keywords.select("target_value").distinct().limit(KEYWORDS + 1).collect()]

@@ -39,7 +39,7 @@ def title_of(pid: Column) -> Column:
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda head: F.concat(F.lit(head), "s_name")
     return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), text("Shop ").alias("display_name"), text("https://s.example/").alias("base_url"),
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), text("Shop ").alias("display_name"), F.lit("s.example").alias("domain"), text("https://s.example/").alias("base_url"),
         F.concat(text("https://s.example/"), F.lit("/search?q={query}")).alias("search_endpoint"), F.lit("INR").alias("currency"), F.lit("₹").alias("currency_symbol"), (F.col("s_acctbal") >= 0).alias("active"),
     )
 
@@ -92,7 +92,7 @@ def _list_sql(values: list) -> str:
 
 #: The same relations as common table expressions.
 SQL = f"""
-stores AS (SELECT s_suppkey AS id, s_name AS name, 'Shop ' || s_name AS display_name, 'https://s.example/' || s_name AS base_url, 'https://s.example/' || s_name || '/search?q={{query}}' AS search_endpoint,
+stores AS (SELECT s_suppkey AS id, s_name AS name, 'Shop ' || s_name AS display_name, 's.example' AS domain, 'https://s.example/' || s_name AS base_url, 'https://s.example/' || s_name || '/search?q={{query}}' AS search_endpoint,
   'INR' AS currency, '₹' AS currency_symbol, s_acctbal >= 0 AS active FROM supplier),
 obs0 AS (
   SELECT *, (CASE WHEN l_orderkey % 97 = 0 THEN NULL WHEN l_orderkey % 101 = 0 THEN 0 ELSE l_extendedprice END)::DECIMAL(12,2) AS price FROM lineitem),

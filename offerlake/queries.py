@@ -529,6 +529,18 @@ _PLANNED = """SELECT id, coalesce(target_type = {0} OR contains(target_value, 'c
 CASE WHEN target_type = {0} THEN coalesce(TRY_CAST(schedule_config->>'max_pages' AS INT), 2) ELSE 2 END AS max_pages, schedule_config->>'category' AS hard_category FROM scrape_targets"""
 
 
+@query("SELECT id, schedule_config->>'category' AS category FROM scrape_targets WHERE schedule_config->>'category' IS NOT NULL")
+def targets_with_category(spark: SparkSession, d: str) -> DataFrame:
+    return schedule.with_category(v.scrape_targets(spark, d)).select("id", F.get_json_object("schedule_config", "$.category").alias("category"))
+
+
+@query("SELECT id AS store_id, count(*) AS n, min(k) AS first, max(k) AS last FROM stores, (VALUES " + ", ".join(f"('{w}')" for w in schedule.SEED_KEYWORDS) + ") w(k) WHERE active GROUP BY id")
+def seed_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds of every active shop, counted; none of them is there yet."""
+    new = schedule.seed_targets(v.stores(spark, d), v.scrape_targets(spark, d), F.expr(AS_OF))
+    return new.groupBy("store_id").agg(F.count("*").alias("n"), F.min("target_value").alias("first"), F.max("target_value").alias("last"))
+
+
 @query(_PLANNED.format(1))
 def plan_targets(spark: SparkSession, d: str) -> DataFrame:
     return schedule.plan(v.scrape_targets(spark, d)).select("id", "is_category", "max_pages", "hard_category")

@@ -12,7 +12,7 @@ from offerlake import queries
 from offerlake.functions import rules, scalars
 from offerlake.operators import builder, catalog, ingest, maintain, normalize, schedule
 from offerlake.plans import views
-from offerlake.sources import extract
+from offerlake.sources import extract, state
 from offerlake.streaming import cycle, observe
 
 SF = "/root/testdata/sf0.001"
@@ -236,3 +236,26 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = observe.snapshots(observe.observations(spark, str(tmp_path / "in"), schema))
     observe.run(stream, lambda df, n: df.write.mode("append").parquet(out), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r.pid for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_versions_are_one_unit_of_work(spark, tmp_path):
+    root = str(tmp_path / "state")
+    one_, two = (spark.range(n).withColumnRenamed("id", "k") for n in (3, 5))
+    assert state.versions(spark, root) == []
+    assert state.save(spark, root, {"a": one_, "b": two}) == 1
+    bad = spark.range(1).select(F.raise_error(F.lit("no")).cast("string").alias("k"))
+    with pytest.raises(Exception):
+        state.save(spark, root, {"a": two, "b": bad})
+    assert state.versions(spark, root) == [1] and state.load(spark, root, "a").count() == 3  # nothing of the failed attempt shows
+    assert state.save(spark, root, {"a": two, "b": one_}) == 2
+    assert (state.load(spark, root, "a").count(), state.load(spark, root, "a", 1).count()) == (5, 3)
+    with pytest.raises(ValueError):
+        state.load(spark, root, "a", 7)
+
+
+def test_seeds_are_whole_targets(spark):
+    stores = spark.createDataFrame([(1, True), (2, False)], "id long, active boolean")
+    there = spark.createDataFrame([(1, 0, "rtx 5090"), (1, 1, "4k monitor")], "store_id long, target_type int, target_value string")
+    got = schedule.seed_targets(stores, there, F.lit(dt.datetime(2024, 1, 1))).collect()
+    assert len(got) == 39 and {r.store_id for r in got} == {1} and {(r.target_type, r.schedule_type, r.priority, r.enabled) for r in got} == {(0, 1, 1, True)}
+    assert "rtx 5090" not in {r.target_value for r in got}
