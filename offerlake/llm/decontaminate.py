@@ -120,6 +120,7 @@ def _fingerprints(df: DataFrame, key: str, short: list[int], wanted: np.ndarray
                 n, prints = of(some)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (key, "text_hash")), pa.array(n, pa.int64()), pa.array(prints, kind)], names=schema.names)
                 a, size = b, 0
+        _hashes.clear()  # the worker lives on and has other work
 
     return df.select(key, text_hash().alias("text_hash"), "text").mapInArrow(run, schema)
 

@@ -38,7 +38,7 @@ LINKS = 1_000
 #: Members of a key up to which all its pairs are compared at once; larger ones are searched from member to member.
 PAIRS = 12
 #: Words whose hashes one Python worker remembers; bytes of a word beyond which its weight stays.
-CACHE_WORDS, LONG_WORD = 500_000, 8
+CACHE_WORDS, LONG_WORD = 100_000, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FROM = [sum(WIDTHS[:i]) for i in range(5)]
 _MASKS = np.array([((1 << w) - 1) << s for w, s in zip(WIDTHS, _FROM)], np.uint64)
@@ -134,6 +134,7 @@ def marks(docs: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
         for batch in batches:
             of = [mark(t, shingle) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([m[k] for m in of], pa.binary()) for k in (0, 1))], names=["doc_id", "words", "bits"])
+        _digests.clear()  # the worker lives on and has other work
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("words", T.BinaryType()), T.StructField("bits", T.BinaryType())])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
