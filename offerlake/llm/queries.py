@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, classifier, decontaminate, license_scan, line_dedup, packing, quality_rules, simhash, substring_dedup, url_filter
+from . import chat, classifier, decontaminate, divergence, license_scan, line_dedup, packing, quality_rules, simhash, substring_dedup, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +69,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_url_filter, op5_decontamination,
         op6_simhash, op7_chat_rotation, op8_substring_dedup, op9_line_dedup, op10_packing,
+        op12_embedding_whitening, op13_source_divergence,
     )
 }
 
@@ -172,4 +181,26 @@ m AS (
 o AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone) AS kept FROM m GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN o ON d.r = o.r""",
+    "op13_source_divergence": rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '{divergence.TERM}') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+occ AS (SELECT lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {divergence.LEAST_DOCS}),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM occ o SEMI JOIN v ON o.lang = v.lang AND o.term = v.term GROUP BY ALL),
+z AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n FROM g JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+t AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, term) AS ln, count(*) OVER (PARTITION BY lang, source) AS vs,
+    sum(n) OVER (PARTITION BY lang, source) AS gn, sum(n) OVER (PARTITION BY lang) AS tn FROM z),
+s AS (
+  SELECT lang, source, term, n, 1 + ({divergence.SCALE}::HUGEINT * (n + {divergence.SMOOTH})::HUGEINT) // (gn + {divergence.SMOOTH} * vs)::HUGEINT AS p,
+    1 + ({divergence.SCALE}::HUGEINT * (ln + {divergence.SMOOTH})::HUGEINT) // (tn + {divergence.SMOOTH} * vs)::HUGEINT AS q FROM t),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT i.lang, i.source, j.source AS item, sum(abs(i.p - j.p)) AS value FROM s i JOIN s j ON i.lang = j.lang AND i.term = j.term GROUP BY ALL) x
+  ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms) WHERE rank <= {divergence.TOP_TERMS}""",
 }
