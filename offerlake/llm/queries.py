@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, classifier, decontaminate, divergence, license_scan, line_dedup, packing, quality_rules, simhash, substring_dedup, url_filter, whitening
+from . import chat, classifier, decontaminate, divergence, license_scan, line_dedup, nearest, packing, quality_rules, simhash, substring_dedup, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(_table(spark, sf_dir, "embeddings"))
 
@@ -82,7 +86,7 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_url_filter, op5_decontamination,
         op6_simhash, op7_chat_rotation, op8_substring_dedup, op9_line_dedup, op10_packing,
-        op12_embedding_whitening, op13_source_divergence,
+        op11_nearest_neighbours, op12_embedding_whitening, op13_source_divergence,
     )
 }
 
