@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from offerlake import rule_sql, source_queries  # noqa: F401  the latter registers its queries
 from offerlake.functions import rules, scalars
-from offerlake.operators import builder, catalog, ingest, maintain, normalize, schedule
+from offerlake.operators import builder, catalog, ids, ingest, maintain, normalize, rekey, schedule
 from offerlake.plans import views as v
 from offerlake.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from offerlake.sources import extract
+from offerlake.sources.scratch import stored
 from offerlake.streaming import cycle
 
 AS_OF = "timestamp_ntz '1996-06-01 00:00:00'"
@@ -270,7 +271,8 @@ def save_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT sid, pid, row_number() OVER (ORDER BY sid, pid) + 1000 AS id FROM products")
 def surrogate_ids(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.with_ids(v.products(spark, d).select("sid", "pid"), 1000).select("sid", "pid", F.col("id").cast("long").alias("id"))
+    none = spark.createDataFrame([], "sid long, pid long, id long")
+    return ids.get_or_create(none, v.observations(spark, d), ingest.KEY, 1000)[0].select("sid", "pid", "id")
 
 
 _SPEC_COLUMNS = ("socket", "memory_type", "tdp", "recommended_psu", "wattage")
@@ -473,6 +475,56 @@ def reclean_merge(spark: SparkSession, d: str) -> DataFrame:
     return left["products"].select("id", "pid").join(n("history"), "id").join(n("links"), "id")
 
 
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    """Products under keys of an earlier rule: some right, some exchanged with a neighbour, some in chains and rings, some whose url is another's."""
+    of_shop = Window.partitionBy("sid").orderBy("pid")
+    item = lambda c: F.concat(F.lit("item-"), c.cast("string"))
+    pid, at, old = F.col("pid"), F.col("rn") % 10, F.concat(F.lit("old-"), F.col("pid").cast("string"))
+    p = v.products(spark, d).select("id", "sid", "pid", F.row_number().over(of_shop).alias("rn"), F.lag("pid").over(of_shop).alias("back"), F.lead("pid").over(of_shop).alias("next"), F.lead("pid", 2).over(of_shop).alias("after"))
+    had = F.when(at == 0, item(pid)).when(at == 1, item(F.col("next"))).when(at == 7, item(F.col("after"))).when(at.isin(2, 4, 5, 8, 9), item(F.col("back")))
+    url = F.concat(F.lit("https://s.example/product/ram/"), item(F.when(at == 6, F.col("back")).otherwise(pid)), F.lit("/?v=1"))
+    return p.select("id", "sid", F.coalesce(had, old).alias("pid"), url.alias("product_url"))
+
+
+_REKEYED = """, r AS (SELECT id, sid, pid, row_number() OVER w AS rn, lag(pid) OVER w AS back, lead(pid) OVER w AS nxt, lead(pid, 2) OVER w AS after FROM products WINDOW w AS (PARTITION BY sid ORDER BY pid)),
+keyed AS (SELECT id, sid, coalesce('item-' || CASE rn % 10 WHEN 0 THEN pid WHEN 1 THEN nxt WHEN 7 THEN after WHEN 3 THEN NULL WHEN 6 THEN NULL ELSE back END, 'old-' || pid) AS old,
+  'item-' || CASE WHEN rn % 10 = 6 THEN back ELSE pid END AS new FROM r),
+fst AS (SELECT sid, new, min(id) AS id FROM keyed GROUP BY ALL),
+points AS (SELECT k.id, coalesce(o.id, f.id) AS dest FROM keyed k JOIN fst f ON k.sid = f.sid AND k.new = f.new LEFT JOIN keyed o ON o.sid = k.sid AND o.old = k.new),
+walk AS (SELECT id, [id] AS seen, dest FROM points UNION ALL SELECT w.id, list_append(seen, w.dest), p.dest FROM walk w JOIN points p ON w.dest = p.id WHERE NOT list_contains(seen, w.dest)),
+ends AS (SELECT id, list_max(seen[list_position(seen, dest):]) AS master FROM walk WHERE list_contains(seen, dest))"""
+
+
+@query(f"{_REKEYED} SELECT k.id, new AS pid, master FROM keyed k JOIN ends e ON k.id = e.id", recursive=True)
+def rederive_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys taken from urls anew: what each product's key becomes and the product that it is merged into."""
+    p = _keyed(spark, d)
+    return rekey.rederive(p, rekey.url_key(F.col("product_url"), F.col("pid")))
+
+
+@query(f"""{_REKEYED}, h AS (SELECT master AS id, count(*) AS n_history FROM observations JOIN ends ON product_id = ends.id GROUP BY master),
+l AS (SELECT master AS id, count(DISTINCT target_id) AS n_links FROM product_targets t JOIN ends ON t.product_id = ends.id GROUP BY master)
+SELECT k.id, new AS pid, n_history, n_links FROM keyed k JOIN ends e ON k.id = e.id AND e.master = k.id JOIN h ON h.id = k.id JOIN l ON l.id = k.id""", recursive=True)
+def rederive_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Products that stay after keys are taken from urls, with the history and links of all that were merged into them."""
+    p = _keyed(spark, d)
+    moves = stored(rekey.rederive(p, rekey.url_key(F.col("product_url"), F.col("pid"))), "moves")
+    left = rekey.merged(p, {"history": v.observations(spark, d).select("product_id", "scraped_at"), "links": v.product_targets(spark, d)}, moves)
+    n = lambda k: left[k].groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias(f"n_{k}"))
+    return left["products"].select("id", "pid").join(n("history"), "id").join(n("links"), "id")
+
+
+@query(f""", s AS (SELECT sid, pid, row_number() OVER (ORDER BY sid, pid) + 1000 AS id FROM (SELECT DISTINCT sid, pid FROM observations WHERE scraped_at < {_SPLIT})),
+b AS (SELECT DISTINCT sid, pid FROM observations WHERE scraped_at >= {_SPLIT}), n AS (SELECT sid, pid, row_number() OVER (ORDER BY sid, pid) + (SELECT count(*) + 1000 FROM s) AS id FROM b ANTI JOIN s USING (sid, pid))
+SELECT b.sid, b.pid, coalesce(s.id, n.id) AS id, s.id IS NULL AS created FROM b LEFT JOIN s ON b.sid = s.sid AND b.pid = s.pid LEFT JOIN n ON b.sid = n.sid AND b.pid = n.pid""")
+def get_or_create_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Offers seen before a time have ids above 1000; those seen since keep them or get the next."""
+    o, before = v.observations(spark, d).select("sid", "pid", "scraped_at"), F.col("scraped_at") < F.expr(_SPLIT.replace("timestamp", "timestamp_ntz"))
+    none = spark.createDataFrame([], "sid long, pid long, id long")
+    first, mark = ids.get_or_create(none, o.filter(before), ingest.KEY, 1000)
+    return ids.get_or_create(first, o.filter(~before), ingest.KEY, mark)[0]
+
+
 @query("SELECT id, pid FROM products WHERE description IS NULL OR specifications IS NULL ORDER BY id LIMIT 10")
 def unenriched(spark: SparkSession, d: str) -> DataFrame:
     return cycle.unenriched(v.products(spark, d)).select("id", "pid")
