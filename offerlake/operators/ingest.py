@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from offerlake.sources.scratch import stored
+
 KEY = ["sid", "pid"]
 #: Rows of a group that one task numbers, about.
 GROUP_ROWS = 1_000_000
@@ -34,11 +36,12 @@ def until_stop(batch: DataFrame, max_pages: int | None = None) -> DataFrame:
 def _merged(state: DataFrame, batch: DataFrame) -> DataFrame:
     """state and batch by key; what the batch knows replaces what the state knows."""
     b = batch.select(*KEY, *[F.col(c).alias(f"new_{c}") for c in ("price", "mrp", "in_stock")], F.lit(True).alias("seen"))
-    return state.select(*KEY, "price", "mrp", "in_stock", F.lit(True).alias("known")).join(b, KEY, "full")
+    more = [c for c in ("category",) if c in state.columns]
+    return state.select(*KEY, "price", "mrp", "in_stock", *more, F.lit(True).alias("known")).join(b, KEY, "full")
 
 
-def _taken(rows: DataFrame) -> DataFrame:
-    return rows.select(*KEY, *[F.coalesce(f"new_{c}", c).alias(c) for c in ("price", "mrp", "in_stock")], F.coalesce("seen", F.lit(False)).alias("touched"))
+def _taken(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(*KEY, *[F.coalesce(f"new_{c}", c).alias(c) for c in ("price", "mrp", "in_stock")], F.coalesce("seen", F.lit(False)).alias("touched"), *more)
 
 
 def save_offers(state: DataFrame, batch: DataFrame) -> DataFrame:
@@ -53,7 +56,11 @@ def save_details(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 def history_rows(saved: DataFrame, batch: DataFrame) -> DataFrame:
     """Snapshots that a batch appends: of saved keys, with unknown stock as in stock."""
-    return batch.join(saved.select(*KEY), KEY, "left_semi").filter("price is not null").select(*KEY, "price", "mrp", F.coalesce("in_stock", F.lit(True)).alias("in_stock"), "scraped_at")
+    return _snapshots(batch.join(saved.select(*KEY), KEY, "left_semi"))
+
+
+def _snapshots(saved: DataFrame) -> DataFrame:
+    return saved.filter("price is not null").select(*KEY, "price", "mrp", F.coalesce("in_stock", F.lit(True)).alias("in_stock"), "scraped_at")
 
 
 def save_batch(state: DataFrame, batch: DataFrame, order: list[str], hard_category: str | None = None) -> dict[str, DataFrame]:
@@ -64,13 +71,15 @@ def save_batch(state: DataFrame, batch: DataFrame, order: list[str], hard_catego
     links has the targets of saved rows. The caller writes the three in one job each or none.
     """
     rest = [c for c in batch.columns if c not in KEY]
-    last = batch.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*KEY, "x.*")
-    saved = save_offers(state, last)
-    old = state.select(*KEY, "category") if "category" in state.columns else state.select(*KEY, F.lit(None).cast("string").alias("category"))
-    category = F.when(F.col("touched"), F.coalesce(F.lit(hard_category), "category")).otherwise(F.col("category"))
-    products = saved.join(old, KEY, "left").withColumn("category", category)
-    linked = last.filter("target_id is not null").join(saved.select(*KEY), KEY, "left_semi").select(*KEY, "target_id").distinct()
-    return {"products": products, "history": history_rows(saved, last), "links": linked}
+    last = stored(batch.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*KEY, "x.*"), "last-offers")
+    old = F.col("category") if "category" in state.columns else F.lit(None).cast("string")
+    rows = _merged(state.select(*KEY, "price", "mrp", "in_stock", old.alias("category")), last).filter("known or new_in_stock")
+    products = _taken(rows, "category").withColumn("category", F.when(F.col("touched"), F.coalesce(F.lit(hard_category), "category")).otherwise(F.col("category")))
+    # Which offers were saved is asked of the keys alone, and once for both: known ones, and new ones in stock.
+    known = state.select(*KEY, F.lit(True).alias("known"))
+    saved = stored(last.join(known, KEY, "left").filter("known or in_stock").drop("known"), "saved-offers")
+    linked = saved.filter("target_id is not null").select(*KEY, "target_id").distinct()
+    return {"products": products, "history": _snapshots(saved), "links": linked}
 
 
 def link(links: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from offerlake.operators import ingest, normalize, schedule
+from offerlake.sources.scratch import stored
 
 #: Targets and products that one cycle takes, and minutes between cycles.
 TARGETS, PRODUCTS, MINUTES = 10, 10, 15
@@ -32,9 +33,10 @@ def run_due(targets: DataFrame, stores: DataFrame, products: DataFrame, results:
     something. A row takes the category that its target asks for; of several the last target's.
     """
     planned = schedule.plan(schedule.due(targets, stores, as_of, TARGETS), as_coded=as_coded)
-    done = planned.join(failed.select(F.col("target_id").alias("id")), "id", "left_anti")
-    asked = F.broadcast(done.select(F.col("id").alias("target_id"), "max_pages", "hard_category"))  # at most TARGETS rows
-    taken = results.join(asked, "target_id").filter(F.col("page") <= F.col("max_pages")).drop("max_pages")
+    # Both are stored, for each of the four relations reads them: the plan of at most TARGETS rows, and what its targets have found.
+    done = stored(planned.join(failed.select(F.col("target_id").alias("id")), "id", "left_anti"), "due-plan")
+    asked = F.broadcast(done.select(F.col("id").alias("target_id"), "max_pages", "hard_category"))
+    taken = stored(results.join(asked, "target_id").filter(F.col("page") <= F.col("max_pages")).drop("max_pages"), "taken")
     saved = ingest.save_batch(products, ingest.until_stop(taken), order)
     hard = taken.filter("hard_category is not null").groupBy(*ingest.KEY).agg(F.max_by("hard_category", "target_id").alias("hard_category"))
     after = saved["products"].join(hard, ingest.KEY, "left").withColumn("category", F.coalesce(F.when(F.col("touched"), F.col("hard_category")), "category")).drop("hard_category")
