@@ -8,7 +8,7 @@ Search. Vectors are turned by one random rotation and read in blocks of columns.
 a hypothesis test holds the partial distance, scaled up to all dimensions, against the distance that the
 query's last place still allows: a candidate that is significantly farther is abandoned, the others
 read on. What survives all blocks is scored on the original vectors in double precision. The nearest list
-of a query is searched first, and its last place is the bound for all other lists.
+of a query is searched first, then rounds of four times as many; the last place so far is the bound of the next round.
 
 How many lists a query probes is measured, not guessed: a bounded sample of queries is answered by
 brute force over all vectors, and the least number of lists that hold RECALL of their neighbours is
@@ -43,6 +43,8 @@ SAMPLE_ROWS, FIT_ROUNDS = 65_536, 8
 TRIAL_QUERIES, RECALL = 256, 0.96
 #: Columns of one block, and how many standard errors beyond its bound a candidate must lie to be abandoned.
 COLUMNS, ERRORS = 16, 2.1
+#: Lists are probed in rounds, each to so many times the lists of the round before; the bound is drawn tighter in between.
+GROWTH = 4
 #: Rows of a block of a list and queries of one group; pairs of one step are QUERY_STEP by ROW_STEP.
 BLOCK_ROWS, QUERY_ROWS = 4096, 2048
 QUERY_STEP, ROW_STEP = 128, 512
@@ -261,15 +263,22 @@ def search(
     dropped(asking)
     cuts = lambda df, size: _per_list(df, k, size)
     blocks = cuts(index.select("list"), block_rows)
-    first = asked.select(*_KEY, "v", F.col("lists")[0].alias("list"), F.lit(float("-inf")).alias("bound"))
-    near = stored(_best(_searched(index, first, blocks, cuts(first.select("list"), query_rows), places), places), "first-found")
-    if probes > 1:
-        full = near.groupBy("q1", "q2").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-        full = full.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), F.when(F.col("n") > places, F.col("least")).alias("known"))
-        rest = asked.join(full, _KEY, "left").select(*_KEY, "v", F.explode(F.slice("lists", 2, probes)).alias("list"), F.coalesce("known", F.lit(float("-inf"))).alias("bound"))
-        chunks = cuts(asked.select(F.explode(F.slice("lists", 2, probes)).alias("list")), query_rows)
-        before, near = near, stored(_best(near.unionByName(_searched(index, rest, blocks, chunks, places)), places), "found")
-        dropped(before)
+    near, start = None, 0
+    while start < probes:
+        end = min(max(1, GROWTH * start), probes)
+        probed = asked.select(*_KEY, "v", F.explode(F.slice("lists", start + 1, end - start)).alias("list"))
+        chunks = cuts(probed.select("list"), query_rows)
+        if near is None:
+            found = _searched(index, probed.withColumn("bound", F.lit(float("-inf"))), blocks, chunks, places)
+        else:
+            full = near.groupBy("q1", "q2").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+            full = full.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), F.when(F.col("n") > places, F.col("least")).alias("known"))
+            bounded = probed.join(full, _KEY, "left").select(*probed.columns, F.coalesce("known", F.lit(float("-inf"))).alias("bound"))
+            found = near.unionByName(_searched(index, bounded, blocks, chunks, places))
+        before, near = near, stored(_best(found, places), "found")
+        if before is not None:
+            dropped(before)
+        start = end
     dropped(index)
     dropped(asked)
     each = near.select("q1", "q2", "score", "same", F.explode("ids").alias("vec_id"))
