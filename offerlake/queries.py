@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -11,9 +12,9 @@ from offerlake.functions import rules, scalars
 from offerlake.operators import builder, catalog, ids, ingest, maintain, normalize, rekey, schedule
 from offerlake.plans import views as v
 from offerlake.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
-from offerlake.sources import extract
+from offerlake.sources import extract, scratch
 from offerlake.sources.scratch import stored
-from offerlake.streaming import cycle
+from offerlake.streaming import cycle, scheduler
 
 AS_OF = "timestamp_ntz '1996-06-01 00:00:00'"
 
@@ -407,6 +408,25 @@ def mark_scraped(spark: SparkSession, d: str) -> DataFrame:
     return schedule.mark_scraped(t, schedule.due(t, v.stores(spark, d), F.expr(AS_OF)), F.expr(AS_OF)).select("id", "next_scrape_at", "last_scraped_at")
 
 
+@query(f", g AS (SELECT id {_DUE}) SELECT t.id, CASE WHEN g.id IS NULL THEN next_scrape_at WHEN schedule_type = 2 THEN timestamp '1996-06-01 01:00:01' ELSE timestamp '1996-06-02 00:00:01' END AS next_scrape_at, CASE WHEN g.id IS NOT NULL THEN timestamp '1996-06-01 00:00:01' ELSE last_scraped_at END AS last_scraped_at FROM scrape_targets t LEFT JOIN g ON t.id = g.id")
+def scheduled_stream(spark: SparkSession, d: str) -> DataFrame:
+    """mark_scraped by the stateful stream: the clock reaches the time, the most urgent of the targets that are asked for end well a second later."""
+    t, home = v.scrape_targets(spark, d), f"{scratch.folder(spark)}/schedule-{uuid.uuid4().hex}"
+    tell = lambda rows, at, kind: rows.select("id", F.expr(at).cast("timestamp").alias("at"), F.lit(kind).alias("kind")).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    save = lambda rows, _: rows.write.mode("append").parquet(f"{home}/out")
+
+    def run() -> DataFrame:
+        said = scheduler.requests(scheduler.events(spark, f"{home}/in"), t)
+        said.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(scheduler.SCHEMA).parquet(f"{home}/out")
+
+    tell(spark.range(-1, 0), AS_OF, "clock")
+    asked = run().filter("what = 'due'").select("id").distinct()
+    done = schedule.due(t.join(asked, "id", "left_semi"), v.stores(spark, d), F.expr(AS_OF))
+    tell(done, AS_OF + " + interval 1 second", "ok")
+    return scheduler.marked(t, run()).select("id", "next_scrape_at", "last_scraped_at")
+
+
 @query("SELECT store_id, target_value FROM (SELECT s.id AS store_id, 'keyword ' || k AS target_value FROM stores s, range(60) r(k) WHERE active) n ANTI JOIN scrape_targets t ON n.store_id = t.store_id AND n.target_value = t.target_value")
 def seed_keywords(spark: SparkSession, d: str) -> DataFrame:
     words = spark.range(60).select(F.concat(F.lit("keyword "), F.col("id").cast("string")).alias("target_value"))

@@ -1,11 +1,12 @@
 """Product cards, product pages, dispatch and dump tables on small inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from offerlake.sources import cards, dump, product
+from offerlake.sources import cards, dump, markup, product
 
 PAGE = "page_id long, sid long, base_url string, content string"
 
@@ -34,7 +35,8 @@ def test_cards_by_selectors(spark):
 
 @pytest.mark.parametrize("css, found", [("li", 4), (".card", 3), ("li.card.big", 1), ("#list > li", 4), ("body > li", 0), ("ul span", 4), ("ul > span", 0), ("a, h3", 5), ("a[href*='product']", 1), ("[data-src]", 1), ("", 0)])
 def test_selectors(css, found):
-    assert len(cards.tree(CARDS).select(cards.compiled(css))) == found
+    which = markup.index((css,))
+    assert sum(bool(which.found(e)) for e in markup.elements(CARDS, [])) == found
 
 
 def test_joined_urls(spark):
@@ -81,3 +83,86 @@ def test_dump(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("1", "A\tB", '{"a": "x\\ny"}'), ("2", None, "")]
     with pytest.raises(ValueError):
         dump.dump_table(spark, str(path), "store")
+
+
+def random_page(rnd):
+    """A page of nested elements with classes, ids and texts, and what a plain tree of it holds."""
+    tags, classes = ["div", "p", "a", "b", "li"], ["card", "t", "price", "x"]
+    root = {"tag": "", "cls": "", "id": None, "parts": [], "up": None}
+
+    def grow(node, depth):
+        for _ in range(rnd.randrange(4)):
+            if depth > 4 or rnd.random() < 0.4:
+                if node["parts"] and isinstance(node["parts"][-1], str):
+                    continue  # texts side by side are one
+                node["parts"].append(rnd.choice(["one ", "₹1,200", " & ", "Out of Stock", "two\n"]))
+            else:
+                child = {"tag": rnd.choice(tags), "cls": rnd.choice(classes), "id": rnd.choice(["i", None]), "parts": [], "up": node}
+                node["parts"].append(child)
+                grow(child, depth + 1)
+
+    for _ in range(3):
+        grow(root, 0)
+    return root
+
+
+def written(part):
+    if isinstance(part, str):
+        return part.replace("&", "&amp;")
+    name = f' id="{part["id"]}"' if part["id"] else ""
+    inner = "".join(map(written, part["parts"]))
+    return f"<{part['tag']} class='{part['cls']} y'{name}>{inner}</{part['tag']}>" if part["tag"] else inner
+
+
+def below(node):
+    for part in node["parts"]:
+        yield part
+        if not isinstance(part, str):
+            yield from below(part)
+
+
+def chained(node, steps):
+    """Descendant steps (tag or class), the last of which the node is."""
+    if not node["tag"] or not (node["tag"] == steps[-1] or "." + node["cls"] == steps[-1]):
+        return False
+    up, rest = node["up"], steps[:-1]
+    while rest and up is not None:
+        if chained(up, rest):
+            return True
+        up = up["up"]
+    return not rest
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_cards_equal_a_plain_tree(seed):
+    rnd = random.Random(seed)
+    root = random_page(rnd)
+    s = {"card": "div.card, li", "title": ".t, a", "price": "div .price", "mrp": "b", "image": "img", "url_attr": None, "image_attr": None}
+    text = lambda n: " ".join(" ".join(p for p in below(n) if isinstance(p, str)).split())
+    nodes = [n for n in below(root) if not isinstance(n, str)]
+    want = []
+    for card in (n for n in nodes if n["tag"] == "li" or (n["tag"] == "div" and n["cls"] == "card")):
+        inside = [n for n in below(card) if not isinstance(n, str)]
+        titles = [n for n in inside if n["cls"] == "t" or n["tag"] == "a"]
+        prices, mrps = [n for n in inside if chained(n, ["div", ".price"])], [n for n in inside if n["tag"] == "b"]
+        if titles and prices:
+            name = "".join(p.strip() for p in below(titles[0]) if isinstance(p, str))
+            want.append((name, text(prices[-1]), text(mrps[0]) if mrps else None, text(card)))
+    assert [(c[0], c[3], c[4], c[5]) for c in markup.cards(written(root), s)] == want
+
+
+def test_loose_markup():
+    s = {"card": ".c", "title": "h3", "price": "b", "mrp": "", "image": "img", "url_attr": None, "image_attr": "src"}
+    html = "<!doctype html><!-- <div class=c> --><script>'<div class=\"c\">'</script><div class=c><h3>A <a HREF='x?a=1&amp;b=2'>B</a></h3></p><br/><img src=i.png><b>5 < 6<style>b{}</style>"
+    assert list(markup.cards(html, s)) == [("AB", "x?a=1&b=2", "i.png", "5 < 6", None, "A B 5 < 6")]
+    hard = "<a " * 20_000 + '<a "' * 20_000 + "<" * 20_000
+    assert list(markup.cards(hard, s)) == [] and list(markup.cards(None, s)) == []
+
+
+def test_dead_letters(spark):
+    shop = json.dumps({"products": []})
+    stores = spark.createDataFrame([(1, "x", "shopify"), (2, "y", None), (3, "n", None)], "id long, name string, platform string")
+    rows = pages(spark, shop, "gone", None, sid=1).unionByName(pages(spark, CARDS, sid=2)).unionByName(pages(spark, "<p>", sid=3))
+    found = product.parsed(rows, stores, selectors(spark, 9), {"n": "next"})
+    assert sorted((r.sid, r.page_id, r.reason) for r in product.dead_letters(found).collect()) == [(1, 1, "no list of products"), (1, 2, "no content"), (2, 0, "no selectors"), (3, 0, "no product data")]
+    assert product.offers(found).count() == 0
