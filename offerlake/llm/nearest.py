@@ -178,7 +178,7 @@ def _searched(index: DataFrame, asked: DataFrame, blocks: Column, chunks: Column
     ids = dict(index.dtypes)["ids"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = lambda t, k, c: t.column(k).combine_chunks().take(pa.array(c))
+        at = lambda t, k, c: t.column(k).combine_chunks().take(pa.array(c, pa.int64()))
         if len(left) and len(right):
             bound = right.column("bound").to_numpy()
             got = scan(_matrix(left.column("v")), _largest_last(left.column("ids")), _matrix(right.column("v")), bound, places)
