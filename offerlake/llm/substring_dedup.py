@@ -32,6 +32,8 @@ WINDOW, GRAM = 35, 8
 CHUNK, CACHE_WORDS = 2 << 20, 500_000
 #: Words of the passages of one automaton, and words of the segments that one task streams through it before they are split.
 SHARD_WORDS, STREAM_WORDS = 500_000, 250_000
+#: Words of one piece of a passage, and of all passages of one automaton: each has a sign of its own at most, and there are 1,112,062 signs.
+PIECE, SIGNS = 20_000, 1_000_000
 #: Copies of the small plan of shards, so that segments of one large shard are dealt to several tasks.
 SPREAD = 16
 
@@ -174,7 +176,7 @@ def _windows(segments: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _passages(chosen: DataFrame, window: int) -> DataFrame:
-    """(rep, n, words): runs of the chosen windows (their hashes, hs) in each segment; a window that it repeats counts where it is first."""
+    """(rep, n, words): runs of the chosen windows (their hashes, hs) in each segment, long ones in pieces; a window that it repeats counts where it is first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +186,7 @@ def _passages(chosen: DataFrame, window: int) -> DataFrame:
                 h = _hash(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), window)
                 firsts = np.sort(np.unique(h, return_index=True)[1])
                 at = firsts[np.isin(h[firsts], np.array(hs, np.int64).view(np.uint64))]
-                rows += [(r, b - a, b" ".join(words[a:b])) for a, b in _runs(at, window)]
+                rows += [(r, b - a, b" ".join(words[a:b])) for low, high in _runs(at, window) for a, b in _pieces(low, high, window)]
             rep, n, text = map(list, zip(*rows)) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(n, pa.int32()), pa.array(text, pa.binary())], names=["rep", "n", "words"])
 
@@ -199,6 +201,26 @@ def _runs(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + window).tolist()))
 
 
+def _pieces(low: int, high: int, window: int) -> list[tuple[int, int]]:
+    """A span in pieces of PIECE words at most, which overlap so that every window lies within one."""
+    step = max(PIECE, 2 * window) - window + 1
+    return [(at, min(at + step + window - 1, high)) for at in range(low, high - window + 1, step)]
+
+
+def _bounded(passages: list[bytes]) -> Iterator[list[bytes]]:
+    """The passages in order, in groups of at most SIGNS words (or of one passage)."""
+    group, n = [], 0
+    for p in passages:
+        words = p.count(b" ") + 1
+        if group and n + words > SIGNS:
+            yield group
+            group, n = [], 0
+        group.append(p)
+        n += words
+    if group:
+        yield group
+
+
 class Automaton:
     """Aho-Corasick over the phrases of some passages.
 
@@ -255,18 +277,19 @@ def _located(dealt: DataFrame, window: int) -> DataFrame:
     by = ("rep", "part", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, passages, automaton = None, [], None
+        here, passages, automata = None, [], None
         for batch in batches:
             owner, spans = [], []
             for i, (*key, kind, first, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*by, "kind", "first", "words")))):
                 if key != here:
-                    here, passages, automaton = key, [], None
+                    here, passages, automata = key, [], None
                 if kind == 0:
                     passages.append(text)
                     continue
-                if automaton is None and passages:
-                    automaton = Automaton(passages, window)
-                if automaton is not None:
+                if automata is None:
+                    # Parts are dealt by hash, so one may hold more than its share: it then gets several automata.
+                    automata = [Automaton(group, window) for group in _bounded(passages)]
+                for automaton in automata:
                     found = automaton.spans(text)
                     owner += [i] * len(found)
                     spans += [(first + a, first + b) for a, b in found]
