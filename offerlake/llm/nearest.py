@@ -204,6 +204,8 @@ def _best(found: DataFrame, places: int) -> DataFrame:
 def _probes(index: DataFrame, asking: DataFrame, centres: np.ndarray, places: int, queries: int, recall: float) -> int:
     """Lists that hold the wanted share of the neighbours of a sample of queries, which are found by brute force."""
     chosen = asking.orderBy(*_KEY).limit(queries).collect()
+    if not chosen:
+        return 1
     q = np.array([r["v"] for r in chosen], np.float64)
     keys = np.array([[r["h1"], r["h2"]] for r in chosen], np.int64)
 

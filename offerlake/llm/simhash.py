@@ -37,6 +37,8 @@ NEAR_SHINGLE, SIMILARITY, FAMILIES, CHECK = 5, 0.8, 3, 128
 LINKS = 1_000
 #: Members of a key up to which all its pairs are compared at once; larger ones are searched from member to member.
 PAIRS = 12
+#: Links that one batch of a large key holds, about.
+PAIR_ROWS = 50_000
 #: Words whose hashes one Python worker remembers; bytes of a word beyond which its weight stays.
 CACHE_WORDS, LONG_WORD = 100_000, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -177,7 +179,24 @@ def _forest(members: np.ndarray, key: int, check: int) -> list[tuple[np.ndarray,
     return links
 
 
-def links(prints: DataFrame, check: int | None = None) -> DataFrame:
+def _across(members: np.ndarray, labels: np.ndarray, key: int, check: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links within one key between members of different labels, a block of at most about PAIR_ROWS at a time."""
+    a, b, n = [], [], 0
+    for i in range(len(members) - 1):
+        rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        near = rest[_near(members[rest] ^ members[i], np.full(len(rest), key), check)] if len(rest) else rest
+        if len(near):
+            a.append(np.repeat(members[i : i + 1], len(near), 0))
+            b.append(members[near])
+            n += len(near)
+        if n >= PAIR_ROWS:
+            yield np.concatenate(a), np.concatenate(b)
+            a, b, n = [], [], 0
+    if n:
+        yield np.concatenate(a), np.concatenate(b)
+
+
+def links(prints: DataFrame, check: int | None = None, labelled: bool = False) -> DataFrame:
     """Links (a, b) that connect all fingerprints within DISTANCE of each other.
 
     Without check, prints has bits (a long, distinct), which are both the fingerprint and what is
@@ -185,10 +204,11 @@ def links(prints: DataFrame, check: int | None = None) -> DataFrame:
     linked where the fingerprints of one family are within DISTANCE and at most check of the bits
     differ. Equal fingerprints are one member beforehand, so a key holds as many members as there
     are different fingerprints with 25 equal bits, not as many as there are copies. Within a key
-    of many members, at most one link for each is made, never all pairs.
+    of many members, at most one link for each is made, never all pairs. With labelled, prints has
+    a label too, and the links are all those between members of different labels.
     """
     alone = check is None
-    columns = ["own"] if alone else ["own", *(f"c{k}" for k in range(CHECK // 64))]
+    columns = ["own"] if alone else ["own", *(f"c{k}" for k in range(CHECK // 64)), *["label"] * labelled]
 
     def numbers(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint64)
@@ -197,6 +217,8 @@ def links(prints: DataFrame, check: int | None = None) -> DataFrame:
         for batch in batches:
             families = batch.column("bits").to_numpy().view(np.uint64).reshape(-1, 1) if alone else numbers(batch.column("words"))
             nodes = families[:, :0] if alone else numbers(batch.column("bits"))
+            if labelled:
+                nodes = np.concatenate([nodes, batch.column("label").to_numpy().view(np.uint64).reshape(-1, 1)], 1)
             for at in range(0, len(families), 4096):
                 for family in range(families.shape[1]):
                     own = families[at : at + 4096, family]
@@ -204,7 +226,21 @@ def links(prints: DataFrame, check: int | None = None) -> DataFrame:
                     row = np.concatenate([own[:, None], nodes[at : at + 4096]], 1)[whose]
                     yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, row.T.copy().view(np.int64))], names=["key", *columns])
 
-    def found(keys: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    def ends_of(sides: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(side) for side in zip(*sides))
+        if alone:
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64)) for x in (a, b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in np.ascontiguousarray(x[:, 1:])], pa.binary()) for x in (a, b)], names=["a", "b"])
+
+    def between(keys: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.flatnonzero(np.diff(keys)) + 1
+        labels, bits = bits[:, -1], bits[:, :-1]
+        for first, end in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])):
+            if end - first > 1 and (labels[first:end] != labels[first]).any():
+                for side in _across(bits[first:end], labels[first:end], int(keys[first]), check):
+                    yield ends_of([side])
+
+    def found(keys: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.diff(keys)) + 1
         firsts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])
         size = ends - firsts
@@ -219,10 +255,7 @@ def links(prints: DataFrame, check: int | None = None) -> DataFrame:
             sides.append((b[same], b[same + d]))
         for i in np.flatnonzero(size > PAIRS):
             sides += _forest(bits[firsts[i] : ends[i]], int(keys[firsts[i]]), check or 0)
-        a, b = (np.concatenate(side) for side in zip(*sides))
-        if alone:
-            return pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64)) for x in (a, b)], names=["a", "b"])
-        return pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in np.ascontiguousarray(x[:, 1:])], pa.binary()) for x in (a, b)], names=["a", "b"])
+        yield ends_of(sides)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of key. The last key of a batch waits for the next."""
@@ -233,11 +266,12 @@ def links(prints: DataFrame, check: int | None = None) -> DataFrame:
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             rest_k, rest_b = keys[cut:], bits[cut:]
             if cut:
-                yield found(keys[:cut], bits[:cut])
+                yield from made(keys[:cut], bits[:cut])
         if len(rest_k):
-            yield found(rest_k, rest_b)
+            yield from made(rest_k, rest_b)
 
-    asked = prints.select("bits", *["words"] * (not alone)).mapInArrow(ask, ", ".join(f"{c} bigint" for c in ("key", *columns)))
+    made = between if labelled else found
+    asked = prints.select("bits", *["words"] * (not alone), *["label"] * labelled).mapInArrow(ask, ", ".join(f"{c} bigint" for c in ("key", *columns)))
     # The further order makes the same member the first of all keys of a crowd, so that most of its links are the same.
     ordered = asked.repartition("key").sortWithinPartitions("key", *columns[::-1])
     kind = prints.schema["bits"].dataType
@@ -275,6 +309,36 @@ def _similar(edges: DataFrame, rows: DataFrame, named: DataFrame, shingle: int,
     return right.join(left, ["a", "salt"]).select("a", "b", "of_a", "of_b").mapInArrow(compare, "a binary, b binary")
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _torn(rows: DataFrame, met: DataFrame, alike: DataFrame, named: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+    """The links of similar texts that the first search has not asked for; None where there can be none.
+
+    Within a key of many members the search makes one link for each. Where such a link is between texts
+    that are not similar enough, the group that it held together is torn into parts, and one of its texts may be similar to
+    another of a different part. So in torn groups every pair of different parts that meets is compared. What is linked then
+    does not depend on how many members a key has.
+    """
+    trees = components(met)
+    parts = components(alike)
+    whole = trees.join(parts.withColumnRenamed("root", "part"), "node", "left").select("node", "root", F.coalesce("part", "node").alias("part"))
+    whole = stored(whole, "parts")
+    dropped(trees)
+    dropped(parts)
+    torn = whole.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("root")
+    again = stored(whole.join(torn, "root", "left_semi").select(F.col("node").alias("bits"), F.xxhash64("part").alias("label")), "torn")
+    dropped(whole)
+    if again.isEmpty():
+        return None
+    members = rows.select("words", "bits").distinct().join(again, "bits")
+    across = _ordered(links(members, allowed(similarity), labelled=True)).join(met, ["a", "b"], "left_anti")
+    across = stored(across, "links-across")
+    dropped(again)
+    return stored(_similar(across, rows, named, shingle, similarity), "links-more")
+
+
 def _found(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """(bits, component_id) of prints (bits, least): the smallest doc_id that links reach."""
     roots = components(edges)
@@ -316,8 +380,10 @@ def deduplicate(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float
     rows = stored(marks(named, shingle), "marks")
     prints = _prints(rows)
     met = links(rows.select("words", "bits").distinct(), allowed(similarity))
-    met = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-met")
-    found = _found(prints, _similar(met, rows, named, shingle, similarity))
+    met = stored(_ordered(met), "links-met")
+    alike = stored(_similar(met, rows, named, shingle, similarity), "links-alike")
+    more = _torn(rows, met, alike, named, shingle, similarity)
+    found = _found(prints, alike if more is None else alike.unionByName(more))
     kept = docs.select(F.struct("*").alias("row"), name.alias("name")).join(found.select(F.col("component_id").alias("name")).distinct(), "name", "left_semi")
     # Only rows that repeat both id and text meet here; groups are single rows in a sound corpus.
     return kept.groupBy("name").agg(F.first("row").alias("row")).select("row.*")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from offerlake.llm import divergence, nearest, whitening
+from offerlake.llm import divergence, nearest, simhash, substring_dedup, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, h1 string, list string, rank string"
 
@@ -170,3 +170,70 @@ def test_divergence_by_brute_force(spark):
     assert {tuple(r) for r in got.select("lang", "source", "part", "item", "value", "rank").collect()} == audited(rows, 5)
     assert got.count() == len(audited(rows, 5)) and dict(got.dtypes)["rank"] == "int"
     assert divergence.audit(df.limit(0)).count() == 0
+
+
+def grams(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def crowd(n, seed, edits=(3, 4, 5), size=150):
+    """Edited copies of one text: most are similar to it or to a few others, but not to all."""
+    rnd = np.random.default_rng(seed)
+    base, out = [f"word{k}" for k in rnd.integers(0, 10_000, size)], []
+    for _ in range(n):
+        w = list(out[int(rnd.integers(len(out)))].split()) if out and rnd.random() < 0.5 else list(base)
+        for k in rnd.choice(size, int(rnd.choice(edits)), replace=False):
+            w[k] = f"new{rnd.integers(0, 10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def groups(texts, similarity=0.8):
+    """Number of groups that texts of the similarity or more make."""
+    of, own = [grams(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while own[i] != i:
+            own[i] = own[own[i]]
+            i = own[i]
+        return i
+
+    for i, a in enumerate(of):
+        for j in range(i):
+            if len(a & of[j]) >= similarity * len(a | of[j]):
+                own[root(i)] = root(j)
+    return len({root(i) for i in range(len(texts))})
+
+
+@pytest.mark.parametrize("n, pairs", [(13, (2, 10_000)), (50, (2, 12)), (500, (12, 10_000))])
+def test_near_dedup_does_not_depend_on_the_size_of_a_key(spark, monkeypatch, n, pairs):
+    texts = crowd(n, n)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = []
+    for most in pairs:
+        monkeypatch.setattr(simhash, "PAIRS", most)
+        kept.append(sorted(r.doc_id for r in simhash.deduplicate(docs).collect()))
+    assert kept[0] == kept[1]
+    # Every kept text but one of each group is a copy that was missed, by fingerprints that never met.
+    least = groups(texts)
+    assert least <= len(kept[0]) and n - len(kept[0]) >= 0.9 * (n - least)
+
+
+def test_substring_dedup_of_repeated_texts_with_very_many_words(spark):
+    copies = 3
+    long = " ".join(map(str, range(1_200_000)))
+    docs = spark.createDataFrame([(k, long) for k in range(copies)] + [(9, "short"), (10, long[-5000:] + " end")], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
+    assert all((got[k].n_words, got[k].n_removed, got[k].kept) == (1_200_000, 1_200_000, "") for k in range(copies))
+    assert got[9].n_removed == 0 and got[10].kept.endswith("end") and got[10].n_words - got[10].n_removed <= 2
+
+
+def test_passages_in_pieces_and_bounded_automata(spark, monkeypatch):
+    spans = substring_dedup._pieces(7, 7 + 100_003, 35)
+    assert spans[0][0] == 7 and spans[-1][1] == 100_010 and all(b - a <= substring_dedup.PIECE for a, b in spans)
+    assert all(b - c == 34 for (_, b), (c, _) in zip(spans, spans[1:])) and substring_dedup._pieces(3, 38, 35) == [(3, 38)]
+    monkeypatch.setattr(substring_dedup, "SIGNS", 100)
+    passages = [" ".join(f"p{k}w{i}" for i in range(n)).encode() for k, n in enumerate([40, 70, 35, 35, 30, 300])]
+    made = list(substring_dedup._bounded(passages))
+    assert [p for g in made for p in g] == passages and [len(g) for g in made] == [1, 1, 3, 1] and list(substring_dedup._bounded([])) == []
