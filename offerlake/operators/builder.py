@@ -163,6 +163,38 @@ def store_breakdown(items: DataFrame, stores: DataFrame) -> DataFrame:
     return stores.filter("active").select(F.col("id").alias("sid"), "display_name").join(own, "sid", "left").na.fill(0, ["total", "n_items"])
 
 
+def breakdowns(items: DataFrame, stores: DataFrame) -> DataFrame:
+    """(build_id, breakdown): for each build a list of (sid, display_name, total, n_items) of every active shop, by sid, with zeros where it sells none of the parts.
+
+    What a build buys is a map by shop, and all shops are one map of zeros, one row that every
+    task has; the two are put together in place, so builds and shops are not joined.
+    """
+    sums = items.groupBy("build_id", "sid").agg(F.sum(F.when(F.col("price") != 0, F.col("price"))).alias("total"), F.count(F.when(F.col("price") != 0, True)).alias("n_items"))
+    sold = sums.groupBy("build_id").agg(F.map_from_entries(F.collect_list(F.struct("sid", F.struct("total", "n_items")))).alias("sold"))
+    shops = stores.filter("active").agg(F.map_from_entries(F.collect_list(F.struct("id", "display_name"))).alias("shops"))
+    zero = F.lit(0).cast(dict(sums.dtypes)["total"])
+
+    def of_shop(sid: Column, name: Column, sale: Column) -> Column:
+        return F.when(name.isNotNull(), F.struct(sid.alias("sid"), name.alias("display_name"), F.coalesce(sale["total"], zero).alias("total"), F.coalesce(sale["n_items"], F.lit(0)).alias("n_items")))
+
+    whole = F.map_values(F.map_zip_with("shops", "sold", of_shop))
+    return sold.join(F.broadcast(shops)).select("build_id", F.array_sort(F.filter(whole, lambda x: x.isNotNull())).alias("breakdown"))
+
+
+def summaries(items: DataFrame, stores: DataFrame) -> DataFrame:
+    """The whole answer about each build: what validate() gives, and the breakdown by shop."""
+    return validate(items).join(breakdowns(items, stores), "build_id")
+
+
+def slots(products: DataFrame) -> DataFrame:
+    """(position, slot, name, required, n_products): the slots of a build with the number of products whose category fits; a slot that none fits is there with 0."""
+    word = F.lit(list(SLOT_CATEGORIES.values()))
+    fitting = products.select(F.explode(F.filter(word, lambda w: F.contains(F.upper(F.coalesce("category", F.lit(""))), w))).alias("word")).groupBy("word").agg(F.count("*").alias("n_products"))
+    rows = [(k, slot, name, needed, SLOT_CATEGORIES[slot]) for k, (slot, name, needed) in enumerate(SLOTS)]
+    fixed = products.sparkSession.createDataFrame(rows, "position int, slot string, name string, required boolean, word string")
+    return fixed.join(fitting, "word", "left").drop("word").na.fill(0, ["n_products"])
+
+
 def for_slot(products: DataFrame, slot: str) -> DataFrame:
     """Products whose category fits a slot; all of them where the slot is unknown."""
     word = SLOT_CATEGORIES.get(slot)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from offerlake.functions import rules
+from offerlake.sources.scratch import stored
+
 from .schedule import reset
 
 #: Categories that are refined by the title.
@@ -17,6 +23,66 @@ def purge(products: DataFrame, dependants: dict[str, DataFrame], doomed: Column)
     return {"products": products.filter(~F.coalesce(doomed, F.lit(False))), **left}
 
 
+@dataclass(frozen=True)
+class Reference:
+    """Rows of child name a row of parent: child.column is one of parent.key, which names a parent row."""
+
+    child: str
+    column: str
+    parent: str
+    key: str
+
+
+def _ordered(references: list[Reference], start: str) -> list[str]:
+    """Relations that hang on start, each after all that it hangs on itself; start first."""
+    below, todo = {start}, [start]
+    while todo:
+        at = todo.pop()
+        new = {r.child for r in references if r.parent == at} - below
+        below |= new
+        todo += new
+    order: list[str] = []
+    while len(order) < len(below):
+        ready = sorted(x for x in below - set(order) if all(r.parent in order or r.parent not in below for r in references if r.child == x))
+        if not ready:
+            raise ValueError(f"references go in a circle: {sorted(below - set(order))}")
+        order += ready
+    return order
+
+
+def cascade(relations: dict[str, DataFrame], references: list[Reference], start: str, doomed: Column) -> dict[str, DataFrame]:
+    """relations without the doomed rows of start, the rows that name one of them, the rows that name one of those, and so on.
+
+    The keys that go are stored once for each parent that rows hang on and read by all of its children; null
+    names nothing, and a null condition dooms nothing. Relations that do not hang on start stay as they are.
+    """
+    gone: dict[tuple[str, str], DataFrame] = {}
+    left = dict(relations)
+    for name in _ordered(references, start):
+        rows = relations[name]
+        ways = [(r.column, gone[r.parent, r.key]) for r in references if r.child == name and (r.parent, r.key) in gone]
+        hits = [rows.join(keys.withColumnRenamed("key", column), column, "left_semi") for column, keys in ways]
+        if name == start:
+            left[name] = rows.filter(~F.coalesce(doomed, F.lit(False)))
+            hits.append(rows.filter(doomed))
+        for column, keys in ways:
+            left[name] = left[name].join(keys.withColumnRenamed("key", column), column, "left_anti")
+        left[name] = left[name].select(*rows.columns)
+        for key in sorted({r.key for r in references if r.parent == name}):
+            keys = [h.select(F.col(key).alias("key")) for h in hits]
+            gone[name, key] = stored(reduce(DataFrame.union, keys).filter("key is not null").distinct(), "doomed-keys")
+    return left
+
+
+#: What hangs on products: snapshots, links and the nine specification tables.
+PRODUCT_REFERENCES = [Reference(child, "product_id", "products", "id") for child in ("history", "links", *rules.SPECS)]
+
+
+def hanging(rows: DataFrame, reference: Reference, parents: DataFrame) -> DataFrame:
+    """Rows of the child whose parent is not there."""
+    return rows.filter(F.col(reference.column).isNotNull()).join(parents.select(F.col(reference.key).alias(reference.column)), reference.column, "left_anti")
+
+
 def category_of_targets(products: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
     """products with the category of their last categorized target, the old one where there is none."""
     known = targets.filter("category is not null").select(F.col("id").alias("target_id"), F.col("category").alias("target_category"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from offerlake.functions import rules
+from offerlake.sources.scratch import stored
 
 from .builder import staged
 from .ingest import upsert_specs
@@ -37,12 +38,17 @@ def normalized(products: DataFrame, granular: bool = False) -> DataFrame:
 
 
 def spec_tables(found: DataFrame) -> dict[str, DataFrame]:
-    """The typed rows of each normalizer: product_id and its columns."""
-    return {k: found.filter(F.col("kind") == k).select(F.col("id").alias("product_id"), f"{k}.*") for k in rules.SPECS}
+    """The typed rows of each normalizer: product_id and its columns.
+
+    The catalogue is classified and written once, in folders by kind; each table reads its own folder.
+    """
+    rows = found.filter("kind is not null").select("kind", F.col("id").alias("product_id"), *rules.SPECS)
+    once = stored(rows, "specifications", "kind")
+    return {k: once.filter(F.col("kind") == k).select("product_id", f"{k}.*") for k in rules.SPECS}
 
 
 def upsert(products: DataFrame, state: dict[str, DataFrame], granular: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
     """products with their new category, and each specification table after the normalized rows are taken in."""
-    found = normalized(products, granular)
+    found = stored(normalized(products, granular), "normalized")
     tables = {k: upsert_specs(state[k], rows, list(rules.SPECS[k])) if k in state else rows for k, rows in spec_tables(found).items()}
     return products.drop("category").join(found.select("id", "category"), "id"), tables

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -192,6 +193,18 @@ _normalize(True)
 _normalize(False)
 
 
+def _spec_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return normalize.spec_tables(normalize.normalized(v.products(spark, d), True))
+
+
+@query(f"{_DISPATCHED} SELECT granular_kind AS kind, id AS product_id, {', '.join(map(_shared('granular_kind'), _TYPED))} FROM z WHERE granular_kind IS NOT NULL")
+def spec_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all nine specification tables, which one pass over the catalogue has written."""
+    tables = [(k, df) for k, df in _spec_tables(spark, d).items()]
+    rows = [df.select(F.lit(k).alias("kind"), "product_id", *[F.col(c) for c in _TYPED if c in df.columns]) for k, df in tables]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).select("kind", "product_id", *_TYPED)
+
+
 @query(""", a AS (SELECT *, min(page) OVER (PARTITION BY sid, pid) AS f FROM observations),
 b AS (SELECT *, row_number() OVER (PARTITION BY sid, pid ORDER BY scraped_at DESC, target_id DESC, tie DESC, coalesce(price, -1) DESC) AS k FROM a WHERE page = f)
 SELECT sid, pid, page, price::DOUBLE AS price, scraped_at FROM b WHERE k = 1""")
@@ -388,10 +401,26 @@ def build_notices(spark: SparkSession, d: str) -> DataFrame:
     return builder.notices(_validated(spark, d)).filter("seq <= 3").select("build_id", "seq", "level", "message")
 
 
-@query("""SELECT * FROM (VALUES (0, 'cpu', 'Processor (CPU)', true), (1, 'motherboard', 'Motherboard', true), (2, 'gpu', 'Graphics Card (GPU)', false), (3, 'ram', 'Memory (RAM)', true),
-(4, 'storage', 'Storage (SSD/HDD)', true), (5, 'psu', 'Power Supply (PSU)', true), (6, 'case', 'Cabinet / Case', false)) t(position, slot, name, required)""")
+_SLOTS = "(VALUES (0, 'cpu', 'Processor (CPU)', true, 'CPU'), (1, 'motherboard', 'Motherboard', true, 'MOTHERBOARD'), (2, 'gpu', 'Graphics Card (GPU)', false, 'GPU'), (3, 'ram', 'Memory (RAM)', true, 'RAM'), (4, 'storage', 'Storage (SSD/HDD)', true, 'SSD'), (5, 'psu', 'Power Supply (PSU)', true, 'PSU'), (6, 'case', 'Cabinet / Case', false, 'CABINET')) t(position, slot, name, required, word)"
+
+
+@query(f"{rule_sql.X}, c AS (SELECT {rule_sql.CATEGORY} AS category FROM x) SELECT position, slot, name, required, (SELECT count(*) FROM c WHERE contains(upper(category), word)) AS n_products FROM {_SLOTS}")
 def builder_slots(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k, *slot) for k, slot in enumerate(builder.SLOTS)], "position int, slot string, name string, required boolean")
+    """The slots of a build with the number of products that fit each."""
+    return builder.slots(normalize.classified(v.products(spark, d)).withColumn("category", F.col("coded")))
+
+
+@query(f"""{_BUILDS}, shops AS (SELECT id, display_name FROM stores WHERE active), sold AS (SELECT build_id, sid, sum(price) AS total, count(*) AS n FROM items WHERE price <> 0 GROUP BY ALL),
+split AS (SELECT s.build_id, string_agg(shops.id || ':' || shops.display_name || ':' || coalesce(total, 0)::DECIMAL(22,2) || ':' || coalesce(n, 0), ',' ORDER BY shops.id) AS breakdown, sum(n)::BIGINT AS n_priced
+  FROM sums s JOIN shops ON true LEFT JOIN sold ON sold.build_id = s.build_id AND sold.sid = shops.id GROUP BY s.build_id)
+SELECT s.build_id, coalesce(n_errors, 0) = 0 AS compatible, coalesce(n_notices, 0) AS n_notices, estimated_wattage, total_min_cost, md5(breakdown) AS breakdown, coalesce(n_priced, 0) AS n_priced
+FROM sums s LEFT JOIN notes n ON s.build_id = n.build_id JOIN split ON split.build_id = s.build_id""")
+def validate_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The whole answer about every build: compatibility, watts, cost and, as a digest, every active shop with what it sells of the build."""
+    x = builder.summaries(_items(spark, d), v.stores(spark, d))
+    text = F.array_join(F.transform("breakdown", lambda b: F.concat_ws(":", b["sid"].cast("string"), b["display_name"], b["total"].cast("string"), b["n_items"].cast("string"))), ",")
+    priced = F.aggregate("breakdown", F.lit(0).cast("long"), lambda n, b: n + b["n_items"])
+    return x.select("build_id", "compatible", F.size("notices").cast("long").alias("n_notices"), "estimated_wattage", "total_min_cost", F.md5(text).alias("breakdown"), priced.alias("n_priced"))
 
 
 _DUE = "FROM scrape_targets t SEMI JOIN (SELECT id AS s FROM stores WHERE active) a ON t.store_id = a.s WHERE enabled AND next_scrape_at <= timestamp '1996-06-01' ORDER BY priority DESC, next_scrape_at, id LIMIT 10"
@@ -439,6 +468,22 @@ def purge_out_of_stock(spark: SparkSession, d: str) -> DataFrame:
     return left["products"].agg(F.lit("products").alias("relation"), F.count("*").alias("n")).unionByName(left["links"].agg(F.lit("links").alias("relation"), F.count("*").alias("n")))
 
 
+_TWELVE = ", ".join(f"('{k}')" for k in rules.SPECS)
+
+
+@query(f"""{_DISPATCHED}, gone AS (SELECT id FROM products WHERE NOT in_stock), r AS (
+SELECT 'products' AS relation, id IN (FROM gone) AS g FROM products UNION ALL SELECT 'history', product_id IN (FROM gone) FROM observations UNION ALL SELECT 'links', product_id IN (FROM gone) FROM product_targets
+UNION ALL SELECT granular_kind, id IN (FROM gone) FROM z WHERE granular_kind IS NOT NULL)
+SELECT n.relation, count(g) FILTER (NOT g) AS n_left, count(g) FILTER (g) AS n_gone FROM (VALUES ('products'), ('history'), ('links'), {_TWELVE}) n(relation) LEFT JOIN r ON n.relation = r.relation GROUP BY n.relation""")
+def purge_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Products that are out of stock go with all that hangs on them, from one declaration: what is left of and gone from the twelve relations."""
+    relations = {"products": v.products(spark, d), "history": v.observations(spark, d), "links": v.product_targets(spark, d), **_spec_tables(spark, d)}
+    left = maintain.cascade(relations, maintain.PRODUCT_REFERENCES, "products", ~F.col("in_stock"))
+    count = lambda of, name: reduce(DataFrame.unionByName, [df.agg(F.lit(k).alias("relation"), F.count("*").alias(name)) for k, df in of.items()])
+    both = count(left, "n_left").join(count(relations, "n"), "relation")
+    return both.select("relation", "n_left", (F.col("n") - F.col("n_left")).alias("n_gone"))
+
+
 @query("""SELECT 'products' AS relation, count(*) AS n FROM products WHERE sid <> 2 UNION ALL SELECT 'links', count(*) FROM product_targets ANTI JOIN (SELECT id FROM products WHERE sid = 2) p ON product_id = p.id
 UNION ALL SELECT 'history', count(*) FROM observations WHERE sid <> 2 UNION ALL SELECT 'targets', count(*) FROM (SELECT CASE WHEN store_id = 2 THEN timestamp '1996-06-01' ELSE next_scrape_at END AS n, CASE WHEN store_id <> 2 THEN last_scraped_at END AS l FROM scrape_targets) WHERE n = timestamp '1996-06-01' AND l IS NULL""")
 def purge_store(spark: SparkSession, d: str) -> DataFrame:

@@ -19,10 +19,10 @@ def folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once and read back: its rows stay the same however often they are read, and its lineage is cut."""
+def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """df written once, in folders by the values of some columns, and read back: its rows stay the same however often they are read, and its lineage is cut."""
     spark, path = df.sparkSession, f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
