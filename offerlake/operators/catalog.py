@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def active(stores: DataFrame) -> DataFrame:
@@ -101,6 +101,13 @@ def answer(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def found(asked: DataFrame, rows: DataFrame, key: str, missing: Column) -> DataFrame:
+    """(key, status, json, detail): the answer to each key that is asked for: the row as JSON with status 200, else 404 and what is said of a missing one."""
+    known = rows.select(key, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    there = F.col("json").isNotNull()
+    return asked.select(key).join(known, key, "left").select(key, F.when(there, 200).otherwise(404).alias("status"), "json", F.when(~there, missing).alias("detail"))
+
+
 def compare(products: DataFrame, q: str) -> DataFrame:
     """One row: offers, and lowest, highest and average of the prices that are known."""
     p = F.col("current_price")

@@ -103,7 +103,7 @@ def merge(products: DataFrame, history: DataFrame, links: DataFrame, new_pid: Co
 
     Links that the row which stays has already are not made twice.
     """
-    owner = merge_keys(products, new_pid)
+    owner = stored(merge_keys(products, new_pid), "key-owners")  # all three relations read it
     stay = products.join(owner.filter("id = master").select("id", F.col("pid").alias("_pid")), "id").withColumn("pid", F.col("_pid")).drop("_pid")
     moved = owner.select(F.col("id").alias("product_id"), "master")
     to = lambda df: df.join(moved, "product_id").withColumn("product_id", F.col("master")).drop("master").select(*df.columns)

@@ -91,13 +91,14 @@ def price_ranges(spark: SparkSession, d: str) -> DataFrame:
     return v.observations(spark, d).filter("price is not null").groupBy("product_id").agg(F.count("*").alias("n"), F.min(p).cast("double").alias("lowest"), F.max(p).cast("double").alias("highest"))
 
 
-@query(""", o AS (SELECT p.id, coalesce(current_price, 0)::DOUBLE AS price FROM products p WHERE p.name ILIKE '%rtx 50%')
+@query(""", o AS (SELECT p.id, sid, coalesce(current_price, 0)::DOUBLE AS price, current_mrp::DOUBLE AS mrp, coalesce(in_stock, true) AS in_stock, coalesce(display_name, 'Store #' || sid) AS store_name, product_url AS url FROM products p LEFT JOIN stores s ON p.sid = s.id WHERE p.name ILIKE '%rtx 50%')
 SELECT 'rtx 50' AS query, count(*) AS total_offers, min(current_price)::DOUBLE AS lowest_price, max(current_price)::DOUBLE AS highest_price, sum(current_price)::DOUBLE / count(current_price) AS average_price,
-(SELECT md5(string_agg(id::VARCHAR, ',' ORDER BY price, id)) FROM o) AS offers FROM products WHERE name ILIKE '%rtx 50%'""")
+(SELECT md5(string_agg(concat_ws('|', id, price, sid, store_name, mrp, in_stock, url), chr(10) ORDER BY price, id)) FROM o) AS offers FROM products WHERE name ILIKE '%rtx 50%'""")
 def compare_answer(spark: SparkSession, d: str) -> DataFrame:
-    """The whole comparison as one answer; the list of offers as a digest of its ids in order."""
+    """The whole comparison as one answer; the list of whole offers, in order, as a digest."""
     x = catalog.comparison(v.products(spark, d), v.stores(spark, d), "rtx 50")
-    return x.withColumn("offers", F.md5(F.array_join(F.transform("offers", lambda o: o["id"].cast("string")), ",")))
+    line = lambda o: F.concat_ws("|", *[o[c].cast("string") for c in ("id", "price", "sid", "store_name", "mrp", "in_stock", "url")])
+    return x.withColumn("offers", F.md5(F.array_join(F.transform("offers", line), "\n")))
 
 
 @query("SELECT id, name, base_url FROM stores WHERE name = (SELECT min(name) FROM stores)")
@@ -519,14 +520,23 @@ def reclean_pids(spark: SparkSession, d: str) -> DataFrame:
     return maintain.merge_keys(v.products(spark, d), F.expr("pid div 3"))
 
 
-@query("SELECT count(*) AS n FROM product_targets ANTI JOIN (SELECT id FROM products WHERE in_stock) p ON product_id = p.id")
+def _before_and_since(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Products as they were last seen before a time, and offers seen since."""
+    state, batch = _state_and_batch(spark, d)
+    return state.withColumnRenamed("product_id", "id"), batch
+
+
+@query(f"SELECT count(*) AS n FROM product_targets ANTI JOIN ({_LAST.format('<')}) p ON product_targets.product_id = p.product_id")
 def orphan_links(spark: SparkSession, d: str) -> DataFrame:
-    return maintain.orphans(v.product_targets(spark, d), v.products(spark, d).filter("in_stock")).agg(F.count("*").alias("n"))
+    """Links of all time to products that were not known before a time."""
+    return maintain.orphans(v.product_targets(spark, d), _before_and_since(spark, d)[0]).agg(F.count("*").alias("n"))
 
 
-@query("SELECT s.sid, s.pid, p.id, p.id IS NOT NULL AS matched FROM (SELECT DISTINCT sid, pid FROM observations WHERE page = 1) s LEFT JOIN (SELECT * FROM products WHERE in_stock) p ON s.sid = p.sid AND s.pid = p.pid")
+@query(f"SELECT s.sid, s.pid, p.product_id AS id, p.product_id IS NOT NULL AS matched FROM ({_LAST.format('>=')}) s LEFT JOIN ({_LAST.format('<')}) p ON s.sid = p.sid AND s.pid = p.pid")
 def match_report(spark: SparkSession, d: str) -> DataFrame:
-    return maintain.match_report(v.observations(spark, d).filter("page = 1"), v.products(spark, d).filter("in_stock"))
+    """Offers seen since a time with the product known before that they meet."""
+    before, since = _before_and_since(spark, d)
+    return maintain.match_report(since, before)
 
 
 @query(""", o AS (SELECT id AS product_id, min(id) OVER (PARTITION BY sid, pid // 3) AS any_id, min(CASE WHEN pid = pid // 3 THEN id END) OVER (PARTITION BY sid, pid // 3) AS own FROM products),
@@ -687,7 +697,16 @@ def scheduled_cycle(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(of(marked, "targets", F.lit(None)))
 
 
-@query(", k AS (SELECT DISTINCT sid, pid FROM observations WHERE page = 1) SELECT p.id, CASE WHEN k.pid IS NULL THEN 'Accessories' ELSE 'GPU' END AS category FROM products p LEFT JOIN k ON p.sid = k.sid AND p.pid = k.pid")
+@query(f"SELECT p.id, CASE WHEN k.pid IS NULL THEN p.category ELSE 'GPU' END AS category FROM products p LEFT JOIN ({_LAST.format('>=')}) k ON p.sid = k.sid AND p.pid = k.pid")
 def reassign_category(spark: SparkSession, d: str) -> DataFrame:
-    p = v.products(spark, d).withColumn("category", F.lit("Accessories"))
-    return maintain.reassign(p, v.observations(spark, d).filter("page = 1"), "GPU").select("id", "category")
+    """Products that were seen since a time take a category, the others keep theirs."""
+    return maintain.reassign(v.products(spark, d), _before_and_since(spark, d)[1], "GPU").select("id", "category")
+
+
+@query("SELECT k.id, CASE WHEN p.id IS NULL THEN 404 ELSE 200 END AS status, coalesce(p.name, 'Product with ID ' || k.id || ' not found') AS said FROM (SELECT id FROM products UNION SELECT id + 1 FROM products) k LEFT JOIN products p ON k.id = p.id")
+def product_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What is answered when products are asked for, of which some are not there."""
+    p = v.products(spark, d)
+    asked = p.select(F.explode(F.array("id", F.col("id") + 1)).alias("id")).distinct()
+    x = catalog.found(asked, p, "id", F.concat(F.lit("Product with ID "), F.col("id").cast("string"), F.lit(" not found")))
+    return x.select("id", "status", F.coalesce("detail", F.get_json_object("json", "$.name")).alias("said"))

@@ -166,3 +166,65 @@ def test_dead_letters(spark):
     found = product.parsed(rows, stores, selectors(spark, 9), {"n": "next"})
     assert sorted((r.sid, r.page_id, r.reason) for r in product.dead_letters(found).collect()) == [(1, 1, "no list of products"), (1, 2, "no content"), (2, 0, "no selectors"), (3, 0, "no product data")]
     assert product.offers(found).count() == 0
+
+
+def test_dump_in_many_ranges_equals_one(spark, tmp_path):
+    rnd = random.Random(3)
+    text = ["SET a;", "COPY public.t (id, v) FROM stdin;"] + [f"{k}\t{'é' * rnd.randrange(30)}\\t{k}" for k in range(300)] + ["\\.", "COPY public.u (id) FROM stdin;", "5", "\\.", "", "COPY t2 (id) FROM stdin;", "9"]
+    (tmp_path / "d.sql").write_bytes("\n".join(text).encode())
+    want = [(str(k), line.split("\t")[1].replace("\\t", "\t")) for k, line in enumerate(text[2:302])]
+    for split in (1, 7, 100, 1 << 20):
+        if split == 1:
+            got = list(map(tuple, dump.dump_table(spark, str(tmp_path / "d.sql"), "t2", 50).collect()))
+            assert got == [("9",)]  # no end mark, no end of the line
+            continue
+        rows = dump.dump_table(spark, str(tmp_path / "d.sql"), "t", 40 if split == 7 else split, "place").orderBy("place").collect()
+        assert [(r.id, r.v) for r in rows] == want
+    assert [r.id for r in dump.dump_table(spark, f"file://{tmp_path}/d.sql", "u").collect()] == ["5"]
+
+
+def test_lines_of_every_range_by_brute_force(tmp_path):
+    data = b"a\n\nbb\r\n\nccc\n" + b"x" * 50 + b"\nlast"
+    (tmp_path / "f").write_bytes(data)
+    system, path = dump._opened(str(tmp_path / "f"))
+    whole = list(dump._lines(system, dump.Range(0, path, 0, len(data))))
+    assert [x for _, x in whole] == [b"a", b"", b"bb", b"", b"ccc", b"x" * 50, b"last"]
+    for split in range(1, len(data) + 1):
+        parts = [x for at in range(0, len(data), split) for x in dump._lines(system, dump.Range(0, path, at, min(at + split, len(data))))]
+        assert parts == whole
+
+
+SITES = """
+good:
+  name: "Good Shop"
+  base_url: "https://g.in"
+  currency: "INR"
+  search_config: {selectors: {product_card: .c, title: h3, price: .p, mrp: .m, image: img}, attributes: {url: href, image: src}}
+json:
+  name: Json Shop
+  enabled: false
+  search_config: {platform: shopify, page_endpoint: "/products.json"}
+bare:
+  search_config: {platform: fleetcart}
+short:
+  selectors: {title: h3, price: .p, mrp: .m, image: img}
+  attributes: {url: href}
+empty:
+"""
+
+
+def test_shops_of_yaml_files(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text(SITES)
+    (tmp_path / "b.yaml").write_text("more:\n  platform: nextjs\n  page_endpoint: /x\n")
+    (tmp_path / "c.yaml").write_text("")
+    got = {r.name: r for r in dump.shops(spark, str(tmp_path)).collect()}
+    assert set(got) == {"good", "json", "bare", "short", "empty", "more"} and not got["json"].active and got["good"].active
+    assert got["good"].selectors["product_card"] == ".c" and got["json"].page_endpoint == "/products.json" and got["empty"].display_name is None
+    faults = {(r.name, r.missing) for r in dump.faults(dump.shops(spark, str(tmp_path))).collect()}
+    assert {f for f in faults if f[0] != "empty"} == {("bare", "page_endpoint"), ("short", "selectors.product_card"), ("short", "attributes.image")}
+    assert sum(n == "empty" for n, _ in faults) == 7
+    stores = spark.createDataFrame([(7, "good"), (8, "json")], "id long, name string")
+    asked = dump.page_selectors(dump.shops(spark, str(tmp_path)), stores)
+    html = '<div class="c"><h3><a href="/product/k">K</a></h3><b class="p">5</b></div>'
+    (r,) = cards.by_selectors(pages(spark, html), asked).collect()
+    assert (r.name, r.pid, float(r.price)) == ("K", "k", 5)
