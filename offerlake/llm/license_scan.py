@@ -149,7 +149,7 @@ def occurrences(text: list[bytes], template: list[bytes], coverage: float = COVE
                 continue
             first, last = a + pairs[0][0], a + pairs[-1][0] + 1
             found.append((len(pairs) / need, first, last))
-            if first <= i and last - first <= 2 * need - least:
+            if first <= i < last and last - first <= 2 * need - least:
                 done = max(done, last)  # the other rare words of this copy
                 if len(pairs) == need == last - first:
                     break
@@ -159,22 +159,29 @@ def occurrences(text: list[bytes], template: list[bytes], coverage: float = COVE
 def _apart(found: list[tuple[float, int, int, str]]) -> list[tuple[str, float, int, int]]:
     """Places that don't overlap: the highest coverage first, then the longest template's words and the shortest stretch."""
     out: list[tuple[str, float, int, int]] = []
+    firsts: list[int] = []  # of the chosen places, in order; none of these overlap, so only the two neighbours can
     for share, first, last, name in sorted(set(found), key=lambda x: (-x[0], x[2] - x[1], x[1], x[3])):
-        if all(last <= a or b <= first for _, _, a, b in out):
-            out.append((name, share, first, last))
-    return sorted(out, key=lambda x: x[2])
+        k = bisect_left(firsts, first)
+        if (k == 0 or out[k - 1][3] <= first) and (k == len(out) or last <= firsts[k]):
+            firsts.insert(k, first)
+            out.insert(k, (name, share, first, last))
+    return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, naming: dict[str, str] | None = None) -> DataFrame:
     """One row for each place of a license in a text: doc_id, license, coverage, first and last word.
 
     Places in one text do not overlap: where several fit, that of the highest coverage stays, then
     the shortest stretch, the first and the name. Null and empty texts have none, very long texts
     are read as a whole, repeated rows give repeated rows, an empty table gives none; other columns
     of any name are ignored. Each text is scanned by itself, so there is no shuffle.
+
+    naming has, by template, the word that must be matched (NAMING where it is left out, whatever the
+    templates are); it counts for templates that hold it.
     """
+    must = NAMING if naming is None else naming
     known = [(k, words_of(t.encode())) for k, t in sorted((TEMPLATES if templates is None else templates).items())]
-    known = [(k, w, NAMING[k].encode() if templates is None and k in NAMING else None) for k, w in known if w]
+    known = [(k, w, must[k].encode() if k in must and must[k].encode() in w else None) for k, w in known if w]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from offerlake.llm import divergence, nearest, simhash, substring_dedup, whitening
+from offerlake.llm import divergence, license_scan, nearest, simhash, substring_dedup, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, h1 string, list string, rank string"
 
@@ -238,3 +239,42 @@ def test_passages_in_pieces_and_bounded_automata(spark, monkeypatch):
     passages = [" ".join(f"p{k}w{i}" for i in range(n)).encode() for k, n in enumerate([40, 70, 35, 35, 30, 300])]
     made = list(substring_dedup._bounded(passages))
     assert [p for g in made for p in g] == passages and [len(g) for g in made] == [1, 1, 3, 1] and list(substring_dedup._bounded([])) == []
+
+
+def test_license_scan_of_very_many_notices_and_its_parameters(spark):
+    notice = license_scan.TEMPLATES["MIT"]
+    many = "\n".join([notice] * 20_000)
+    start = time.perf_counter()
+    found = license_scan.scan(spark.createDataFrame([(1, many)], "doc_id long, text string"))
+    assert found.filter("license = 'MIT'").count() == 20_000 and time.perf_counter() - start < 120
+    docs = spark.createDataFrame([(1, "Licensed under CC BY-ND 4.0."), (2, notice), (3, "Released under the BSD License.")], "doc_id long, text string")
+    rows = lambda *args: sorted(map(tuple, license_scan.scan(docs, *args).collect()))
+    assert rows() == rows(license_scan.TEMPLATES) == [r for r in rows() if r[0] == 2]
+    assert {r[0] for r in rows(None, 0.8, {})} == {1, 2, 3}
+    places = [(0.9, 3, 8, "b"), (1.0, 5, 9, "a"), (1.0, 9, 12, "a"), (0.8, 0, 5, "c"), (0.8, 0, 6, "d")]
+    assert license_scan._apart(places) == [("c", 0.8, 0, 5), ("a", 1.0, 5, 9), ("a", 1.0, 9, 12)]
+
+
+def test_license_scan_finds_changed_copies(spark):
+    """Every copy with words left out, changed or put in is found as long as its common words reach the coverage."""
+    rnd = np.random.default_rng(6)
+    texts, want = [], []
+    for name in ("MIT-text", "BSD-text", "GPL-3.0", "Apache-2.0"):
+        words = license_scan.TEMPLATES[name].split()
+        for _ in range(12):
+            w, gone = list(words), int(rnd.integers(0, len(words) // 6 + 1))
+            for k in sorted(rnd.choice(len(w), gone, replace=False), reverse=True):
+                w[k : k + 1] = [] if rnd.random() < 0.5 else [f"zz{k}"]
+            common = len(words) - gone
+            around = [f"f{k}" for k in rnd.integers(0, 500, 40)]
+            texts.append(" ".join(around[:20] + w + around[20:]))
+            want.append((name, common / len(words)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in license_scan.scan(docs).collect():
+        got[r.doc_id, r.license] = max(r.coverage, got.get((r.doc_id, r.license), 0))
+    near = [(k, name, share) for k, (name, share) in enumerate(want) if share >= 0.83]
+    assert len(near) > 35
+    for k, name, share in near:
+        own = len(license_scan.words_of(license_scan.TEMPLATES[name].encode()))
+        assert (k, name) in got and got[k, name] >= share - 2 / own, (k, name, share)
