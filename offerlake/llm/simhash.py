@@ -180,11 +180,22 @@ def _forest(members: np.ndarray, key: int, check: int) -> list[tuple[np.ndarray,
 
 
 def _across(members: np.ndarray, labels: np.ndarray, key: int, check: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links within one key between members of different labels, a block of at most about PAIR_ROWS at a time."""
+    """All links within one key between members of different labels, a block of at most about PAIR_ROWS at a time.
+
+    Two members meet in several keys of a family: at each start from which they keep their budgets, and there in 14 keys
+    if their second segments agree, in two if these differ. They are linked in one of them, the
+    first start and the smaller of their second segments.
+    """
     a, b, n = [], [], 0
+    start, asked = key >> 26 & 7, key & (1 << 13) - 1
+    j = (start + 1) % 5
+    second = (members[:, 0] >> np.uint64(_FROM[j])) & np.uint64((1 << WIDTHS[j]) - 1)
     for i in range(len(members) - 1):
         rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        rest = rest[np.minimum(second[rest], second[i]) == asked]
         near = rest[_near(members[rest] ^ members[i], np.full(len(rest), key), check)] if len(rest) else rest
+        for earlier in range(start):
+            near = near[~_near(members[near] ^ members[i], np.full(len(near), earlier << 26), check)]
         if len(near):
             a.append(np.repeat(members[i : i + 1], len(near), 0))
             b.append(members[near])

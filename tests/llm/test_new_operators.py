@@ -278,3 +278,25 @@ def test_license_scan_finds_changed_copies(spark):
     for k, name, share in near:
         own = len(license_scan.words_of(license_scan.TEMPLATES[name].encode()))
         assert (k, name) in got and got[k, name] >= share - 2 / own, (k, name, share)
+
+
+def test_links_between_parts_are_all_and_few(spark):
+    rnd = np.random.default_rng(8)
+    rows = {}
+    for _ in range(6):
+        base = int.from_bytes(rnd.bytes(40), "little")
+        for _ in range(30):
+            x = base
+            for at, n, size in ((0, 64, 4), (64, 64, 6), (128, 64, 20), (192, 128, 30)):
+                for b in rnd.choice(n, int(rnd.integers(0, size)), replace=False):
+                    x ^= 1 << int(at + b)
+            raw = x.to_bytes(40, "little")
+            rows[raw[24:]] = (raw, int(rnd.integers(0, 3)))
+    check = simhash.allowed()
+    apart = lambda a, b, at, n: ((int.from_bytes(a, "little") ^ int.from_bytes(b, "little")) >> at & (1 << n) - 1).bit_count()
+    near = lambda a, b: min(apart(a, b, at, 64) for at in (0, 64, 128)) <= 4 and apart(a, b, 192, 128) <= check
+    frame = spark.createDataFrame([(bytearray(r[:24]), bytearray(r[24:]), k) for r, k in rows.values()], "words binary, bits binary, label long")
+    found = [tuple(sorted((bytes(r.a), bytes(r.b)))) for r in simhash.links(frame, check, labelled=True).collect()]
+    all_ = list(rows.items())
+    want = {tuple(sorted((a, b))) for i, (a, (x, k)) in enumerate(all_) for b, (y, m) in all_[:i] if k != m and near(x, y)}
+    assert set(found) == want and len(want) > 200 and len(found) <= 3 * len(want)  # once for each family at most
