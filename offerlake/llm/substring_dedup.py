@@ -309,7 +309,8 @@ def _dealt(passages: DataFrame, segments: DataFrame) -> DataFrame:
     hashed = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
     kind = segments.schema["doc_id"].dataType
     own = passages.join(plan, "rep").select("rep", hashed("words", "parts").alias("part"), each("salts").alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), F.lit(0).alias("first"), "words")
-    wide = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    # The stored plan is small, its copies are not: a merge join keeps them from being broadcast through the driver.
+    wide = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).hint("merge")
     there = segments.withColumn("copy", F.pmod(F.xxhash64("seg"), F.lit(SPREAD)).cast("int")).join(wide, ["rep", "copy"])
     return own.unionByName(there.select("rep", each("parts").alias("part"), hashed("seg", "salts").alias("salt"), F.lit(1).alias("kind"), "doc_id", "text_hash", "first", "words"))
 

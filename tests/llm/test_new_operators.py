@@ -231,6 +231,27 @@ def test_substring_dedup_of_repeated_texts_with_very_many_words(spark):
     assert got[9].n_removed == 0 and got[10].kept.endswith("end") and got[10].n_words - got[10].n_removed <= 2
 
 
+def broadcast_parts(df):
+    """What a plan broadcasts, each with what it is made of."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    depth = lambda line: len(re.match(r"[\s:+*|-]*", line)[0])
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((m for m in range(k + 1, len(lines)) if depth(lines[m]) <= depth(line)), len(lines))
+            out.append("\n".join(lines[k:below]))
+    return out
+
+
+def test_copies_of_the_plan_of_shards_are_not_broadcast(spark):
+    passages = substring_dedup.stored(spark.createDataFrame([(1, 40, b"a b"), (2, 40, b"c d")], "rep long, n int, words binary"), "passages")
+    segments = [(rep, doc, 7, 3, 50, doc, b"x y") for doc, rep in enumerate([1, 1, 2, 3])]
+    segments = substring_dedup.stored(spark.createDataFrame(segments, "rep long, doc_id long, text_hash long, first int, n int, seg long, words binary"), "segments")
+    dealt = substring_dedup._dealt(passages, segments)
+    assert not [x for x in broadcast_parts(dealt) if "explode" in x]
+    assert sorted((r.rep, r.part, r.salt, r.kind, r.doc_id) for r in dealt.collect() if r.kind) == [(1, 0, 0, 1, 0), (1, 0, 0, 1, 1), (2, 0, 0, 1, 2)]
+    assert sorted((r.rep, bytes(r.words)) for r in dealt.collect() if not r.kind) == [(1, b"a b"), (2, b"c d")]
+
+
 def test_passages_in_pieces_and_bounded_automata(spark, monkeypatch):
     spans = substring_dedup._pieces(7, 7 + 100_003, 35)
     assert spans[0][0] == 7 and spans[-1][1] == 100_010 and all(b - a <= substring_dedup.PIECE for a, b in spans)
