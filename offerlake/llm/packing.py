@@ -12,18 +12,24 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import stored, texts
 
 #: Words whose ids one Python worker remembers, the longest such word in bytes, and the bytes of text split at a time.
-CACHE_WORDS, CACHE_BYTES, CHUNK = 1_000_000, 48, 4 << 20
+CACHE_WORDS, CACHE_BYTES, CHUNK = 1_000_000, 48, 8 << 20
+#: Marks that are looked up by themselves after a letter of _LETTERS, as other letters may become a letter and a sign.
+MARKS = ".,;:!?|"
+#: Lower-case letters of ASCII and Latin-1: none is changed by lower-casing or joined with another by NFC.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 _SPACE = re.compile(rb"[\x09-\x0D ]")
 _caches: dict[str, "_WordIds"] = {}
 
@@ -34,7 +40,8 @@ class _WordIds(dict):
     The tokenizer never merges across ASCII white space, so a text's ids are its words' ids in
     order. It lowers the case itself and takes letters and marks apart: words are remembered with
     A-Z lowered, unless the text may hold a special token, and a mark after a letter is looked up
-    by itself. The memory is bounded and refilled on demand.
+    by itself. Words of plain letters go to the tokenizer's model at once. The memory is bounded
+    and refilled on demand.
     """
 
     def __init__(self, path: str):
@@ -43,27 +50,40 @@ class _WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.model, self.letters = self.tokenizer.model, {}
+        for c in map(chr, range(0x61, 0x100)):
+            if _LETTERS.fullmatch(c):
+                self.letters[ord(c)] = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0]
+        self.marks = dict(zip(MARKS, self._encode(list(MARKS))))
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array(self.dtype.char, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Take in the words of some texts that are not known yet."""
-        new = words.difference(self)
+    def _of_letters(self, word: str) -> bytes:
+        """Ids of a word that normalization leaves as it is and that stays in one piece, from the tokenizer's model."""
+        return array(self.dtype.char, [x.id for x in self.model.tokenize(word.translate(self.letters))]).tobytes()
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of some different words; those not known yet are taken in, unless they are long."""
+        out = list(map(self.get, words))
+        new = [k for k, x in enumerate(out) if x is None]
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
-            new = words
-        parts = {}
-        for word in new:
-            if len(word) <= CACHE_BYTES:
-                s = word.decode("utf-8", "replace")
-                parts[word] = (s[:-1], s[-1]) if len(s) > 1 and s[-1] in ".,;:!?|" and s[-2].isalpha() else (s, "")
-        cores = list({x for pair in parts.values() for x in pair})
-        known = dict(zip(cores, self._encode(cores)))
-        self.update((word, known[a] + known[b]) for word, (a, b) in parts.items())
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self._encode([word.decode("utf-8", "replace")])[0]
+        parts, cores = [], {}
+        for k in new:
+            word, mark = words[k], ""
+            s = word.decode("utf-8", "replace")
+            if len(word) <= CACHE_BYTES and len(s) > 1 and s[-1] in MARKS and _LETTERS.fullmatch(s[-2].lower()):
+                s, mark = s[:-1], s[-1]
+            parts.append((k, s, mark))
+            cores[s] = None
+        rest = [s for s in cores if not _LETTERS.fullmatch(s)]
+        known = {s: self._of_letters(s) for s in cores.keys() - rest} | dict(zip(rest, self._encode(rest)))
+        for k, s, mark in parts:
+            out[k] = ids = known[s] + self.marks[mark] if mark else known[s]
+            if len(words[k]) <= CACHE_BYTES:
+                self[words[k]] = ids
+        return out
 
 
 def _word_ids(path: str) -> _WordIds:
@@ -82,15 +102,22 @@ def _chunks(text: bytes | None) -> Iterator[bytes]:
 
 
 def _ids_of(batch: list[bytes | None], words: _WordIds, end: bytes) -> Iterator[bytes]:
-    """Ids of each text with the end id, as bytes; about CHUNK bytes of text are split at a time."""
-    waiting: list[tuple[list[bytes], bool]] = []  # words of a part, and whether the part ends its text
+    """Ids of each text with the end id, as bytes; about CHUNK bytes of text are split at a time.
+
+    Each different word of them is looked up once, and Arrow puts the ids in the order of the text.
+    """
+    waiting: list[tuple[bytes, bool]] = []  # a part, and whether it ends its text
     size, head = 0, b""
 
     def flush() -> Iterator[bytes]:
         nonlocal head
-        words.learn(set().union(*(x for x, _ in waiting)))
-        for x, last in waiting:
-            head += b"".join(map(words.__getitem__, x))
+        split = pc.ascii_split_whitespace(pa.array([x for x, _ in waiting], pa.binary()).view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        ids = pa.array(words.of(coded.dictionary.view(pa.binary()).to_pylist()), pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(waiting) + 1)
+        data = memoryview(ids.buffers()[2] or b"")
+        for (_, last), a, b in zip(waiting, ends, ends[1:]):
+            head += data[a:b]
             if last:
                 yield head + end
                 head = b""
@@ -98,7 +125,7 @@ def _ids_of(batch: list[bytes | None], words: _WordIds, end: bytes) -> Iterator[
     for text in batch:
         parts = list(_chunks(text if text is None or b"<|" in text else text.lower()))
         for k, part in enumerate(parts):
-            waiting.append((part.split(), k == len(parts) - 1))
+            waiting.append((part, k == len(parts) - 1))
             size += len(part)
             if size >= CHUNK:
                 yield from flush()

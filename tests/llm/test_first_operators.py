@@ -316,3 +316,25 @@ def test_packing_round_trip(spark):
     padded = {r.sequence_id: r["ids"] for r in packing.sequences(packing.pack(docs, path, window=64, with_ids=True), 64).collect()}
     assert all(len(x) == 64 or len(x) & (len(x) - 1) == 0 for x in padded.values())
     assert packing.pack(docs.limit(0), path).count() == 0
+
+
+def test_packing_looks_each_word_up_once(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("word_bpe_49k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    words = packing._WordIds(path)
+    letters = [chr(c) for c in range(0x61, 0x100) if chr(c).isalpha() and chr(c) == chr(c).lower() and chr(c) not in "\xaa\xb5\xba"]
+    texts = ["Straße naïve, garçon. ñandú! the THE the", "".join(letters) + " " + " ".join(letters), "a\x0bb\x0cc\x1cd\x85e\xa0f", " \t lead  and trail \n", "", None]
+    texts += ["x <|endoftext|>Y", "e\u0301t\u00e9, \u0130, \u0308. ÷x µ ª. a.. !. x| | ’s don't, 12.", "é" * 60 + ", " + "b" * 400, "漢字. 𝒳, 👍! nä,̈"]
+    asked, encode = [], packing._WordIds._encode
+    monkeypatch.setattr(packing._WordIds, "_encode", lambda self, x: asked.extend(x) or encode(self, x))
+    end = np.array([2], words.dtype).tobytes()
+    for chunk in (8, 100, 1 << 20):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        got = [np.frombuffer(x, words.dtype).tolist() for x in packing._ids_of([None if t is None else t.encode() for t in texts], words, end)]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts], chunk
+    assert not {"the", "naïve", "garçon", "straße", "lead"} & set(asked) and "’s" in asked
+    short = [w for w in asked if len(w.encode()) <= packing.CACHE_BYTES]
+    assert len(short) == len(set(short))
+    assert list(packing._ids_of([], words, end)) == [] and list(packing._ids_of([None, b""], words, end)) == [end, end]
