@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import dropped, stored
 
-#: What a term is made of: letters A to Z and everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What a term is made of: letters A to Z and everything beyond ASCII; and what lies between terms.
+TERM, APART = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of a language that a kept term stands in; the scale of shares and what each count gets beforehand.
 LEAST_DOCS, SCALE, SMOOTH = 30, 1_000_000_000, 5
@@ -39,13 +39,19 @@ def _named(docs: DataFrame) -> list[Column]:
     return [F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in _GROUP]
 
 
+def _lowered(term: Column) -> Column:
+    # Only A-Z are lowered; lower() is much faster and does the same to ASCII.
+    return F.when(F.length(term) == F.octet_length(term), F.lower(term)).otherwise(F.translate(term, UPPER, LOWER))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in a group, and documents of the group that hold it."""
-    terms = F.regexp_extract_all(F.translate(F.coalesce(docs["text"], F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
+    # Splitting leaves empty strings at the ends of a text.
+    terms = F.transform(F.split(F.coalesce(docs["text"], F.lit("")), APART), _lowered)
     found = docs.select(*_named(docs), terms.alias("terms"))
     # Every occurrence once, and once more each different term of a document.
     both = F.array(F.struct(F.col("terms"), F.lit(False).alias("once")), F.struct(F.array_distinct("terms").alias("terms"), F.lit(True).alias("once")))
-    each = found.select(*_GROUP, F.explode(both).alias("x")).select(*_GROUP, F.explode("x.terms").alias("term"), "x.once")
+    each = found.select(*_GROUP, F.explode(both).alias("x")).select(*_GROUP, F.explode("x.terms").alias("term"), "x.once").filter("term <> ''")
     return each.groupBy(*_GROUP, "term").agg(F.count_if(~F.col("once")).alias("n"), F.count_if("once").alias("docs"))
 
 

@@ -173,6 +173,22 @@ def test_divergence_by_brute_force(spark):
     assert divergence.audit(df.limit(0)).count() == 0
 
 
+def test_terms_are_split_and_lowered_one_by_one(spark):
+    texts = ["The the ÉTÉ été, Été", "İx İX \u212a K\u212a", " -- ", "", None, "..lead trail!!", "a1b_C\U0001d4b3Y\x7fz\x80q", "THE"]
+    want = {}
+    for t in texts:
+        words = ["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(divergence.TERM, t or "")]
+        for w in words:
+            n, held = want.get(w, (0, 0))
+            want[w] = (n + 1, held)
+        want |= {w: (want[w][0], want[w][1] + 1) for w in set(words)}
+    counts = divergence.term_counts(spark.createDataFrame([(t, "en", "s") for t in texts], "text string, lang string, source string"))
+    assert {r.term: (r.n, r.docs) for r in counts.collect()} == want
+    # Lowering whole texts letter by letter had taken most of the time.
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(text" not in plan and "translate(coalesce(text" not in plan and "regexp_extract_all" not in plan
+
+
 def grams(text):
     w = text.split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
