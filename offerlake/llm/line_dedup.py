@@ -57,7 +57,9 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
     ends, of lines of LONG words or more, are the hashes of their halves: of two like lines, the
     longer of m words, the first or the last (m - 1) / 2 words are equal; m is n or n + 1.
     """
-    some = F.when(_size() >= FEWEST, F.col("plain"))
+    # Whether a line has that many words is seen at its start.
+    start = F.substring_index("plain", " ", FEWEST - 1)
+    some = F.when(F.octet_length(start) < F.octet_length("plain"), F.col("plain"))
     known = rows.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.max(some).alias("plain")).withColumn("n", _size())
     halves, words = [F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")], F.col("plain")
     ends = [F.xxhash64(F.lit(side), half, F.call_function("substring_index", words, F.lit(" "), half if side == 0 else -half)) for half in halves for side in (0, 1)]
@@ -143,8 +145,9 @@ def marked(docs: DataFrame) -> DataFrame:
     state = stored(state, "line-state")
     dropped(known)
     dropped(near)
-    # Only lines that repeat or are near meet here, and the copies of a frequent one are dealt to SPREAD tasks.
-    state = state.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    # Only lines that repeat or are near meet here, and the copies of a frequent one are dealt to SPREAD tasks. The stored
+    # state may be small, its copies are not: a merge join keeps them from being broadcast through the driver.
+    state = state.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).hint("merge")
     here = F.struct("doc_id", "line_no")
     some = rows.select("doc_id", "text_hash", "line_no", *_KEY, F.pmod(F.xxhash64("doc_id", "text_hash", "line_no"), F.lit(SPREAD)).cast("int").alias("copy"))
     gone = some.join(state, [*_KEY, "copy"]).filter(F.col("near").isNotNull() | ~F.col("first").eqNullSafe(here))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from offerlake.llm import divergence, license_scan, nearest, simhash, substring_dedup, whitening
+from offerlake.llm import divergence, license_scan, line_dedup, nearest, simhash, substring_dedup, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, h1 string, list string, rank string"
 
@@ -268,6 +268,17 @@ def test_copies_of_the_plan_of_shards_are_not_broadcast(spark):
     assert sorted((r.rep, bytes(r.words)) for r in dealt.collect() if not r.kind) == [(1, b"a b"), (2, b"c d")]
 
 
+def test_lines_know_their_size_and_copies_of_their_state_are_not_broadcast(spark):
+    texts = ["a b c d", "a b c d e", "a b  c\td e", "é à ü ö", "é à ü ö ß", "one", "a b c d e f\none\n", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = line_dedup.distinct_lines(line_dedup.lines(docs))
+    assert sorted((r.plain, r.n) for r in known.collect() if r.plain) == [("a b c d e", 5), ("a b c d e f", 6), ("é à ü ö ß", 5)]
+    # Words are counted once for each different line, after lines are put together.
+    assert known._jdf.queryExecution().optimizedPlan().toString().count("replace(plain") == 1
+    assert not [x for x in broadcast_parts(line_dedup.marked(docs)) if "explode" in x and "copy" in x]
+    assert {r.doc_id: r.n_removed for r in line_dedup.report(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 2, 7: 0, 8: 0}
+
+
 def test_passages_in_pieces_and_bounded_automata(spark, monkeypatch):
     spans = substring_dedup._pieces(7, 7 + 100_003, 35)
     assert spans[0][0] == 7 and spans[-1][1] == 100_010 and all(b - a <= substring_dedup.PIECE for a, b in spans)
