@@ -7,8 +7,8 @@ then line number) is like it.
 
 1. Every line emits the hash of its bag of words, whole and less each one word; lines that share
    none of these are alike to nothing. A line of more than LONG words does so only if it shares
-   its first or last half with another, one of which an edit of one word leaves as it is. That
-   spares a key for each of its words and drops no pair.
+   its first or last words with another, between a quarter and a half of them: an edit of one word
+   leaves one of the two ends as it is. That spares a key for each of its words and drops no pair.
 2. Lines that are left emit each variant that lacks one word as a 128-bit hash of words with their
    places, one step each. Lines that lack the same word place are all alike, and a shorter line is
    like each line that it is a variant of, so the earliest line of a variant decides and no pairs
@@ -22,19 +22,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import bucketed, dropped, stored
 
-#: Fewest words of lines that an edit may part, and words beyond which lines meet by halves first.
+#: Fewest words of lines that an edit may part, and words beyond which lines meet by their ends first.
 FEWEST, LONG = 5, 12
 #: Tasks that the copies of one frequent line are dealt to.
 SPREAD = 16
 _KEY = ["k1", "k2"]
 
 
-def _plain(line: Column) -> Column:
-    # Most lines have single spaces only; for them the regular expression is left out.
-    odd = F.contains(line, F.lit("  "))
+def _odd(text: Column) -> Column:
+    odd = F.contains(text, F.lit("  "))
     for space in "\t\v\f\r":
-        odd = odd | F.contains(line, F.lit(space))
-    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+        odd = odd | F.contains(text, F.lit(space))
+    return odd
+
+
+def _plain(text: Column) -> Column:
+    # Most texts and lines have single spaces only; for them the regular expression is left out.
+    each, single = F.split(F.lower(text), "\n"), lambda line: F.when(_odd(line), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
+    return F.when(_odd(text), F.transform(each, single)).otherwise(each)
 
 
 def _text_hash() -> Column:
@@ -43,27 +48,34 @@ def _text_hash() -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, plain, k1, k2) of all lines that have a word."""
-    rows = docs.select("doc_id", _text_hash().alias("text_hash"), F.posexplode(F.transform(F.split(F.lower("text"), "\n"), _plain)).alias("line_no", "plain"))
-    return rows.filter("plain <> ''").withColumns({"k1": F.xxhash64("plain"), "k2": F.xxhash64(F.lit(1), "plain")})
+    rows = docs.select("doc_id", _text_hash().alias("text_hash"), F.posexplode(_plain(F.col("text"))).alias("line_no", "plain"))
+    return rows.withColumn("plain", F.trim("plain")).filter("plain <> ''").withColumns({"k1": F.xxhash64("plain"), "k2": F.xxhash64(F.lit(1), "plain")})
 
 
 def _size() -> Column:
-    return F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
+    return F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
+
+
+def _end(n: Column) -> Column:
+    """How many of a line's n > LONG words make an end: LONG / 2 times the power of 2 that makes them a half of n - 1 at most."""
+    return (F.pow(F.lit(2), F.length(F.bin(F.floor((n - 1) / LONG))) - 1) * (LONG // 2)).cast("int")
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
     """(k1, k2, first, copies, plain, n, ends): where each different line stands first and, if it may have variants, its words and their number.
 
-    ends, of lines of LONG words or more, are the hashes of their halves: of two like lines, the
-    longer of m words, the first or the last (m - 1) / 2 words are equal; m is n or n + 1.
+    ends, of lines of LONG words or more, are the hashes of their first and last words: of two like
+    lines, the longer of m words, the first or the last (m - 1) / 2 words are equal, and with them
+    an end of _end(m); m is n or n + 1.
     """
     # Whether a line has that many words is seen at its start.
     start = F.substring_index("plain", " ", FEWEST - 1)
     some = F.when(F.octet_length(start) < F.octet_length("plain"), F.col("plain"))
     known = rows.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.max(some).alias("plain")).withColumn("n", _size())
-    halves, words = [F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")], F.col("plain")
-    ends = [F.xxhash64(F.lit(side), half, F.call_function("substring_index", words, F.lit(" "), half if side == 0 else -half)) for half in halves for side in (0, 1)]
-    return known.withColumn("ends", F.when(F.col("n") >= LONG, F.array(*ends)))
+    ends = lambda k: [F.xxhash64(F.lit(side), k, F.call_function("substring_index", F.col("plain"), F.lit(" "), k if side == 0 else -k)) for side in (0, 1)]
+    of_n, of_more = _end(F.col("n")), _end(F.col("n") + 1)
+    some = F.when(of_n == of_more, F.array(*ends(of_n))).otherwise(F.array(*ends(of_n), *ends(of_more)))
+    return known.withColumn("ends", F.when(F.col("n") >= LONG, some))
 
 
 def _xor(hashes: Column) -> Column:
@@ -91,18 +103,20 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def repeated(known: DataFrame) -> DataFrame:
     """(k1, k2) of the lines that an earlier, different line is like."""
-    by_halves, halves = _that_meet(known.filter(F.col("n") >= LONG), F.col("ends"), "halves-met")
+    by_ends, ends = _that_meet(known.filter(F.col("n") >= LONG), F.col("ends"), "ends-met")
     # known lies in buckets by the keys, so these joins move no lines.
     lines = known.filter("n is not null").select(*_KEY, "first", "n", "plain")
     words = F.split("plain", " ").alias("words")  # only of lines that are left
-    sieved = lines.filter(F.col("n") <= LONG).unionByName(lines.filter(F.col("n") > LONG).join(by_halves.hint("shuffle_hash"), _KEY, "left_semi"))
+    sieved = lines.join(by_ends.withColumn("met", F.lit(True)).hint("shuffle_hash"), _KEY, "left").filter((F.col("n") <= LONG) | F.col("met"))
     # The hash of a bag of words is that of its variants after one step each.
     hashed = sieved.select(*_KEY, F.transform(words, lambda w: F.xxhash64(w)).alias("h")).withColumn("whole", _xor(F.col("h")))
     bags = F.concat(F.array("whole"), F.transform("h", lambda h: F.col("whole").bitwiseXOR(h)))
-    by_bags, met = _that_meet(hashed, bags, "bags-met")
+    bags = stored(hashed.select(*_KEY, bags.alias("bags")), "bags")  # which are read twice
+    dropped(by_ends)
+    dropped(ends)
+    by_bags, met = _that_meet(bags, F.col("bags"), "bags-met")
+    dropped(bags)
     some = stored(lines.join(by_bags.hint("shuffle_hash"), _KEY, "left_semi").select(*_KEY, "first", "n", words), "lines-met")
-    dropped(by_halves)
-    dropped(halves)
     dropped(by_bags)
     # The hash of a line is that of all its (word, place). Without word i, words before it keep their
     # place and words after it move up: moved ^ (in ^ moved of the words before i) ^ moved of word i.

@@ -279,6 +279,20 @@ def test_lines_know_their_size_and_copies_of_their_state_are_not_broadcast(spark
     assert {r.doc_id: r.n_removed for r in line_dedup.report(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 2, 7: 0, 8: 0}
 
 
+def test_long_lines_give_two_ends_one_of_which_an_edit_leaves(spark):
+    ends = spark.range(13, 3000).select("id", line_dedup._end(F.col("id")).alias("k")).collect()
+    assert all(2 * r.k < r.id <= 4 * r.k for r in ends)
+    whole = {n: [f"w{i}" for i in range(n)] for n in range(12, 52)}
+    edits = {n: [w[:i] + new + w[i + 1 :] for i in range(n) for new in ([], ["x"], [w[i], "x"])] for n, w in whole.items()}
+    lines = {" ".join(w) for w in [*whole.values(), *(x for xs in edits.values() for x in xs)]}
+    docs = spark.createDataFrame([(0, "\n".join(sorted(lines)))], "doc_id long, text string")
+    got = {r.plain: set(r.ends) for r in line_dedup.distinct_lines(line_dedup.lines(docs)).filter("ends is not null").collect()}
+    # Halves, as they were before, took four hashes of a line, which read its words twice.
+    assert all(len(x) == (4 if len(plain.split(" ")) in (24, 48) else 2) for plain, x in got.items())
+    like = [(whole[n], x) for n in whole for x in edits[n] if min(n, len(x)) >= 12 and max(n, len(x)) > 12]
+    assert len(like) > 3000 and all(got[" ".join(a)] & got[" ".join(b)] for a, b in like)
+
+
 def test_passages_in_pieces_and_bounded_automata(spark, monkeypatch):
     spans = substring_dedup._pieces(7, 7 + 100_003, 35)
     assert spans[0][0] == 7 and spans[-1][1] == 100_010 and all(b - a <= substring_dedup.PIECE for a, b in spans)
