@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from offerlake import queries
 from offerlake.operators import builder, maintain, schedule
 from offerlake.sources import state
 from offerlake.streaming import scheduler, tick
@@ -145,3 +146,22 @@ def test_breakdowns_and_slots_by_literal_values(spark):
     assert got == {1: [(7, "S", 3.5, 2), (8, "E", 0, 0)], 2: [(7, "S", 0, 0), (8, "E", 0, 0)]}
     products = spark.createDataFrame([("CPU",), ("cpu cooler",), (None,), ("SSD",)], "category string")
     assert {r.slot: r.n_products for r in builder.slots(products).collect() if r.n_products} == {"cpu": 2, "storage": 1}
+
+
+def test_digests_of_builds_are_those_of_whole_breakdowns(spark):
+    part = lambda build, sid, price: (build, 1, f"Ryzen {sid}", sid, None if price is None else Decimal(price), "t", "cpu", *[None] * 8)
+    rows = [part(1, 3, "2.50"), part(1, 3, "0.55"), part(1, 390, "-7.05"), part(1, 900, "1"), part(2, 5, None), part(2, 6, "0"), part(3, 399, "1234567.89"), part(3, 201, "3"), part(4, 4, "9")]
+    specs = "socket string, memory_type string, tdp int, recommended_psu int, wattage int, length_mm int, max_gpu_length_mm int, supported_sockets string"
+    items = spark.createDataFrame(rows, f"build_id long, product_id long, name string, sid long, price decimal(12,2), t string, kind string, {specs}")
+    stores = spark.createDataFrame([(k, None if k == 8 else f"Shöp number {k}", k != 4) for k in range(400)], "id long, display_name string, active boolean")
+    text = F.array_join(F.transform("breakdown", lambda b: F.concat_ws(":", b["sid"].cast("string"), b["display_name"], b["total"].cast("string"), b["n_items"].cast("string"))), ",")
+    whole = {r.build_id: (r.d, sum(b.n_items for b in r.breakdown), r.estimated_wattage) for r in builder.summaries(items, stores).withColumn("d", F.md5(text)).collect()}
+    df = builder.summary_digests(items.unionByName(items.filter("build_id = 2").withColumn("sid", F.lit(None).cast("long")).withColumn("price", F.lit(5).cast("decimal(12,2)"))), stores)
+    got = {r.build_id: (r.breakdown, r.n_priced, r.estimated_wattage) for r in df.collect()}
+    assert {k: x[:2] for k, x in got.items()} == {k: x[:2] for k, x in whole.items()} and got[1] == whole[1] and got[4][:2] == (whole[2][0], 0)
+    assert builder.summary_digests(items, stores.filter("id < 0")).first().breakdown == "d41d8cd98f00b204e9800998ecf8427e"
+
+
+def test_answers_about_builds_hold_no_list_of_all_shops(spark):
+    plan = queries.validate_answer(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_zip_with" not in plan and plan.count("Join") == 1
