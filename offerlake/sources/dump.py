@@ -1,6 +1,7 @@
 """Tables of an SQL dump and the configuration of shops as data sources.
 
-`sql_dump` reads the lines of a file in byte ranges, several tasks side by side. Each line belongs to
+`sql_dump` reads the lines of a file in byte ranges, several tasks side by side, of which each takes
+as many ranges as make up its share. Each line belongs to
 the range in which it begins and comes with its offset, so the order of rows is in the data. A table
 is the lines between COPY ... FROM stdin and its end mark: one pass over the ranges finds the marks, a few rows,
 and a second reads the table's own bytes only.
@@ -10,18 +11,25 @@ Files are opened through pyarrow, in any file system that it reads by url.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-#: Bytes of one range; a line may be longer.
+#: Bytes of one range; a line may be longer. What a task takes where ranges are smaller, and into how many tasks less than that is dealt.
 SPLIT = 64 << 20
-_CHUNK = 1 << 20
+_TASKS = 32
+#: Bytes that are read at once, and beyond the end of a range.
+_CHUNK, _AHEAD = 1 << 20, 1 << 12
+#: Lines that frame tables.
+_MARK = re.compile(rb"^(?:COPY [^\n]*|\\\.\r?)$", re.M)
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -48,27 +56,63 @@ class Range(InputPartition):
         self.file, self.path, self.start, self.end = file, path, start, end
 
 
+class Share(InputPartition):
+    """Ranges that one task reads."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+def _blocks(f: pa.NativeFile, part: Range) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of the lines that begin in the range, whole lines with their ends; the last one of a file may have none."""
+    # A line begins in the range if the byte before it, which may lie outside, ends another.
+    at = max(part.start - 1, 0)
+    f.seek(at)
+    rest, skip = b"", part.start > 0
+    while at < part.end:
+        # Of a long line more is read each time, so that it is not put together again and again.
+        more = f.read(min(_CHUNK, max(part.end - at - len(rest), 0) + _AHEAD) + len(rest))
+        data = rest + more
+        if skip:
+            if cut := data.find(b"\n") + 1:
+                skip = False
+            at, data = at + (cut or len(data)), data[cut:] if cut else b""
+        if at >= part.end:
+            return
+        left = part.end - at
+        cut = data.find(b"\n", left - 1) + 1 if len(data) >= left else 0
+        if cut or not more:
+            if data:
+                yield at, data[: cut or None]
+            return
+        cut = data.rfind(b"\n") + 1
+        if cut:
+            yield at, data[:cut]
+        at, rest = at + cut, data[cut:]
+
+
 def _lines(system: fs.FileSystem, part: Range) -> Iterator[tuple[int, bytes]]:
     """(offset, line without its end) of the lines that begin in the range."""
     with system.open_input_file(part.path) as f:
-        # A line begins in the range if the byte before it, which may lie outside, ends another.
-        at = max(part.start - 1, 0)
-        f.seek(at)
-        rest, skip = b"", part.start > 0
-        while True:
-            more = f.read(_CHUNK)
-            lines = (rest + more).split(b"\n")
-            rest = lines.pop() if more else b""
-            for line in lines:
-                if skip:
-                    skip = False
-                elif at >= part.end:
-                    return
-                elif more or line:  # nothing follows the last end of a line
-                    yield at, line.removesuffix(b"\r")
+        for at, block in _blocks(f, part):
+            for line in block.removesuffix(b"\n").split(b"\n"):
+                yield at, line.removesuffix(b"\r")
                 at += len(line) + 1
-            if not more:
-                return
+
+
+def _rows(at: int, block: bytes, marks: bool) -> tuple[np.ndarray, list[str]]:
+    """Offsets and texts of the lines of a block, or of those alone that frame tables."""
+    if marks:
+        found = list(_MARK.finditer(block)) if b"COPY " in block or b"\\." in block else []
+        starts, lines = np.array([m.start() for m in found], np.int64), [m[0].decode(errors="replace") for m in found]
+    else:
+        ends = np.flatnonzero(np.frombuffer(block, np.uint8) == 10)
+        lines = block.decode(errors="replace").split("\n")
+        if block.endswith(b"\n"):  # nothing follows the last end of a line
+            ends = ends[:-1]
+            lines.pop()
+        starts = np.append(0, ends + 1)
+    return at + starts, [x.removesuffix("\r") for x in lines] if b"\r" in block else lines
 
 
 class _DumpReader(DataSourceReader):
@@ -77,21 +121,32 @@ class _DumpReader(DataSourceReader):
         self.split = int(options.get("split", SPLIT))
         self.spans = json.loads(options["spans"]) if "spans" in options else None
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Share]:
         files = _files(self.path)
         spans = [(k, 0, None) for k in range(len(files))] if self.spans is None else self.spans
-        out = []
+        ranges = []
         for k, first, last in spans:
             path, size = files[k]
             last = size if last is None else last
-            out += [Range(k, path, at, min(at + self.split, last)) for at in range(first, last, self.split)]
+            ranges += [Range(k, path, at, min(at + self.split, last)) for at in range(first, last, self.split)]
+        share, out, taken = min(SPLIT, sum(r.end - r.start for r in ranges) // _TASKS), [], 0
+        for r in ranges:
+            if not out or taken + (r.end - r.start) > max(share, self.split):
+                out.append(Share([]))
+                taken = 0
+            out[-1].ranges.append(r)
+            taken += r.end - r.start
         return out
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Share) -> Iterator[pa.RecordBatch]:
         system = _opened(self.path)[0]
-        for at, line in _lines(system, part):
-            if not self.marks or line == rb"\." or line.startswith(b"COPY "):
-                yield part.file, at, line.decode(errors="replace")
+        for path, ranges in itertools.groupby(part.ranges, lambda r: r.path):
+            with system.open_input_file(path) as f:
+                for r in ranges:
+                    for at, block in _blocks(f, r):
+                        starts, lines = _rows(at, block, self.marks)
+                        if lines:
+                            yield pa.record_batch({"file": pa.array(np.full(len(lines), r.file, np.int32)), "at": pa.array(starts), "line": pa.array(lines, pa.string())})
 
 
 class DumpSource(DataSource):

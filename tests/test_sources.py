@@ -228,3 +228,16 @@ def test_shops_of_yaml_files(spark, tmp_path):
     html = '<div class="c"><h3><a href="/product/k">K</a></h3><b class="p">5</b></div>'
     (r,) = cards.by_selectors(pages(spark, html), asked).collect()
     assert (r.name, r.pid, float(r.price)) == ("K", "k", 5)
+
+
+def test_a_task_takes_as_many_ranges_as_make_up_its_share(tmp_path):
+    rnd = random.Random(3)
+    for k in range(3):
+        (tmp_path / f"f{k}").write_bytes(b"".join(rnd.choice([b"COPY t (a) FROM stdin;\n", b"one\r\n", b"\n", "zwölf".encode(), b"\\.\n", b"\xe2\x82"]) for _ in range(3000)))
+    whole, small = (dump._DumpReader({"path": str(tmp_path), "split": split}) for split in (1 << 20, 7))
+    shares = small.partitions()
+    assert len(whole.partitions()) == 1 and 30 < len(shares) < 40 and sum(len(s.ranges) for s in shares) > 3000
+    read = lambda reader, shares: [tuple(r.values()) for s in shares for b in reader.read(s) for r in b.to_pylist()]
+    assert read(small, shares) == read(whole, whole.partitions())
+    marks = dump._DumpReader({"path": str(tmp_path), "split": 7, "marks": "true"})
+    assert read(marks, shares) == [r for r in read(small, shares) if r[2] == "\\." or r[2].startswith("COPY ")]
