@@ -241,3 +241,15 @@ def test_a_task_takes_as_many_ranges_as_make_up_its_share(tmp_path):
     assert read(small, shares) == read(whole, whole.partitions())
     marks = dump._DumpReader({"path": str(tmp_path), "split": 7, "marks": "true"})
     assert read(marks, shares) == [r for r in read(small, shares) if r[2] == "\\." or r[2].startswith("COPY ")]
+
+
+def test_pages_of_one_shape_are_read_alike():
+    css = {"card": "div.card", "title": "h3", "price": "b[class*='price']", "mrp": "s", "image": "img", "url_attr": None, "image_attr": None}
+    page = '<DIV class=card><h3><a href="/p/{0}?a&amp;b" data-n="{0}">A {0} &amp; b</a></h3><b class="{1}">{2}</b><s data-x="{3}"/>{3}<img data-src="i{0}"></div><div class=card><h3> t</h3><b class=price>1</b><p>{4}'
+    rows = [(k, ("price", "cost", "now price")[k % 3], k * 2, k, ("", "<br>", "tail")[k % 3]) for k in range(60)]
+    want = [[(f"A {k} & b", f"/p/{k}?a&b", f"i{k}", str(p), "", f"A {k} & b {p} {q}")] * ("price" in c) + [("t", "", "", "1", None, "t 1 tail" if "tail" in t else "t 1")] for k, c, p, q, t in rows]
+    assert [list(markup.cards(page.format(*r), css)) for r in rows] == want
+    # Long pages and those with scripts are read as a stream; so are these, once more.
+    assert [list(markup.cards("<script>'<div class=card>'</script>" + page.format(*r), css)) for r in rows] == want
+    which = markup.index(("div.card", "h3", "b[class*='price']", "s", "img", "a"))
+    assert len(which.shapes) == 3 and len(which.known) < 40  # a shape for each class and end
