@@ -3,7 +3,10 @@
 import datetime as dt
 import json
 from decimal import Decimal
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +168,49 @@ def test_digests_of_builds_are_those_of_whole_breakdowns(spark):
 def test_answers_about_builds_hold_no_list_of_all_shops(spark):
     plan = queries.validate_answer(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "map_zip_with" not in plan and plan.count("Join") == 1
+
+
+class Handle:
+    """A group's state and timers in memory, with the number of times that they are written."""
+
+    def __init__(self):
+        self.value, self.timers, self.writes = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+        self.writes += 1
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_group_of_targets_has_one_state_and_one_timer():
+    handle, group, minute = Handle(), scheduler._Targets(), 60_000
+    group.init(handle)
+    ids = np.arange(5000)[::-1]
+    start = pd.DataFrame({"id": ids, "enabled": ids % 5 > 0, "type": 2, "next": (ids % 100 + 1) * minute * 1000, "last": scheduler._NONE})
+    for piece in (start[:3000], start[3000:]):
+        group.handleInitialState((0,), piece, None)
+    assert handle.writes <= 4 and handle.timers == [2 * minute] and list(group._load()["id"]) == list(range(5000))
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10 * minute)
+    (said,) = group.handleExpiredTimer((0,), now, None)
+    assert sorted(said["id"]) == [k for k in range(5000) if k % 5 and k % 100 < 10] and set(said["what"]) == {"due"} and list(said["at"]) == list(said["next"])
+    assert handle.timers == [12 * minute]
+    rows = pd.DataFrame({"id": [11, 1, 5001, 12], "us": [minute * 11_000] * 4, "kind": ["ok", "failed", "ok", "clock"]})
+    (said,) = group.handleInputRows((0,), iter([rows]), now)
+    assert {tuple(r) for r in said[["id", "what", "tries"]].values.tolist()} == {(11, "marked", 0), (1, "failed", 1)} and handle.timers == [12 * minute] and handle.writes <= 8
