@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 from decimal import Decimal
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -214,3 +215,31 @@ def test_a_group_of_targets_has_one_state_and_one_timer():
     rows = pd.DataFrame({"id": [11, 1, 5001, 12], "us": [minute * 11_000] * 4, "kind": ["ok", "failed", "ok", "clock"]})
     (said,) = group.handleInputRows((0,), iter([rows]), now)
     assert {tuple(r) for r in said[["id", "what", "tries"]].values.tolist()} == {(11, "marked", 0), (1, "failed", 1)} and handle.timers == [12 * minute] and handle.writes <= 8
+
+
+def test_a_batch_in_slices_of_shops_leaves_the_same_state(spark, tmp_path, monkeypatch):
+    lists = [(s, s, "https://x.in/", json.dumps({"products": [{"title": f"AMD Ryzen {h}", "handle": h, "variants": [{"price": "10", "available": h != "b"}]} for h in "abc"]}), False) for s in range(7)]
+    page = '<link rel="canonical" href="https://X.in/products/{}/?q"><script type="application/ld+json">{{"@type": "Product", "name": "N", "sku": "k{}", "description": "about"}}</script>'
+    pages = [(100 + s, s, "https://x.in/", page.format("abz"[s % 3], s), True) for s in range(7)] + [(200, 3, "https://x.in/", "gone", False), (201, 4, "https://x.in/", None, False)]
+    schema = "page_id long, sid long, base_url string, content string, is_product boolean"
+    stores = spark.createDataFrame([(s, f"x{s}", "shopify") for s in range(7)], "id long, name string, platform string")
+    none = spark.createDataFrame([], "sid long, card string, title string, price string, mrp string, image string, url_attr string, image_attr string")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before, left = set(shared.glob("parsed-pages-*")), []
+    for n in (1, 3):
+        monkeypatch.setattr(tick, "slices", lambda pages, n=n: n)
+        root = str(tmp_path / str(n))
+        step = tick.each(root, "t", stores, none, {})
+        for turn, rows_ in enumerate((lists, pages)):
+            step(spark.createDataFrame(rows_, schema), turn)
+        left.append({k: sorted(map(str, state.load(spark, root, k).collect())) for k in ("products", "history", "dead_letters")})
+        assert len(state.latest(spark, root).folders["products"]) == n and state.versions(spark, root) == [1, 2]
+    assert left[0] == left[1] and len(left[0]["products"]) > 14 and len(left[0]["dead_letters"]) == 2
+    assert set(shared.glob("parsed-pages-*")) == before  # what a batch alone reads is deleted once its version is written
+    monkeypatch.undo()
+    monkeypatch.setattr(tick, "SLICE", 100)
+    spark.createDataFrame(lists, schema).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(lambda df, n: seen.append(tick.slices(df)))
+    stream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [tick.SLICES] and tick.slices(stores) == 1
